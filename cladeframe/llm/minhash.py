@@ -75,7 +75,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-_SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bands", T.BinaryType()), T.StructField("sig", T.BinaryType())])
+_SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bands", T.BinaryType()), T.StructField("sig", T.BinaryType())])
 
 
 def _fingerprint(s: np.ndarray) -> bytes:
@@ -83,7 +83,7 @@ def _fingerprint(s: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, fp (16 bytes that stand for the set), n, band keys, and the low byte of each minimum; empty sets have null in all but n."""
+    """doc_id, text_hash, fp (16 bytes that stand for the set), n, band keys, and the low byte of each minimum; empty sets have null in all but n."""
     a, b = hash_parameters(bands * rows)
 
     def run(batches):
@@ -93,9 +93,9 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 for s in shingle_sets(part.column("text"), width):
                     sig = signature(s, a, b) if len(s) else None
                     out.append((_fingerprint(s), len(s), band_keys(sig, bands, rows).tobytes(), sig.astype(np.uint8).tobytes()) if len(s) else (None, 0, None, None))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.binary())))], names=_SIGNED.names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *(pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.binary())))], names=_SIGNED.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SIGNED)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, _SIGNED)
 
 
 def _links_by_text(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -126,7 +126,8 @@ def _word_shingles(text: str, width: int) -> set:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable by links, itself
-    included) and kept (doc_id = component_id).
+    included), kept (doc_id = component_id), text_hash (xxhash64 of the text) and component (the group's number; null
+    for rows in none).
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of distinct ``width``-word shingles
     (A-Z in lower case; with fewer words, the whole sequence). A text that is null, empty or blank has no shingles
@@ -164,10 +165,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
 
     named = classes.select("cid", "fp", "rep").join(final.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = named.join(least, "component").select(F.col("fp").alias("class_fp"), "component_id")
-    out = rows_signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(by_fp, F.col("fp") == F.col("class_fp"), "left")
+    by_fp = named.join(least, "component").select(F.col("fp").alias("class_fp"), "component_id", "component")
+    out = rows_signed.select("doc_id", "text_hash", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(by_fp, F.col("fp") == F.col("class_fp"), "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "component")
+
+
+def deduplicated(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: that of the smallest id, once.
+
+    Rows with a null id or without shingles are in no group and all stay. Of several rows of that id in
+    a group, as of repeated rows, one stays. Columns are unchanged.
+    """
+    found = near_duplicates(docs, percent, id_col=id_col, text_col=text_col)
+    one = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__th"))
+    alone = found.where("component IS NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).distinct()
+    hashed = docs.withColumn("__h", F.xxhash64(text_col))
+    on = lambda keys: (F.col(id_col).cast("long") == keys["__id"]) & (F.col("__h") == keys["__th"])
+    chosen = hashed.join(one, on(one), "left_semi").dropDuplicates([id_col, "__h"])
+    return chosen.unionByName(hashed.join(alone, on(alone), "left_semi")).unionByName(hashed.where(F.col(id_col).isNull())).drop("__h")
 
 
 def _texts_by_class(held: DataFrame, member: DataFrame, width: int) -> DataFrame:
