@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import bpe, chat, licenses, matroska, minhash, mixing, quality, sharding
+from cladeframe.llm import bpe, chat, licenses, matroska, minhash, mixing, neighbours, quality, sharding
 from cladeframe.llm.common import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -40,6 +40,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "evidence", "host_prior", "path_prior", "quality", "kept")
 
 
+def op7_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard(docs, 24).select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -62,7 +67,7 @@ def op10_chat_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_license_scan, op4_byte_bpe, op5_mix_sources, op6_quality_classifier, op8_histogram_shards, op9_matroska, op10_chat_paths)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_license_scan, op4_byte_bpe, op5_mix_sources, op6_quality_classifier, op7_multiprobe_neighbours, op8_histogram_shards, op9_matroska, op10_chat_paths)}
 
 ORACLE_SQL = {
     "op3_license_scan": licenses.oracle_sql(),
