@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import bpe, chat, licenses, matroska, minhash, mixing, neighbours, quality, sharding
+from cladeframe.llm import bpe, chat, licenses, matroska, minhash, mixing, neighbours, quality, sharding, suffix_tree
 from cladeframe.llm.common import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -16,6 +16,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: matching passages, the best match's licence and Dice coefficient, and all licences found."""
     m = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -67,7 +71,7 @@ def op10_chat_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_license_scan, op4_byte_bpe, op5_mix_sources, op6_quality_classifier, op7_multiprobe_neighbours, op8_histogram_shards, op9_matroska, op10_chat_paths)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_tree_scores, op3_license_scan, op4_byte_bpe, op5_mix_sources, op6_quality_classifier, op7_multiprobe_neighbours, op8_histogram_shards, op9_matroska, op10_chat_paths)}
 
 ORACLE_SQL = {
     "op3_license_scan": licenses.oracle_sql(),
