@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cladeframe.plans import factor_queries, graph_queries, interval_queries, numeric_queries, statistics_queries, tree_queries
+
+_MODULES = (factor_queries, interval_queries, statistics_queries, numeric_queries, tree_queries, graph_queries)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return factor_queries.QUERIES["factor_posterior"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
