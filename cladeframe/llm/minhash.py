@@ -6,9 +6,9 @@
 2. Classes that share a band key are linked to the band's least class only (a star, not all pairs); links
    are tested by signature and confirmed on the full sets.
 3. Components of these links. Bands whose members are all in one component are done. The members of the
-   others get an exact way that no band's size can spoil: a join on the rarest shingles of each set (of
-   two sets with similarity t, the first n - ceil(t n) + 1 in any common order share one), with bounds on size and
-   place, between different components only. What it finds is confirmed on the full sets too.
+   others get an exact way: of two sets with similarity t, the first n - ceil(t n) + 1 shingles in any common
+   order share one, so members are clustered by their rarest shingles; each cluster is compared in pairs of bounded blocks, between
+   different components only, by size, signature and full sets. A task returns no more links than it has members.
 4. Components of all confirmed links.
 """
 
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     labelled = checkpointed(labelled.select("band", "cid", "component"))
     open_bands = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
     members = labelled.join(open_bands, "band", "left_semi").select("cid", "component").distinct()
-    more = _links_by_text(checkpointed(_by_rare_shingles(texts, members, width, percent)), texts, width, percent)
+    more = checkpointed(_linked_in_blocks(_clustered(texts, members, width, percent), classes, percent))
     final = connected_components(links.unionByName(more))
 
     named = classes.select("cid", "fp", "rep").join(final.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -200,10 +200,15 @@ def _texts_by_class(held: DataFrame, member: DataFrame, width: int) -> DataFrame
     return found.join(m, (F.col("doc_id") == F.col("r")) & (F.col("fp") == F.col("f"))).select("cid", "text").dropDuplicates(["cid"])
 
 
+def _least_agreement(percent: int, n: int) -> int:
+    """Of n minima, how many agree all but certainly: SIGMAS standard deviations below the expected number at the threshold."""
+    t = percent / 100
+    return int(np.floor(n * (t - SIGMAS * (t * (1 - t) / n) ** 0.5)))
+
+
 def _by_signature(pairs: DataFrame, classes: DataFrame, percent: int, n: int) -> DataFrame:
     """Pairs whose sizes allow the similarity and whose signatures agree in as many places as that makes near certain."""
-    t = percent / 100
-    least = int(np.floor(n * (t - SIGMAS * (t * (1 - t) / n) ** 0.5)))
+    least = _least_agreement(percent, n)
 
     @F.pandas_udf("boolean")
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -217,29 +222,71 @@ def _by_signature(pairs: DataFrame, classes: DataFrame, percent: int, n: int) ->
     return both.where(agree("sa", "sb")).select("a", "b")
 
 
-def _by_rare_shingles(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of members, of different components, that share one of their rarest shingles and may be similar enough.
+def _clustered(texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """cid, component, cluster and the full set of shingles (packed, sorted) of the members that share one of their rarest
+    shingles with one of another component; who shares one is in one cluster.
 
     Shingles are ordered by how many members have them, then by hash. Those that only one has come first, so they
     need not be joined, only counted.
     """
 
-    def run(batches):
+    def sets_of(batches):
         for batch in batches:
             for part in tokens.slices(batch, "text"):
-                sets = shingle_sets(part.column("text"), width)
+                packed = [s.tobytes() for s in shingle_sets(part.column("text"), width)]
+                yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("component"), pa.array(packed, pa.binary())], names=["cid", "component", "hashes"])
+
+    def shingles_of(batches):
+        for batch in batches:
+            for part in tokens.slices(batch, "hashes"):
+                sets = [np.frombuffer(x, np.int64) for x in part.column("hashes").to_pylist()]
                 sizes = np.array([len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column(c)), sizes)) for c in ("cid", "component")] + [pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], names=["cid", "component", "n", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column(c)), sizes)) for c in ("cid", "component")] + [pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["cid", "component", "n", "h"])
 
-    each = texts.join(members, "cid").select("cid", "component", "text").mapInArrow(run, "cid long, component long, n long, h long")
-    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    sets = checkpointed(texts.join(members, "cid").select("cid", "component", "text").mapInArrow(sets_of, "cid long, component long, hashes binary"))
+    each = sets.mapInArrow(shingles_of, "cid long, component long, n long, h long")
+    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1")
     shared = each.join(common, "h")
-    ranked = shared.groupBy("cid", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
-    alone = F.col("n") - F.size("hs")
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
-    rare = ranked.where(prefix > 0).select("cid", "component", "n", alone.alias("alone"), F.posexplode(F.slice("hs", F.lit(1), F.least(prefix, F.size("hs")).cast("int"))).alias("i", "x"))
-    rare = checkpointed(rare.select("cid", "component", "n", (F.col("alone") + F.col("i")).alias("at"), F.col("x.h").alias("h")))
-    a, b = rare.alias("a"), rare.alias("b")
-    smaller = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
-    overlap = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
-    return a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.cid") < F.col("b.cid")) & (F.col("a.component") != F.col("b.component")) & smaller & overlap).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
+    ranked = shared.groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h", (F.col("lo") != F.col("hi")).alias("open")))).alias("hs"))
+    prefix = F.ceil(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("hs")))
+    rare = ranked.where(prefix > 0).select("cid", F.explode(F.slice("hs", F.lit(1), F.least(prefix, F.size("hs")).cast("int"))).alias("x"))
+    rare = checkpointed(rare.where("x.open").select("cid", F.col("x.h").alias("h")))
+    hubs = rare.groupBy("h").agg(F.min("cid").alias("hub"))
+    clusters = connected_components(rare.join(hubs, "h").where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct())
+    return sets.join(clusters.select(F.col("node").alias("cid"), F.col("component").alias("cluster")), "cid")
+
+
+def _linked_in_blocks(clustered: DataFrame, classes: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Links (a, b) that join the components of each cluster as all links between its members would.
+
+    A cluster's members are dealt to blocks of about ``block``; a task has two blocks (or one twice). What two members of
+    components that the task has joined already could add is nothing, so they aren't compared.
+    """
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        sigs = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+        least = _least_agreement(percent, sigs.shape[1])
+        sets = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
+        n, own, cid = np.array([len(s) for s in sets]), rows["own"].to_numpy(), rows["cid"].to_numpy()
+        one_block = rows["i"].iloc[0] == rows["j"].iloc[0]
+        codes, root = np.unique(rows["component"].to_numpy(), return_inverse=True)
+        root = root.copy()
+        out = []
+        for x in range(len(rows)):
+            if not one_block and own[x] != rows["i"].iloc[0]:
+                continue
+            other = np.arange(len(rows)) > x if one_block else own == rows["j"].iloc[0]
+            at = np.flatnonzero(other & (root != root[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent))
+            at = at[(sigs[at] == sigs[x]).sum(axis=1) >= least]
+            for y in at:
+                if root[y] != root[x]:
+                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * common >= percent * (n[x] + n[y] - common):
+                        out.append((cid[x], cid[y]))
+                        root[root == root[y]] = root[x]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    blocks = checkpointed(clustered.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
+    x = clustered.join(blocks, "cluster").join(classes.select("cid", "sig"), "cid").withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    x = x.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "k")).withColumn("j", F.greatest("own", "k"))
+    return x.select("cluster", "i", "j", "own", "cid", "component", "sig", "hashes").groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
