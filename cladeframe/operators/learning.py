@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.plans.session import checkpointed
+
 
 def noisy_or(active: list[Column], chances: list[float], leak: float = 0.0) -> Column:
     """P(child) = 1 - (1 - leak) * product of (1 - p) over the active parents."""
@@ -68,7 +70,7 @@ def latent_class(counts: DataFrame, columns: list[str], k: int, rounds: int = 50
         top = scored.groupBy("row").agg(F.max("lp").alias("top"))
         r = scored.join(top, "row").select("row", "class", F.exp(F.col("lp") - F.col("top")).alias("r"))
         if i % 3 == 2:
-            r = r.checkpoint()
+            r = checkpointed(r)
     raise ValueError("at least one round")
 
 
