@@ -31,14 +31,17 @@ def n_words(text: Column) -> Column:
     return F.when(t == "", 0).otherwise(F.size(F.split(t, SPACE)) - ends).cast("long")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, rows_each: int | None = None) -> DataFrame:
     """``df`` written to the reliable checkpoint folder and read from it from now on.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a temporary folder is made.
+    (tests on one machine) a temporary folder is made. With ``rows_each``, partitions are put together
+    (not shuffled) until they hold about so many rows: a small table in hundreds of partitions costs hundreds of
+    near-empty files in every shuffle that follows.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    return out if rows_each is None else out.coalesce(max(1, -(-out.count() // rows_each)))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

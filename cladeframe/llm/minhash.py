@@ -144,24 +144,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     key = lambda i: F.substring(F.col("bands"), 8 * i + 1, 8)
     banded = classes.select("cid", F.explode(F.array(*(F.xxhash64(key(i)) for i in range(bands)))).alias("band"))
     hubs = banded.groupBy("band").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "hub")
-    shared = checkpointed(banded.join(hubs, "band"))
+    shared = checkpointed(banded.join(hubs, "band"), 200_000)
 
     # Texts of the classes in them, from one row each.
     member = shared.select("cid").distinct().join(classes.select("cid", "fp", "rep"), "cid")
     held = base.join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = checkpointed(_texts_by_class(held, member, width))
+    texts = checkpointed(_texts_by_class(held, member, width), 4_000)
 
     stars = shared.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    links = checkpointed(_links_by_text(_by_signature(stars, classes, percent, bands * rows), texts, width, percent))
+    links = checkpointed(_links_by_text(_by_signature(stars, classes, percent, bands * rows), texts, width, percent), 250_000)
     near = connected_components(links)
 
     # Bands that still hold several components: the exact way.
     labelled = shared.join(near.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    labelled = checkpointed(labelled.select("band", "cid", "component"))
+    labelled = checkpointed(labelled.select("band", "cid", "component"), 200_000)
     open_bands = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
     members = labelled.join(open_bands, "band", "left_semi").select("cid", "component").distinct()
-    more = checkpointed(_linked_in_blocks(_clustered(texts, members, width, percent), classes, percent))
-    final = connected_components(links.unionByName(more))
+    more = checkpointed(_linked_in_blocks(_clustered(texts, members, width, percent), classes, percent), 250_000)
+    final = near if more.isEmpty() else connected_components(links.unionByName(more))
 
     named = classes.select("cid", "fp", "rep").join(final.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -243,14 +243,14 @@ def _clustered(texts: DataFrame, members: DataFrame, width: int, percent: int) -
                 sizes = np.array([len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(part.column(c)), sizes)) for c in ("cid", "component")] + [pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["cid", "component", "n", "h"])
 
-    sets = checkpointed(texts.join(members, "cid").select("cid", "component", "text").mapInArrow(sets_of, "cid long, component long, hashes binary"))
+    sets = checkpointed(texts.join(members, "cid").select("cid", "component", "text").mapInArrow(sets_of, "cid long, component long, hashes binary"), 4_000)
     each = sets.mapInArrow(shingles_of, "cid long, component long, n long, h long")
     common = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("df > 1")
     shared = each.join(common, "h")
     ranked = shared.groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h", (F.col("lo") != F.col("hi")).alias("open")))).alias("hs"))
     prefix = F.ceil(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("hs")))
     rare = ranked.where(prefix > 0).select("cid", F.explode(F.slice("hs", F.lit(1), F.least(prefix, F.size("hs")).cast("int"))).alias("x"))
-    rare = checkpointed(rare.where("x.open").select("cid", F.col("x.h").alias("h")))
+    rare = checkpointed(rare.where("x.open").select("cid", F.col("x.h").alias("h")), 250_000)
     hubs = rare.groupBy("h").agg(F.min("cid").alias("hub"))
     clusters = connected_components(rare.join(hubs, "h").where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct())
     return sets.join(clusters.select(F.col("node").alias("cid"), F.col("component").alias("cluster")), "cid")
@@ -286,7 +286,8 @@ def _linked_in_blocks(clustered: DataFrame, classes: DataFrame, percent: int, bl
                         root[root == root[y]] = root[x]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    blocks = checkpointed(clustered.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
+    clustered = checkpointed(clustered, 4_000)
+    blocks = clustered.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     x = clustered.join(blocks, "cluster").join(classes.select("cid", "sig"), "cid").withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     x = x.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "k")).withColumn("j", F.greatest("own", "k"))
     return x.select("cluster", "i", "j", "own", "cid", "component", "sig", "hashes").groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
