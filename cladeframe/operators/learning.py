@@ -146,3 +146,39 @@ def edit_profile(df: DataFrame, on: list[str], pos: str, sym: str) -> DataFrame:
     """Counts of symbols by column: the profile of aligned sequences."""
     return df.groupBy(*on, pos, sym).agg(F.count(F.lit(1)).alias("n"))
 
+
+
+def boolean_rbm(df: DataFrame, visible: str, hidden: int, rounds: int = 50, rate: float = 0.1, momentum: float = 0.9, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights and biases of a restricted Boltzmann machine over ``visible`` (array of 0 and 1) by contrastive divergence.
+
+    A round is one map with partial sums of the gradient, a row a task, and one grouped sum; hidden units are drawn by a generator seeded with the round
+    and the rows, so a repeated task gives the same sums. The parameters are a matrix of visible by hidden units.
+    """
+    rng = np.random.default_rng(seed)
+    n = df.agg(F.max(F.size(visible))).first()[0] or 0
+    w, a, b = rng.normal(0, 0.01, (n, hidden)), np.zeros(n), np.zeros(hidden)
+    change = [np.zeros_like(x) for x in (w, a, b)]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for r in range(rounds):
+
+        def gradient(batches, w=w, a=a, b=b, r=r):
+            total, count = np.zeros(n * hidden + n + hidden), 0
+            for batch in batches:
+                v = np.array(batch.column(visible).to_pylist(), float).reshape(-1, n)
+                if len(v):
+                    own = np.random.default_rng([seed, r, len(v), int(v.sum())])
+                    h = sigmoid(v @ w + b)
+                    v2 = sigmoid((own.random(h.shape) < h) @ w.T + a)
+                    h2 = sigmoid(v2 @ w + b)
+                    total += np.concatenate([(v.T @ h - v2.T @ h2).ravel(), (v - v2).sum(axis=0), (h - h2).sum(axis=0)])
+                    count += len(v)
+            k = np.arange(len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(total, float(count)))], names=["k", "g"])
+
+        sums = {x.k: x.g for x in df.select(visible).mapInArrow(gradient, "k long, g double").groupBy("k").agg(F.sum("g").alias("g")).collect()}  # a number for each parameter
+        rows = max(1.0, sums.pop(-1, 0.0))
+        g = np.array([sums[k] for k in range(len(sums))]) / rows if sums else np.zeros(n * hidden + n + hidden)
+        parts = g[: n * hidden].reshape(n, hidden), g[n * hidden : n * hidden + n], g[n * hidden + n :]
+        change = [momentum * c + rate * p for c, p in zip(change, parts)]
+        w, a, b = (x + c for x, c in zip((w, a, b), change))
+    return w, a, b

@@ -172,3 +172,108 @@ def indel_events(presence: DataFrame, tree: DataFrame) -> DataFrame:
     d = presence.join(tree.select("node", "parent"), "node").join(above, ["parent", "pos"]).withColumn("d", F.col("p") - F.col("q"))
     w = W.partitionBy("node").orderBy("pos")
     return d.withColumn("was", F.coalesce(F.lag("d").over(w), F.lit(0))).groupBy("node").agg(F.count_if((F.col("d") != 0) & (F.col("d") != F.col("was"))).alias("events"))
+
+
+def joint_recoded(sites: DataFrame, tree: Tree, rate: float = 1.0) -> DataFrame:
+    """As :func:`joint`, each site under equal rates between the states that its leaves show (in order); sites without any have no rows."""
+    kids, index = tree.children, {lab: i for i, lab in enumerate(tree.labels)}
+    times = np.array(tree.dists) * rate
+
+    def run(site: pd.DataFrame) -> pd.DataFrame:
+        rows = [(index[a], s) for a, s in zip(site["leaf"], site["state"]) if s is not None and a in index]
+        states = sorted({s for _, s in rows})
+        n, k = len(tree.labels), len(states)
+        if not k:
+            return pd.DataFrame([], columns=["site", "node", "state", "log_likelihood"])
+        change = (1 - np.exp(-times)) / k
+        same, other = np.log(1 - change * (k - 1)), np.log(np.maximum(change, 1e-300))
+        up, choice = np.zeros((n, k)), np.zeros((n, k), int)
+        for i, s in rows:
+            up[i] = -np.inf
+            up[i, states.index(s)] = 0
+        for i in reversed(range(1, n)):
+            best = up[i].argmax()  # from state s a child either keeps it or changes to the best of all
+            stay, leave = same[i] + up[i], other[i] + up[i][best]
+            keeps = (stay > leave) | (np.arange(k) == best)
+            choice[i] = np.where(keeps, np.arange(k), best)
+            up[tree.parents[i]] += np.where(keeps, stay, leave)
+        state = np.zeros(n, int)
+        state[0] = up[0].argmax()
+        for i in range(1, n):
+            state[i] = choice[i][state[tree.parents[i]]]
+        key, total = site["site"].iloc[0], float(up[0].max() - np.log(k))
+        return pd.DataFrame([(key, tree.labels[i], states[state[i]], total) for i in range(n) if kids[i]], columns=["site", "node", "state", "log_likelihood"])
+
+    return sites.select("site", "leaf", "state").groupBy("site").applyInPandas(run, "site long, node string, state string, log_likelihood double")
+
+
+def bidirectional_edge_likelihood(alignment: DataFrame, tree: Tree, width: int, rate: float = 1.0) -> DataFrame:
+    """As :func:`bidirectional_edge_parsimony`, with the jointly most probable jumps of every position instead of the most parsimonious."""
+    j = jumps(alignment, width)
+    forward = j.select((F.col("from_pos") * 2 + 2).alias("site"), "leaf", F.col("to_pos").cast("string").alias("state"))
+    backward = j.select((F.col("to_pos") * 2 + 3).alias("site"), "leaf", F.col("from_pos").cast("string").alias("state"))
+    found = joint_recoded(forward.unionByName(backward), tree, rate)
+    ahead = F.col("site") % 2 == 0
+    here, there = F.when(ahead, (F.col("site") - 2) / 2).otherwise((F.col("site") - 3) / 2).cast("long"), F.col("state").cast("long")
+    edges = found.select("node", F.when(ahead, here).otherwise(there).alias("from_pos"), F.when(ahead, there).otherwise(here).alias("to_pos"), ahead.alias("f"))
+    return edges.groupBy("node", "from_pos", "to_pos").agg((F.bool_or("f") & F.bool_or(~F.col("f"))).alias("recip"))
+
+
+def indel_lengths(presence: DataFrame, tree: DataFrame) -> DataFrame:
+    """kind (insertion or deletion), length, n: runs of positions that a branch gains or loses. ``presence``: node, pos, p; ``tree``: node, parent.
+    Runs that reach the last position count too."""
+    above = presence.select(F.col("node").alias("parent"), "pos", F.col("p").alias("q"))
+    d = presence.join(tree.select("node", "parent"), "node").join(above, ["parent", "pos"]).withColumn("d", F.col("p") - F.col("q"))
+    w = W.partitionBy("node").orderBy("pos")
+    runs = d.withColumn("new", (F.coalesce(F.lag("d").over(w), F.lit(0)) != F.col("d")).cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    lengths = runs.where("d <> 0").groupBy("node", "run", "d").agg(F.count(F.lit(1)).alias("length"))
+    return lengths.groupBy(F.when(F.col("d") > 0, "insertion").otherwise("deletion").alias("kind"), "length").agg(F.count(F.lit(1)).alias("n"))
+
+
+def simulated(spark, tree: Tree, model: Model, n_sites: int, seed: int = 0, rate: float = 1.0) -> DataFrame:
+    """site, node, state of every node at ``n_sites`` sites drawn from the model along the tree. A site's draws come from its own number
+    and the seed, so a repeated task gives the same ones."""
+    steps = {d: np.cumsum(model.transition(d * rate), axis=1) for d in set(tree.dists)}
+    start, alphabet = np.cumsum(model.freqs), np.array(model.alphabet)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for site in batch["id"]:
+                u = np.random.default_rng([seed, int(site)]).random(len(tree.labels))
+                state = np.zeros(len(tree.labels), int)
+                state[0] = min(len(start) - 1, np.searchsorted(start, u[0] * start[-1], "right"))
+                for i in range(1, len(state)):
+                    row = steps[tree.dists[i]][state[tree.parents[i]]]
+                    state[i] = min(len(row) - 1, np.searchsorted(row, u[i] * row[-1], "right"))
+                out.append(pd.DataFrame({"site": site, "node": tree.labels, "state": alphabet[state]}))
+            if out:
+                yield pd.concat(out)
+
+    return spark.range(n_sites).mapInPandas(run, "site long, node string, state string")
+
+
+def rate_segments(scores: DataFrame, max_length: int, penalty: float) -> DataFrame:
+    """aln_id, start, stop (inclusive), category: the best partition of each alignment's positions into segments of one rate category.
+    ``scores``: aln_id, pos (from 0, without holes), ll (array of log-likelihoods by category). A segment costs ``penalty`` and is at most
+    ``max_length`` long; prefix sums make each candidate one subtraction. An alignment's positions are one group."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("pos")
+        sums = np.concatenate([np.zeros((1, len(g["ll"].iloc[0]))), np.cumsum(np.stack(g["ll"].to_numpy()), axis=0)])
+        n = len(g)
+        best, back = np.full(n + 1, -np.inf), np.zeros((n + 1, 2), int)
+        best[0] = 0
+        for stop in range(1, n + 1):
+            first = max(0, stop - max_length)
+            total = best[first:stop, None] + sums[stop] - sums[first:stop] - penalty
+            at, c = np.unravel_index(total.argmax(), total.shape)
+            best[stop], back[stop] = total[at, c], (first + at, c)
+        out, stop = [], n
+        while stop:
+            first, c = back[stop]
+            out.append((g["aln_id"].iloc[0], int(first), int(stop - 1), int(c)))
+            stop = first
+        return pd.DataFrame(out[::-1], columns=["aln_id", "start", "stop", "category"])
+
+    return scores.select("aln_id", "pos", "ll").groupBy("aln_id").applyInPandas(run, "aln_id string, start long, stop long, category int")

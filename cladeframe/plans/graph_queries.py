@@ -62,6 +62,11 @@ def edge_parsimony(spark, sf_dir):
     return reconstruction.bidirectional_edge_parsimony(_alignment(spark, sf_dir), _user_tree(), HOURS)
 
 
+def edge_likelihood(spark, sf_dir):
+    """The same by joint likelihood."""
+    return reconstruction.bidirectional_edge_likelihood(_alignment(spark, sf_dir), _user_tree(), HOURS)
+
+
 def ancestor_paths(spark, sf_dir):
     """The preferred path through each ancestor's graph."""
     e = edge_parsimony(spark, sf_dir).withColumnRenamed("node", "graph").withColumn("weight", F.lit(1.0))
@@ -72,7 +77,7 @@ def presence_parsimony(spark, sf_dir):
     return reconstruction.presence_by_parsimony(_alignment(spark, sf_dir), _user_tree())
 
 
-QUERIES = {f.__name__: f for f in (sequence_graph, column_distribution, alignment_jumps, gap_statistics, graph_skip_overs, graph_symmetric_difference, edge_parsimony, ancestor_paths, presence_parsimony)}
+QUERIES = {f.__name__: f for f in (sequence_graph, column_distribution, alignment_jumps, gap_statistics, graph_skip_overs, graph_symmetric_difference, edge_parsimony, edge_likelihood, ancestor_paths, presence_parsimony)}
 
 _JUMPS = f"{_ALIGNMENT}, o AS (SELECT leaf, pos, lag(pos) OVER w AS prev, coalesce(lead(pos) OVER w, {HOURS}) AS nxt FROM al WHERE sym IS NOT NULL WINDOW w AS (PARTITION BY leaf ORDER BY pos)), j AS (SELECT leaf, pos AS from_pos, nxt::BIGINT AS to_pos FROM o UNION ALL SELECT leaf, -1, pos FROM o WHERE prev IS NULL)"
 

@@ -168,3 +168,37 @@ def test_gaussian_mixture_and_latent_classes(spark):
     t = learning.latent_class(rows, ["u", "v"], 2, rounds=12).collect()
     best = {(r["class"], r.variable): r.value for r in sorted(t, key=lambda r: r.p)}
     assert {best[c, "u"] for c in (0, 1)} == {"a", "b"}
+
+
+def test_recoded_likelihood_is_that_of_equal_rates(spark):
+    tree = parse("((a:0.1,b:0.9)x:0.4,(c:0.3,d:0.2)y:0.6)r:0;")
+    sites = spark.createDataFrame([(1, n, s) for n, s in zip("abcd", "ABBA")] + [(2, n, s) for n, s in zip("abcd", ["A", "B", None, "C"])], "site long, leaf string, state string")
+    got = {(r.site, r.node): (r.state, round(r.log_likelihood, 9)) for r in reconstruction.joint_recoded(sites, tree).collect()}
+    for site, states in ((1, ("A", "B")), (2, ("A", "B", "C"))):
+        want = reconstruction.joint(sites.where(F.col("site") == site), tree, models.jc(states)).collect()
+        assert all(abs(got[site, r.node][1] - r.log_likelihood) < 1e-6 for r in want) and {r.node: got[site, r.node][0] for r in want} == {r.node: r.state for r in want}
+
+
+def test_simulation_follows_the_model(spark):
+    tree, model = parse("(a:0.5,b:3)r:0;"), models.yang()
+    rows = reconstruction.simulated(spark, tree, model, 4000, seed=3).groupBy("site").pivot("node", ["r", "a"]).agg(F.first("state")).groupBy("r", "a").count().collect()
+    n = {r: sum(x["count"] for x in rows if x.r == r) for r in "ACGT"}
+    for x in rows:
+        p = model.transition(0.5)["ACGT".index(x.r), "ACGT".index(x.a)]
+        assert abs(x["count"] / n[x.r] - p) < 5 * (p * (1 - p) / n[x.r]) ** 0.5 + 0.01
+
+
+def test_segments_and_indel_lengths(spark):
+    ll = [[0.0, -1.0]] * 5 + [[-1.0, 0.0]] * 4
+    s = reconstruction.rate_segments(spark.createDataFrame([("x", i, v) for i, v in enumerate(ll)], "aln_id string, pos long, ll array<double>"), 6, 0.5).orderBy("start").collect()
+    assert [(r.start, r.stop, r.category) for r in s] == [(0, 4, 0), (5, 8, 1)]
+    presence = spark.createDataFrame([(n, i, int(v)) for n, row in (("p", "110011"), ("c", "101100")) for i, v in enumerate(row)], "node string, pos long, p int")
+    got = {(r.kind, r.length): r.n for r in reconstruction.indel_lengths(presence, spark.createDataFrame([("c", "p")], "node string, parent string")).collect()}
+    assert got == {("deletion", 1): 1, ("deletion", 2): 1, ("insertion", 2): 1}
+
+
+def test_boolean_rbm_learns_which_units_go_together(spark):
+    d = spark.createDataFrame([([1, 1, 0, 0],), ([0, 0, 1, 1],)] * 40, "v array<int>").coalesce(1)
+    w, a, b = learning.boolean_rbm(d, "v", 2, rounds=60, rate=0.5)
+    free = lambda v: -(np.array(v) @ a) - np.log1p(np.exp(np.array(v) @ w + b)).sum()
+    assert max(free([1, 1, 0, 0]), free([0, 0, 1, 1])) < min(free([1, 0, 1, 0]), free([0, 1, 0, 1]))
