@@ -29,15 +29,19 @@ def _parsimony_costs(tree: Tree, kids: list[list[int]], known: dict[int, int], k
     return cost
 
 
-def parsimony(sites: DataFrame, tree: Tree) -> DataFrame:
+def parsimony(sites: DataFrame, tree: Tree, default: str | None = None) -> DataFrame:
     """site, node (label), state, score: every state that a node has in some most parsimonious assignment, and the site's changes.
 
-    ``sites``: site, leaf (label), state (string; null: unknown). Sites without any state have no rows.
+    ``sites``: site, leaf (label), state (string; null: unknown). Leaves without a row have the state ``default``, or are unknown. Sites
+    without any state have no rows.
     """
     kids, index = tree.children, {lab: i for i, lab in enumerate(tree.labels)}
 
     def run(site: pd.DataFrame) -> pd.DataFrame:
         rows = [(index[a], s) for a, s in zip(site["leaf"], site["state"]) if s is not None and a in index]
+        if default is not None:
+            told = set(site["leaf"])
+            rows += [(i, default) for i in tree.leaves if tree.labels[i] not in told]
         states = sorted({s for _, s in rows})
         out = []
         if states:
@@ -277,3 +281,29 @@ def rate_segments(scores: DataFrame, max_length: int, penalty: float) -> DataFra
         return pd.DataFrame(out[::-1], columns=["aln_id", "start", "stop", "category"])
 
     return scores.select("aln_id", "pos", "ll").groupBy("aln_id").applyInPandas(run, "aln_id string, start long, stop long, category int")
+
+
+def gap_intervals(alignment: DataFrame) -> DataFrame:
+    """leaf, lo, hi: the maximal runs of gaps of each sequence."""
+    w = W.partitionBy("leaf").orderBy("pos")
+    runs = alignment.where("sym IS NULL").select("leaf", "pos").withColumn("run", F.col("pos") - F.row_number().over(w))
+    return runs.groupBy("leaf", "run").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).drop("run")
+
+
+def simple_indel_coding(alignment: DataFrame, bin_width: int = 64) -> DataFrame:
+    """leaf, lo, hi, state: one character for each distinct gap interval. A sequence that has the very gap is "1"; one whose gap
+    contains it and more is unknown (null); all others, "0", have no row, so the table is as large as the gaps and not as leaves times characters."""
+    from cladeframe.operators.intervals import overlap_join
+
+    gaps = gap_intervals(alignment)
+    characters = gaps.select("lo", "hi").distinct()
+    inside = overlap_join(characters, gaps, bin_width).where("b_lo <= lo AND hi <= b_hi")
+    same = (F.col("lo") == F.col("b_lo")) & (F.col("hi") == F.col("b_hi"))
+    return inside.select(F.col("b_leaf").alias("leaf"), "lo", "hi", F.when(same, "1").alias("state"))
+
+
+def indel_coding_parsimony(alignment: DataFrame, tree: Tree, width: int) -> DataFrame:
+    """lo, hi, node, state ("1": the gap is there), score: most parsimonious states of every indel character at every node."""
+    coded = simple_indel_coding(alignment).select((F.col("lo") * (width + 1) + F.col("hi")).alias("site"), "leaf", "state")
+    p = parsimony(coded, tree, default="0")
+    return p.select(F.floor(F.col("site") / (width + 1)).alias("lo"), (F.col("site") % (width + 1)).alias("hi"), "node", "state", "score")

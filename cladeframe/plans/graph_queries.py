@@ -67,6 +67,14 @@ def edge_likelihood(spark, sf_dir):
     return reconstruction.bidirectional_edge_likelihood(_alignment(spark, sf_dir), _user_tree(), HOURS)
 
 
+def simple_indel_coding(spark, sf_dir):
+    return reconstruction.simple_indel_coding(_alignment(spark, sf_dir))
+
+
+def indel_coding_parsimony(spark, sf_dir):
+    return reconstruction.indel_coding_parsimony(_alignment(spark, sf_dir), _user_tree(), HOURS)
+
+
 def ancestor_paths(spark, sf_dir):
     """The preferred path through each ancestor's graph."""
     e = edge_parsimony(spark, sf_dir).withColumnRenamed("node", "graph").withColumn("weight", F.lit(1.0))
@@ -77,7 +85,7 @@ def presence_parsimony(spark, sf_dir):
     return reconstruction.presence_by_parsimony(_alignment(spark, sf_dir), _user_tree())
 
 
-QUERIES = {f.__name__: f for f in (sequence_graph, column_distribution, alignment_jumps, gap_statistics, graph_skip_overs, graph_symmetric_difference, edge_parsimony, edge_likelihood, ancestor_paths, presence_parsimony)}
+QUERIES = {f.__name__: f for f in (sequence_graph, column_distribution, alignment_jumps, gap_statistics, graph_skip_overs, graph_symmetric_difference, edge_parsimony, edge_likelihood, simple_indel_coding, indel_coding_parsimony, ancestor_paths, presence_parsimony)}
 
 _JUMPS = f"{_ALIGNMENT}, o AS (SELECT leaf, pos, lag(pos) OVER w AS prev, coalesce(lead(pos) OVER w, {HOURS}) AS nxt FROM al WHERE sym IS NOT NULL WINDOW w AS (PARTITION BY leaf ORDER BY pos)), j AS (SELECT leaf, pos AS from_pos, nxt::BIGINT AS to_pos FROM o UNION ALL SELECT leaf, -1, pos FROM o WHERE prev IS NULL)"
 
@@ -92,6 +100,9 @@ SELECT graph, from_node, to_node, count(*) AS n, round(count(*) / sum(count(*))
 WITH {_ALIGNMENT}, r AS (SELECT *, lag(sym) OVER w AS prev, lag(pos) OVER w AS pp FROM al WINDOW w AS (PARTITION BY leaf ORDER BY pos)),
 s AS (SELECT count(*) FILTER (sym IS NULL) AS gaps, count(*) FILTER (sym IS NULL AND (prev IS NOT NULL OR pp IS NULL)) AS gap_starts, count(*) AS cells, count(DISTINCT pos) AS width FROM r)
 SELECT gaps, gap_starts, round(gaps / gap_starts, 6) AS mean_gap_length, round(1 - gaps / cells, 6) AS occupancy, trunc((1 - gaps / cells) * width)::INT AS average_length FROM s""",
+    "simple_indel_coding": f"""
+WITH {_ALIGNMENT}, g AS (SELECT leaf, pos, pos - row_number() OVER (PARTITION BY leaf ORDER BY pos) AS run FROM al WHERE sym IS NULL), i AS (SELECT leaf, min(pos) AS lo, max(pos) AS hi FROM g GROUP BY leaf, run)
+SELECT i.leaf, c.lo, c.hi, CASE WHEN c.lo = i.lo AND c.hi = i.hi THEN '1' END AS state FROM (SELECT DISTINCT lo, hi FROM i) c JOIN i ON i.lo <= c.lo AND c.hi <= i.hi""",
     "graph_skip_overs": f"WITH {_JUMPS} SELECT leaf AS graph, from_pos, sum(to_pos - from_pos - 1)::BIGINT AS skipped FROM j GROUP BY ALL",
     "graph_symmetric_difference": f"WITH {_JUMPS}, a AS (SELECT from_pos, to_pos FROM j WHERE leaf = 'g0'), b AS (SELECT from_pos, to_pos FROM j WHERE leaf = 'g1') SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
 }
