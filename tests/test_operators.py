@@ -202,3 +202,13 @@ def test_boolean_rbm_learns_which_units_go_together(spark):
     w, a, b = learning.boolean_rbm(d, "v", 2, rounds=60, rate=0.5)
     free = lambda v: -(np.array(v) @ a) - np.log1p(np.exp(np.array(v) @ w + b)).sum()
     assert max(free([1, 1, 0, 0]), free([0, 0, 1, 1])) < min(free([1, 0, 1, 0]), free([0, 1, 0, 1]))
+
+
+def test_simple_indel_coding(spark):
+    tree = parse("((a,b)x,(c,d)y)r;")
+    rows = [(n, i, None if s == "-" else s) for n, seq in (("a", "A--C"), ("b", "A--C"), ("c", "ACGC"), ("d", "---C")) for i, s in enumerate(seq)]
+    al = spark.createDataFrame(rows, "leaf string, pos long, sym string")
+    coded = {(r.leaf, r.lo, r.hi): r.state for r in reconstruction.simple_indel_coding(al).collect()}
+    assert coded == {("a", 1, 2): "1", ("b", 1, 2): "1", ("d", 1, 2): None, ("d", 0, 2): "1"}
+    got = {(r.lo, r.node): r.state for r in reconstruction.indel_coding_parsimony(al, tree, 4).where("node = 'x'").collect()}
+    assert got == {(1, "x"): "1", (0, "x"): "0"}
