@@ -27,7 +27,7 @@ from cladeframe.llm import tokens
 from cladeframe.llm.common import checkpointed
 
 #: Longest context in symbols; least count of a context and of a next symbol in it; least gain, in nats, over the parent.
-DEPTH, MIN_COUNT, MIN_NEXT, MIN_GAIN = 5, 16, 2, 8.0
+DEPTH, MIN_COUNT, MIN_NEXT, MIN_GAIN = 5, 16, 3, 8.0
 #: Symbols that UTF-8 doesn't use: what stands before a text, and its end.
 START, END, SYMBOLS = 0xFE, 0xFF, 256
 BROADCAST_ENTRIES, FREQUENT = 4_000_000, 1e-6
@@ -146,12 +146,11 @@ def grown(counts: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, min
 class Tree:
     """The tree as sorted arrays by depth, for tasks."""
 
-    def __init__(self, rows, depth: int = DEPTH):
-        self.depth = depth
+    def __init__(self, depths: np.ndarray, keys: np.ndarray, ps: np.ndarray, depth: int = DEPTH):
         self.levels = []
         for d in range(depth + 1):
-            here = rows["depth"] == d
-            key, p = rows["key"][here], rows["p"][here]
+            here = depths == d
+            key, p = keys[here], ps[here]
             ctx, order = key < 0, np.argsort
             e, c = order(key[~ctx]), order(-1 - key[ctx])
             self.levels.append((key[~ctx][e], p[~ctx][e], (-1 - key[ctx])[c], p[ctx][c]))
@@ -171,6 +170,11 @@ class Tree:
         return np.log10(np.maximum(p, 1e-300))
 
 
+def _collected(tree: DataFrame, depth: int) -> Tree:
+    rows = tree.select(F.col("depth").cast("byte"), "key", "p").toArrow()
+    return Tree(*(np.asarray(rows[c]) for c in ("depth", "key", "p")), depth)
+
+
 def joined_log10(keys: DataFrame, tree: DataFrame, depth: int = DEPTH) -> DataFrame:
     """key and lp for distinct windows, by joins with a tree of any size; the same numbers as :meth:`Tree.log10`."""
     x = keys.withColumn("lp", F.lit(1 / SYMBOLS))
@@ -206,11 +210,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     n, v = sums["n"] + texts, sums["v"] + (texts > 0)
 
     # At most 1 / FREQUENT words, whatever the corpus.
-    often = words.where(F.col("c") >= F.lit(max(1.0, n * FREQUENT))).toPandas()
+    often = words.where(F.col("c") >= F.lit(max(1.0, n * FREQUENT))).toArrow()
     sc = docs.sparkSession.sparkContext
-    frequent = sc.broadcast(dict(zip(map(bytes, often["word"]), often["c"].tolist())))
+    frequent = sc.broadcast(dict(zip(often["word"].to_pylist(), often["c"].to_pylist())))
     small = tree.count() <= broadcast_entries
-    held = sc.broadcast(Tree({c: np.asarray(x) for c, x in tree.toPandas().items()}, depth) if small else None)
+    held = sc.broadcast(_collected(tree, depth) if small else None)
 
     def run(batches):
         for batch in batches:
