@@ -212,3 +212,18 @@ def test_simple_indel_coding(spark):
     assert coded == {("a", 1, 2): "1", ("b", 1, 2): "1", ("d", 1, 2): None, ("d", 0, 2): "1"}
     got = {(r.lo, r.node): r.state for r in reconstruction.indel_coding_parsimony(al, tree, 4).where("node = 'x'").collect()}
     assert got == {(1, "x"): "1", (0, "x"): "0"}
+
+
+def test_likelihood_weighting_comes_near_the_exact_posterior(spark):
+    from cladeframe.operators import sampling
+
+    a = spark.createDataFrame([("x", 0.3), ("y", 0.7)], "a string, p double")
+    b = spark.createDataFrame([("x", 1, 0.9), ("x", 2, 0.1), ("y", 1, 0.2), ("y", 2, 0.8)], "a string, b int, p double")
+    c = spark.createDataFrame([(1, True, 0.6), (1, False, 0.4), (2, True, 0.1), (2, False, 0.9)], "b int, c boolean, p double")
+    tables = [("a", [], a), ("b", ["a"], b), ("c", ["b"], c)]
+    s = sampling.weighted_samples(spark, 20_000, tables, {"c": True})
+    assert s.count() == 20_000
+    got = {r.a: r.p for r in sampling.approximate_posterior(s, ["a"]).collect()}
+    logs = [t.withColumn("lp", F.log("p")).drop("p") for _, _, t in tables]
+    want = {r.a: r.p for r in factors.posterior(logs, ["b"], {"c": True}).collect()}
+    assert all(abs(got[k] - want[k]) < 0.015 for k in want)
