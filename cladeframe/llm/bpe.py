@@ -21,20 +21,23 @@ CHUNK = 1 << 18
 OUT_BYTES = 8 << 20
 
 
+def _ranks(rank_file: str) -> dict[bytes, int]:
+    with open(rank_file, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
 @functools.lru_cache(maxsize=4)
 def encoding(rank_file: str, pattern: str):
     """The tiktoken encoding of a local rank file, without special tokens; loaded once per worker."""
     import tiktoken
 
-    with open(rank_file, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=_ranks(rank_file), special_tokens={})
 
 
 @functools.lru_cache(maxsize=4)
-def token_bytes(rank_file: str, pattern: str) -> list[bytes]:
-    """Bytes by id; None where an id is free."""
-    ranks = encoding(rank_file, pattern)._mergeable_ranks
+def token_bytes(rank_file: str) -> list[bytes]:
+    """Bytes by id; None where an id is free. Workers that only decode need no more than this."""
+    ranks = _ranks(rank_file)
     out: list = [None] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         out[rank] = token
@@ -74,43 +77,46 @@ def encode_text(text: str | None, rank_file: str, pattern: str, chunk: int = CHU
     return b"".join(enc.encode_to_numpy(x, disallowed_special=()).astype("<u4", copy=False).tobytes() for x in safe_pieces(text, chunk))
 
 
-def decode_ids(ids: bytes | None, rank_file: str, pattern: str) -> bytes:
+def decode_ids(ids: bytes | None, rank_file: str) -> bytes:
     """The raw bytes that packed ids stand for; an unknown id raises KeyError."""
     if not ids:
         return b""
-    table = token_bytes(rank_file, pattern)
+    table = token_bytes(rank_file)
     try:
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
     except (IndexError, TypeError) as e:
         raise KeyError("a token id that the rank file does not have") from e
 
 
-def _mapped(df: DataFrame, column: str, out: str, f) -> DataFrame:
-    schema = T.StructType([*(x for x in df.schema.fields if x.name != out), T.StructField(out, T.BinaryType())])
-    names = [x.name for x in schema.fields[:-1]]
+def _mapped(df: DataFrame, column: str, outs: list[str], f) -> DataFrame:
+    """``df`` with the binary columns ``outs`` that ``f`` makes of a column."""
+    kept = [x for x in df.schema.fields if x.name not in outs]
+    schema = T.StructType([*kept, *(T.StructField(out, T.BinaryType()) for out in outs)])
+    names = [x.name for x in kept]
+
+    def joined(rest: pa.RecordBatch, made: list[tuple[bytes, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rest.columns, *(pa.array([m[k] for m in made], pa.binary()) for k in range(len(outs)))], names=schema.names)
 
     def run(batches):
         for batch in batches:
             values, at = batch.column(column), 0
-            made: list[bytes] = []
+            made: list[tuple[bytes, ...]] = []
             held = 0
             rest = batch.select(names)
             for i in range(len(values)):
                 made.append(x := f(values[i].as_py()))
-                held += len(x)
+                held += sum(map(len, x))
                 if held >= OUT_BYTES:
-                    yield _joined(rest.slice(at, len(made)), made, out)
+                    yield joined(rest.slice(at, len(made)), made)
                     at, made, held = i + 1, [], 0
             if made:
-                yield _joined(rest.slice(at, len(made)), made, out)
+                yield joined(rest.slice(at, len(made)), made)
+            del batch, values, rest, made
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
-def _joined(rest: pa.RecordBatch, made: list[bytes], out: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*rest.columns, pa.array(made, pa.binary())], names=[*rest.schema.names, out])
-
-
 def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", out_col: str = "ids", chunk: int = CHUNK) -> DataFrame:
     """``df`` with ``out_col``: the token ids of ``text_col``, packed as little-endian unsigned 32-bit integers.
 
@@ -118,13 +124,23 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
     ordinary text. A null text counts as empty and gets no ids. A column already named ``out_col`` is
     replaced; all other columns are kept, repeated rows too. An empty table gives an empty table.
     """
-    return _mapped(df, text_col, out_col, lambda x: encode_text(x, rank_file, pattern, chunk))
+    return _mapped(df, text_col, [out_col], lambda x: (encode_text(x, rank_file, pattern, chunk),))
 
 
-def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, rank_file: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` with ``out_col``: the raw bytes of the packed ids (null or empty: no bytes); not decoded as UTF-8,
     as ids may end within a character. An id that the rank file lacks fails the job."""
-    return _mapped(df, ids_col, out_col, lambda x: decode_ids(x, rank_file, pattern))
+    return _mapped(df, ids_col, [out_col], lambda x: (decode_ids(x, rank_file),))
+
+
+def round_tripped(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", chunk: int = CHUNK) -> DataFrame:
+    """:func:`encode` and then :func:`decode` of its ids, in one pass and one worker a task."""
+
+    def both(text: str | None) -> tuple[bytes, bytes]:
+        ids = encode_text(text, rank_file, pattern, chunk)
+        return ids, decode_ids(ids, rank_file)
+
+    return _mapped(df, text_col, [ids_col, decoded_col], both)
 
 
 def unpacked(ids):

@@ -49,7 +49,7 @@ def features(texts: pa.Array) -> np.ndarray:
     size = np.maximum(1, np.diff(ends))
     upper = kinds == 1
     for k, hit in enumerate((upper & np.concatenate([[False], upper[:-1]]) if len(upper) else upper, kinds == 2)):
-        total = np.concatenate([[0], np.cumsum(hit)])
+        total = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
         out[:, k] = (total[ends[1:]] - total[ends[:-1]]) / size
     flat, at = tokens.words(texts)
     if not len(flat):

@@ -30,7 +30,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, RANK_FILE, public_tokenizers.PATTERN).drop("text")
-    both = bpe.decode(ids, RANK_FILE, public_tokenizers.PATTERN)
+    both = bpe.decode(ids, RANK_FILE)
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

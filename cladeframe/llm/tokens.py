@@ -10,11 +10,12 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Texts are taken in slices of about this many bytes, so memory doesn't follow the size of a batch. A longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch cut into consecutive slices of at most ``limit`` bytes of text, or of one row."""
+    """The batch cut into consecutive slices of at most ``limit`` bytes of text, or of one row. What Arrow keeps for later goes
+    back to the system after each batch, as Spark's workers live on after a stage."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64))
     at = 0
     while at < batch.num_rows:
@@ -22,6 +23,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         n = max(1, int(np.searchsorted(ends, base + limit, "right")) - at)
         yield batch.slice(at, n)
         at += n
+    pa.default_memory_pool().release_unused()
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -39,8 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and the packed ids of every row, and whether decoding gives the text's bytes back."""
-    ids = bpe.encode(docs.select("doc_id", "source", "text"), RANK_FILE, public_tokenizers.PATTERN)
-    both = bpe.decode(ids, RANK_FILE, public_tokenizers.PATTERN)
+    both = bpe.round_tripped(docs.select("doc_id", "source", "text"), RANK_FILE, public_tokenizers.PATTERN)
     return both.select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("round_trip"))
 
 
