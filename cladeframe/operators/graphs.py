@@ -93,6 +93,19 @@ def nibbled(edges: DataFrame, width: int, rounds: int) -> DataFrame:
     return x
 
 
+def contiguous(edges: DataFrame, width: int) -> DataFrame:
+    """graph: those with a path from -1 to ``width``."""
+    return best_paths(edges.withColumn("weight", F.lit(1.0)), width).select("graph").distinct()
+
+
+def repaired(edges: DataFrame, fallback: DataFrame, width: int) -> DataFrame:
+    """graph, from_pos, to_pos, recip: graphs without a path from end to end get the edges that ``fallback`` has for them; the others keep theirs. A graph that is broken
+    in both has the fallback's edges."""
+    whole, columns = contiguous(edges, width), ["graph", "from_pos", "to_pos", "recip"]
+    broken = edges.select("graph").distinct().join(whole, "graph", "left_anti")
+    return edges.select(columns).join(whole, "graph", "left_semi").unionByName(fallback.select(columns).join(broken, "graph", "left_semi"))
+
+
 def dot_text(edges: DataFrame) -> DataFrame:
     """One line of graph text for each edge, for a text sink."""
     return edges.select("graph", F.concat(F.col("from_pos").cast("string"), F.lit(" -> "), F.col("to_pos").cast("string"), F.lit(";")).alias("value"))

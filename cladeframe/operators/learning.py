@@ -147,6 +147,59 @@ def edit_profile(df: DataFrame, on: list[str], pos: str, sym: str) -> DataFrame:
     return df.groupBy(*on, pos, sym).agg(F.count(F.lit(1)).alias("n"))
 
 
+def dirichlet_mixture(df: DataFrame, counts: str, k: int, rounds: int = 100, tolerance: float = 1e-7, seed: int = 1) -> tuple[list[float], list[list[float]], float]:
+    """Weights, alphas and log-likelihood of a mixture of Dirichlet distributions over ``counts`` (arrays of one length), by EM with a fixed-point step.
+
+    A round is one map with partial sums, a few numbers a component and task, and one grouped sum. Rows with a null array are left out; an array shorter than the longest
+    counts as ending in zeros. The first alphas are the mean shares, disturbed by the seed. The likelihood leaves out the multinomial coefficients.
+    """
+    from cladeframe.functions.special import digamma, log_gamma
+
+    n = df.agg(F.max(F.size(counts))).first()[0] or 0
+    data = df.where(F.col(counts).isNotNull()).select(F.col(counts).cast("array<double>").alias("c"))
+    total = [x or 0.0 for x in data.agg(*(F.sum(F.coalesce(F.get("c", F.lit(i)), F.lit(0.0))) for i in range(n))).first()] if n > 0 else []
+    if not sum(total):
+        return [1 / k] * k, [[1.0] * max(n, 0)] * k, 0.0
+    share = np.maximum(np.array(total) / sum(total), 1e-6)
+    alpha = n * share * np.random.default_rng(seed).uniform(0.5, 1.5, (k, n))
+    weights, was, loglik = np.full(k, 1 / k), -math.inf, 0.0
+    data = data.persist()
+    try:
+        for _ in range(rounds):
+
+            def sums(batches, alpha=alpha, weights=weights):
+                out = np.zeros((k, n + 2))
+                like = 0.0
+                for batch in batches:
+                    for at in range(0, batch.num_rows, 1024):
+                        x = np.zeros((min(1024, batch.num_rows - at), n))
+                        for i, row in enumerate(batch.column("c").slice(at, 1024).to_pylist()):
+                            x[i, : len(row)] = [v or 0 for v in row]
+                        size, a = x.sum(axis=1), alpha.sum(axis=1)
+                        lp = np.stack([log_gamma(np.full(len(x), a[c])) - log_gamma(size + a[c]) + (log_gamma(x + alpha[c]) - log_gamma(alpha[c])).sum(axis=1) for c in range(k)], axis=1) + np.log(np.maximum(weights, 1e-300))
+                        top = lp.max(axis=1, keepdims=True)
+                        r = np.exp(lp - top)
+                        like += float((top[:, 0] + np.log(r.sum(axis=1))).sum())
+                        r /= r.sum(axis=1, keepdims=True)
+                        for c in range(k):
+                            out[c, :n] += r[:, c] @ (digamma(x + alpha[c]) - digamma(alpha[c]))
+                            out[c, n] += r[:, c] @ (digamma(size + a[c]) - digamma(a[c : c + 1]))
+                            out[c, n + 1] += r[:, c].sum()
+                flat = np.append(out.ravel(), like)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["k", "g"])
+
+            got = data.mapInArrow(sums, "k long, g double").groupBy("k").agg(F.sum("g").alias("g")).orderBy("k").collect()  # a number for each parameter
+            flat = np.array([r.g for r in got])
+            loglik, s = float(flat[-1]), flat[:-1].reshape(k, n + 2)
+            weights = s[:, n + 1] / s[:, n + 1].sum()
+            alpha = np.clip(alpha * s[:, :n] / np.maximum(s[:, n : n + 1], 1e-300), 1e-6, 1e6)
+            if abs(loglik - was) <= tolerance * abs(loglik):
+                break
+            was = loglik
+    finally:
+        data.unpersist()
+    return weights.tolist(), alpha.tolist(), loglik
+
 
 def boolean_rbm(df: DataFrame, visible: str, hidden: int, rounds: int = 50, rate: float = 0.1, momentum: float = 0.9, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights and biases of a restricted Boltzmann machine over ``visible`` (array of 0 and 1) by contrastive divergence.
@@ -154,28 +207,50 @@ def boolean_rbm(df: DataFrame, visible: str, hidden: int, rounds: int = 50, rate
     A round is one map with partial sums of the gradient, a row a task, and one grouped sum; hidden units are drawn by a generator seeded with the round
     and the rows, so a repeated task gives the same sums. The parameters are a matrix of visible by hidden units.
     """
-    rng = np.random.default_rng(seed)
     n = df.agg(F.max(F.size(visible))).first()[0] or 0
+    return _divergence(df, visible, n, hidden, lambda v: v, _sigmoid, rounds, rate, momentum, seed)
+
+
+def multinomial_rbm(df: DataFrame, visible: str, values: int, hidden: int, rounds: int = 50, rate: float = 0.1, momentum: float = 0.9, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for ``visible`` units with ``values`` states (array of 0 .. values - 1): each unit is one softmax. The weights are of units x values by hidden units."""
+    n = df.agg(F.max(F.size(visible))).first()[0] or 0
+
+    def softmax(x: np.ndarray) -> np.ndarray:
+        units = x.reshape(len(x), -1, values)
+        e = np.exp(units - units.max(axis=2, keepdims=True))
+        return (e / e.sum(axis=2, keepdims=True)).reshape(x.shape)
+
+    return _divergence(df, visible, n * values, hidden, lambda v: np.eye(values)[v.astype(int)].reshape(len(v), -1), softmax, rounds, rate, momentum, seed)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def _divergence(df: DataFrame, visible: str, n: int, hidden: int, coded, shown, rounds: int, rate: float, momentum: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rounds of contrastive divergence; ``coded`` turns rows into units, ``shown`` a unit's input into its chance. Rows with a null array are left out."""
+    rng = np.random.default_rng(seed)
     w, a, b = rng.normal(0, 0.01, (n, hidden)), np.zeros(n), np.zeros(hidden)
     change = [np.zeros_like(x) for x in (w, a, b)]
-    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    known = df.where(F.col(visible).isNotNull()).select(visible)
     for r in range(rounds):
 
         def gradient(batches, w=w, a=a, b=b, r=r):
             total, count = np.zeros(n * hidden + n + hidden), 0
             for batch in batches:
-                v = np.array(batch.column(visible).to_pylist(), float).reshape(-1, n)
+                v = np.array(batch.column(visible).to_pylist(), float)
                 if len(v):
+                    v = coded(v)
                     own = np.random.default_rng([seed, r, len(v), int(v.sum())])
-                    h = sigmoid(v @ w + b)
-                    v2 = sigmoid((own.random(h.shape) < h) @ w.T + a)
-                    h2 = sigmoid(v2 @ w + b)
+                    h = _sigmoid(v @ w + b)
+                    v2 = shown((own.random(h.shape) < h) @ w.T + a)
+                    h2 = _sigmoid(v2 @ w + b)
                     total += np.concatenate([(v.T @ h - v2.T @ h2).ravel(), (v - v2).sum(axis=0), (h - h2).sum(axis=0)])
                     count += len(v)
             k = np.arange(len(total))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(total, float(count)))], names=["k", "g"])
 
-        sums = {x.k: x.g for x in df.select(visible).mapInArrow(gradient, "k long, g double").groupBy("k").agg(F.sum("g").alias("g")).collect()}  # a number for each parameter
+        sums = {x.k: x.g for x in known.mapInArrow(gradient, "k long, g double").groupBy("k").agg(F.sum("g").alias("g")).collect()}  # a number for each parameter
         rows = max(1.0, sums.pop(-1, 0.0))
         g = np.array([sums[k] for k in range(len(sums))]) / rows if sums else np.zeros(n * hidden + n + hidden)
         parts = g[: n * hidden].reshape(n, hidden), g[n * hidden : n * hidden + n], g[n * hidden + n :]
