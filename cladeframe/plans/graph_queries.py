@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.operators import graphs, reconstruction
+from cladeframe.operators import annotation, graphs, learning, pair_hmm, reconstruction
+from cladeframe.plans import models
 from cladeframe.plans.tree_queries import _user_tree
 
 HOURS = 24
@@ -85,11 +86,49 @@ def presence_parsimony(spark, sf_dir):
     return reconstruction.presence_by_parsimony(_alignment(spark, sf_dir), _user_tree())
 
 
-QUERIES = {f.__name__: f for f in (sequence_graph, column_distribution, alignment_jumps, gap_statistics, graph_skip_overs, graph_symmetric_difference, edge_parsimony, edge_likelihood, simple_indel_coding, indel_coding_parsimony, ancestor_paths, presence_parsimony)}
+def graph_repair(spark, sf_dir):
+    """Ancestors' edges by likelihood; those of parsimony where an ancestor's graph has no path from end to end."""
+    side = lambda e: e.withColumnRenamed("node", "graph")
+    return graphs.repaired(side(edge_likelihood(spark, sf_dir)), side(edge_parsimony(spark, sf_dir)), HOURS)
+
+
+def graph_contiguous(spark, sf_dir):
+    """Users' groups whose jumps lead from the first to the last position."""
+    e = reconstruction.jumps(_alignment(spark, sf_dir), HOURS).select(F.col("leaf").alias("graph"), "from_pos", "to_pos", F.lit(True).alias("recip"))
+    return graphs.contiguous(e, HOURS)
+
+
+def tree_annotation(spark, sf_dir):
+    """The hidden state and predicted mean value of every group of users and its ancestors, by hour."""
+    e = _events(spark, sf_dir).select(F.hour("ts").cast("long").alias("site"), F.concat(F.lit("g"), (F.col("user_id") % 8).cast("string")).alias("leaf"), "value")
+    values = e.groupBy("site", "leaf").agg(F.avg("value").alias("value"))
+    tree, model = _user_tree(), models.jc(("low", "high"))
+    means, variances, _ = annotation.fit_emissions(values, tree, model, rounds=20)
+    return annotation.annotated(values, tree, model, means, variances)
+
+
+def user_type_mixture(spark, sf_dir):
+    """component, weight, alphas of a mixture of two Dirichlet distributions over users' counts of event types."""
+    e = _events(spark, sf_dir)
+    types = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # a handful
+    counts = e.groupBy("user_id").agg(F.array(*(F.count_if(F.col("event_type") == t) for t in types)).alias("counts"))
+    weights, alphas, _ = learning.dirichlet_mixture(counts, "counts", 2, rounds=20)
+    return spark.createDataFrame([(i, w, a) for i, (w, a) in enumerate(zip(weights, alphas))], "component int, weight double, alphas array<double>")
+
+
+def name_alignments(spark, sf_dir):
+    """Each nation's name aligned with its region's."""
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    pairs = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("a"), F.col("r_name").alias("b"))
+    return pair_hmm.hmm_alignments(pairs, pair_hmm.PairModel(symbols=26))
+
+
+QUERIES = {f.__name__: f for f in (sequence_graph, column_distribution, alignment_jumps, gap_statistics, graph_skip_overs, graph_symmetric_difference, edge_parsimony, edge_likelihood, simple_indel_coding, indel_coding_parsimony, ancestor_paths, presence_parsimony, graph_repair, graph_contiguous, tree_annotation, user_type_mixture, name_alignments)}
 
 _JUMPS = f"{_ALIGNMENT}, o AS (SELECT leaf, pos, lag(pos) OVER w AS prev, coalesce(lead(pos) OVER w, {HOURS}) AS nxt FROM al WHERE sym IS NOT NULL WINDOW w AS (PARTITION BY leaf ORDER BY pos)), j AS (SELECT leaf, pos AS from_pos, nxt::BIGINT AS to_pos FROM o UNION ALL SELECT leaf, -1, pos FROM o WHERE prev IS NULL)"
 
 ORACLE_SQL = {
+    "graph_contiguous": f"WITH {_JUMPS} SELECT DISTINCT leaf AS graph FROM j WHERE to_pos = {HOURS}",
     "sequence_graph": """
 WITH s AS (SELECT (user_id % 2)::VARCHAR AS graph, event_type AS a, lead(event_type) OVER w AS b, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 e AS (SELECT graph, a AS from_node, b AS to_node FROM s UNION ALL SELECT graph, NULL, a FROM s WHERE i = 1)

@@ -113,7 +113,7 @@ def test_dirichlet_mixture_separates_its_parts(spark):
     rng = np.random.default_rng(7)
     rows = [(rng.multinomial(40, rng.dirichlet([[20, 2, 2], [2, 2, 20]][i % 3 == 0])).tolist(),) for i in range(300)]
     df = spark.createDataFrame([*rows, (None,)], "c array<long>")
-    weights, alpha, _ = learning.dirichlet_mixture(df, "c", 2, rounds=150)
+    weights, alpha, _ = learning.dirichlet_mixture(df, "c", 2, rounds=60)
     order = np.argsort(weights)
     shares = np.array(alpha)[order] / np.array(alpha)[order].sum(axis=1, keepdims=True)
     assert abs(weights[order[0]] - 1 / 3) < 0.05 and np.allclose(shares, [[1 / 12, 1 / 12, 10 / 12], [10 / 12, 1 / 12, 1 / 12]], atol=0.05)
@@ -122,7 +122,7 @@ def test_dirichlet_mixture_separates_its_parts(spark):
 
 def test_multinomial_machine_learns_its_patterns(spark):
     df = spark.createDataFrame([([0, 2],)] * 60 + [([1, 0],)] * 60 + [(None,)], "v array<int>")
-    w, a, b = learning.multinomial_rbm(df, "v", values=3, hidden=4, rounds=150, rate=0.3)
+    w, a, b = learning.multinomial_rbm(df, "v", values=3, hidden=4, rounds=60, rate=0.5)
     assert w.shape == (6, 4)
 
     def free(v):
