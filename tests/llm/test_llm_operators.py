@@ -152,6 +152,36 @@ def test_licenses(spark):
         assert (low, high) == (min(fits), max(fits))
 
 
+def test_licenses_beside_other_words(spark):
+    mit = next(t for i, t in licenses.MORE_TEMPLATES if i == "MIT" and len(t) > 500)
+    w = mit.split(" ")
+    lines = [" ".join(w[i : i + 9]) for i in range(0, len(w), 9)]
+    block = "/*\n * MIT License\n *\n" + "\n *\n".join(" * " + x for x in lines) + "\n */\nint main() { return 0; }"
+    gpl = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version. See the file.\nimport os"
+    texts = ["This project is licensed under the MIT License.", "Copyright (c) 2020 Jane Doe. Licensed under the MIT License.", "MIT License", block, gpl, "x\nParts are licensed under the MIT\nLicense, others under CC: licensed under CC BY 4.0 only.\nReleased under the MIT License\n", "the license of the software under the apache and the mit of it"]
+    out = {r.i: [(m.passage, m.license, round(m.dice, 2)) for m in r.license_matches] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    one = ("licensed under the mit license", "MIT", 1.0)
+    assert out[0] == [one] and out[1] == [one] and out[2] == [("mit license", "MIT", 1.0)] and out[6] == []
+    assert [m[1] for m in out[3]] == ["MIT", "MIT"] and out[3][0][0] == "mit license" and out[3][1][2] >= 0.98
+    assert [m[1:] for m in out[4]] == [("GPL-2.0", 0.94)]  # the paragraph as a whole
+    assert out[5] == [("released under the mit license", "MIT", 1.0), one, ("licensed under cc by 4 0", "CC-BY-4.0", 1.0)]
+
+
+def test_license_windows_are_the_best_of_all(spark):
+    import random
+
+    rng = random.Random(1)
+    t = "a b c d e f g h"
+    grams = set(licenses.template_bigrams(t))
+    texts = [" ".join(rng.choice("abcdefghx") if rng.random() < 0.3 else "abcdefgh"[i % 8] for i in range(rng.randint(2, 40))) for _ in range(60)]
+    got = {r.i: max((m.dice for m in r.license_matches), default=0) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), templates=[("T", t)]).collect()}
+    for i, text in enumerate(texts):
+        w = text.split()
+        g = [f"{x} {y}" for x, y in zip(w, w[1:])]
+        best = max((2 * len(grams & set(g[a:b])) / (len(set(g[a:b])) + len(grams)) for a in range(len(g)) for b in range(a + 1, min(len(g), a + 10) + 1)), default=0)
+        assert (got[i] > 0) == (best >= 0.8)
+
+
 def _targets(sizes):
     """Water filling by rounds."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
