@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cladeframe.functions import special
+
 
 def conditional_probabilities(df: DataFrame, child: str, parents: list[str], weight: Column | None = None) -> DataFrame:
     """P(child given parents) as weighted shares; parent keys that don't occur have no rows."""
@@ -152,9 +152,10 @@ def good_turing_line(df: DataFrame, species: str) -> DataFrame:
 
 
 def poisson_log_likelihood(df: DataFrame, value: str, on: list[str]) -> DataFrame:
-    """Rate and log-likelihood of each group's counts; ln k! by the sum of logs that counts up to 170 need."""
-    logs = F.array(*(F.lit(math.lgamma(k + 1)) for k in range(171)))
-    s = df.groupBy(*on).agg(F.count(value).alias("n"), F.avg(value).alias("rate"), F.sum(F.element_at(logs, (F.col(value) + 1).cast("int"))).alias("lf"))
+    """Rate and log-likelihood of each group's counts. Rows are counted by value first, so that ln k! is worked out once for each."""
+    k = df.groupBy(*on, value).agg(F.count(value).alias("__n"))
+    x = k.withColumn("__lf", F.col("__n") * special.lgamma_col(F.col(value).cast("double") + 1))
+    s = x.groupBy(*on).agg(F.sum("__n").alias("n"), (F.sum(F.col("__n") * F.col(value)) / F.nullif(F.sum("__n"), F.lit(0))).alias("rate"), F.sum(F.when(F.col(value).isNotNull(), F.col("__lf"))).alias("lf"))
     return s.select(*on, "rate", (F.col("n") * F.col("rate") * (F.log("rate") - 1) - F.col("lf")).alias("log_likelihood"))
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladeframe.functions import sequences, special, vectors
-from cladeframe.operators import factors, graphs, intervals, learning, reconstruction, trees
+from cladeframe.operators import factors, graphs, intervals, learning, reconstruction, statistics, trees
 from cladeframe.plans import models
 from cladeframe.plans.tree import newick, parse
 
@@ -143,6 +143,17 @@ def test_special_functions():
     assert np.allclose(special.beta_fraction(np.array(2.0), np.array(3.0), np.array(0.4)), 6 * 0.4**2 - 8 * 0.4**3 + 3 * 0.4**4)
 
 
+def test_poisson_log_likelihood_of_large_counts(spark):
+    counts = {"a": [171, 3, 3, 0, 100_000], "b": [2, 2, 5]}
+    d = spark.createDataFrame([*((g, k) for g, v in counts.items() for k in v), ("b", None), ("c", None)], "g string, k long")
+    got = {r.g: r for r in statistics.poisson_log_likelihood(d, "k", ["g"]).collect()}
+    for g, v in counts.items():
+        rate = sum(v) / len(v)
+        want = sum(k * math.log(rate) - rate - math.lgamma(k + 1) for k in v)
+        assert got[g].rate == rate and math.isclose(got[g].log_likelihood, want, rel_tol=1e-12)
+    assert got["c"].rate is None and got["c"].log_likelihood is None
+
+
 def test_vectors_and_sequences(spark):
     d = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0])], "x array<double>, y array<double>")
     r = d.select(vectors.kl_divergence(F.col("x"), F.col("y")).alias("kl"), vectors.distance(F.col("x"), F.col("y")).alias("d"), vectors.log_sum_of_logs(F.lit(float("-inf")), F.lit(-2.0)).alias("l")).first()
