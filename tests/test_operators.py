@@ -143,6 +143,30 @@ def test_special_functions():
     assert np.allclose(special.beta_fraction(np.array(2.0), np.array(3.0), np.array(0.4)), 6 * 0.4**2 - 8 * 0.4**3 + 3 * 0.4**4)
 
 
+def test_incomplete_gamma_and_beta_of_large_arguments():
+    from decimal import Decimal, localcontext
+
+    def poisson_sum(n, x):
+        """Exact P(n, x) for whole n: one less the sum of the first n Poisson terms."""
+        with localcontext(prec=40):
+            x = Decimal(x)
+            term = total = Decimal(1)
+            for k in range(1, n):
+                term = term * x / k
+                total += term
+            return float(1 - total * (-x).exp())
+
+    for n, xs in ((900, (800, 900, 901, 1000)), (9_999, (9_800, 9_999, 10_000, 10_200)), (100_000, (99_000, 100_000, 100_500)), (1_000_000, (999_000, 1_000_000))):
+        for x in xs:
+            want = poisson_sum(n, x)
+            assert math.isclose(special.lower_gamma(np.array([n]), np.array([x]))[0], want, rel_tol=1e-10), (n, x)
+    low, high = special.lower_gamma(np.full(2, special.LARGE_SHAPE), np.full(2, 1e4)), special.lower_gamma(np.full(2, np.nextafter(special.LARGE_SHAPE, 2e4)), np.full(2, 1e4))
+    assert np.allclose(low, high, rtol=1e-10, atol=0)
+    edge = special.lower_gamma(np.array([2.0, 2.0, 2.0, 1e5, 1e5, np.nan, 0.0]), np.array([0.0, -1.0, np.inf, 1.0, 1e9, 1.0, 1.0]))
+    assert edge[:5].tolist() == [0, 0, 1, 0, 1] and np.isnan(edge[5:]).all()
+    assert np.allclose(special.beta_fraction(np.array([1e5, 1e6, 2.0, 2.0]), np.array([1e5, 1e6, 3.0, 3.0]), np.array([0.5, 0.5, 0.0, 1.0])), [0.5, 0.5, 0, 1], rtol=1e-7)
+
+
 def test_poisson_log_likelihood_of_large_counts(spark):
     counts = {"a": [171, 3, 3, 0, 100_000], "b": [2, 2, 5]}
     d = spark.createDataFrame([*((g, k) for g, v in counts.items() for k in v), ("b", None), ("c", None)], "g string, k long")
