@@ -9,6 +9,8 @@ What the driver holds is the histograms of the probed cells: bounded by shards a
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,7 +42,8 @@ def _prefix(level: int) -> list[Column]:
 
 
 def histogram_splits(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> pd.DataFrame:
-    """Runs of keys in order: first key (h1, h2 as unsigned), bytes, rows, shard and the slot of the first row.
+    """Runs of keys in order: first key (h1, h2 as unsigned), bytes, rows, shard, the slot of the first row, and where a run of equal
+    keys is dealt out by number (``alike``), a row for each of its shards with the number it begins with (``first``).
 
     ``keys``: __h1, __h2, __size. Each level counts, for the cells still to be refined, bytes and rows by the
     next digit: one grouped aggregation, summed before the shuffle.
@@ -78,23 +81,35 @@ def histogram_splits(keys: DataFrame, n_shards: int, tolerance: float = TOLERANC
             shift1, shift2 = (64 - used - bits, 64) if which == 0 else (0, 64 - used - bits)
             again = {(a << shift1, (b << shift2) % 2**64 if which else 0) for a, b in todo}
             done = [x for x in done if (x[0], x[1]) not in again]
-    return _placed(done, n_shards)
+    return _placed(done, n_shards, tolerance)
 
 
 def _signed(n: int) -> int:
     return n - 2**64 if n >= 2**63 else n
 
 
-def _placed(runs: list[tuple[int, int, int, int]], n_shards: int) -> pd.DataFrame:
-    """Shards and slots: a run goes to the shard in which its middle byte lies."""
+def _placed(runs: list[tuple[int, int, int, int]], n_shards: int, tolerance: float) -> pd.DataFrame:
+    """Shards and slots: a run goes to the shard in which its middle byte lies. Runs that are still too large or cut hold one key only:
+    each of their rows, all of one size, goes to the shard of its own middle byte."""
     runs = sorted(runs)
     total, at, slots, out = max(1, sum(x[2] for x in runs)), 0, [0] * n_shards, []
+    share = max(1.0, total / n_shards)
     for h1, h2, n_bytes, n_rows in runs:
-        s = min(n_shards - 1, int((at + n_bytes / 2) * n_shards / total))
-        out.append((h1, h2, n_bytes, n_rows, s, slots[s]))
-        slots[s] += n_rows
+        cut = int(at / share) != int((at + n_bytes) / share) and n_bytes > tolerance * share
+        alike = n_rows > 1 and (cut or n_bytes > RUN_SHARE * share)
+        parts = [(0, n_rows, min(n_shards - 1, int((at + n_bytes / 2) * n_shards / total)))]
+        if alike:
+            parts, first, each = [], 0, n_bytes / n_rows
+            for s in range(min(n_shards - 1, int(at / share)), n_shards):
+                end = n_rows if s == n_shards - 1 else min(n_rows, max(first, math.ceil(((s + 1) * share - at) / each - 0.5)))
+                if end > first:
+                    parts.append((first, end, s))
+                first = end
+        for first, end, s in parts:
+            out.append((h1, h2, n_bytes, n_rows, s, slots[s], alike, first))
+            slots[s] += end - first
         at += n_bytes
-    return pd.DataFrame(out, columns=["h1", "h2", "bytes", "rows", "shard", "slot"])
+    return pd.DataFrame(out, columns=["h1", "h2", "bytes", "rows", "shard", "slot", "alike", "first"])
 
 
 def row_bytes(text: Column) -> Column:
@@ -107,11 +122,14 @@ def shard(docs: DataFrame, n_shards: int, tolerance: float = TOLERANCE, id_col:
 
     Shards' bytes are equal but for the tolerance and single rows. Order: hash of the text (null as empty), hash
     of the id, id; rows alike in both may stand in either order. Groups of equal texts stay together unless a shard's
-    border, or a run's, lies within. Rows alike in id and text can't be told apart and share a run.
+    border, or a run's, lies within. Rows alike in id and text can't be told apart: where they are too many for a run, they are
+    numbered in a checkpoint and dealt out by number.
     An empty table gives an empty table. Columns named size, shard or slot are replaced, the others kept.
     """
     keyed = docs.drop(*(c for c in ("size", "shard", "slot") if c not in (id_col, text_col))).withColumn("__size", row_bytes(F.col(text_col))).withColumn("__h1", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("__h2", F.xxhash64(F.col(id_col)))
     runs = histogram_splits(checkpointed(keyed.select("__h1", "__h2", "__size")), n_shards, tolerance)
+    parts = runs.assign(run=(~runs.duplicated(["h1", "h2"])).cumsum() - 1)
+    runs = runs.drop_duplicates(["h1", "h2"])
     h1, h2 = runs["h1"].to_numpy(dtype=np.uint64), runs["h2"].to_numpy(dtype=np.uint64)
 
     @F.pandas_udf("int")
@@ -124,8 +142,31 @@ def shard(docs: DataFrame, n_shards: int, tolerance: float = TOLERANCE, id_col:
         return pd.Series(out.astype(np.int32))
 
     x = keyed.withColumn("__run", run_of("__h1", "__h2"))
-    places = docs.sparkSession.createDataFrame(list(zip(range(len(runs)), runs["shard"].tolist(), runs["slot"].tolist())), "__run int, shard int, __slot long")
-    # One row a run, and runs are bounded by shards and tolerance: small enough to broadcast at any input.
-    x = x.join(F.broadcast(places), "__run")
-    x = x.withColumn("slot", F.col("__slot") + F.row_number().over(W.partitionBy("__run").orderBy("__h1", "__h2", id_col)) - 1)
-    return x.withColumn("size", F.col("__size")).drop("__h1", "__h2", "__run", "__slot", "__size")
+    made = docs.sparkSession.createDataFrame
+    places = made(list(zip(*(parts[c].tolist() for c in ("run", "shard", "slot", "first")))), "__run int, shard int, __slot long, __first long")
+    hot = parts["run"][parts["alike"]].unique().tolist()
+    alone = x.where(~F.col("__run").isin(hot)) if hot else x
+    # One row a run (and shard), and runs are bounded by shards and tolerance: small enough to broadcast at any input.
+    out = alone.join(F.broadcast(places.drop("__first")), "__run")
+    out = out.withColumn("slot", F.col("__slot") + F.row_number().over(W.partitionBy("__run").orderBy("__h1", "__h2", id_col)) - 1).drop("__slot")
+    if hot:
+        out = out.unionByName(_dealt(x.where(F.col("__run").isin(hot)), places.where(F.col("__run").isin(hot))))
+    x = out.drop("__run")
+    return x.withColumn("size", F.col("__size")).drop("__h1", "__h2", "__size")
+
+
+def _dealt(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows of runs of equal keys with shard and slot: numbered within each input partition, partitions one after the other."""
+    kept = checkpointed(rows.withColumn("__id", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__id", 33))
+    counts = kept.groupBy("__run", "__part").agg(F.count(F.lit(1)).alias("n")).orderBy("__run", "__part").collect()
+    starts, at = [], {}
+    for r in counts:
+        starts.append((r["__run"], r["__part"], at.get(r["__run"], 0)))
+        at[r["__run"]] = at.get(r["__run"], 0) + r["n"]
+    x = kept.join(F.broadcast(rows.sparkSession.createDataFrame(starts, "__run int, __part long, __start long")), ["__run", "__part"])
+    x = x.withColumn("__n", F.col("__start") + F.row_number().over(W.partitionBy("__run", "__part").orderBy("__id")) - 1)
+    # The last place that begins at or before the number.
+    found = places.groupBy("__run").agg(F.sort_array(F.collect_list(F.struct("__first", "shard", "__slot"))).alias("__places"))
+    x = x.join(F.broadcast(found), "__run").withColumn("__place", F.element_at(F.filter("__places", lambda p: p["__first"] <= F.col("__n")), -1))
+    x = x.withColumn("shard", F.col("__place.shard")).withColumn("slot", F.col("__place.__slot") + F.col("__n") - F.col("__place.__first"))
+    return x.drop("__id", "__part", "__start", "__n", "__places", "__place")

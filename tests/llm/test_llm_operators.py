@@ -277,6 +277,21 @@ def test_sharding(spark, shards):
     assert sharding.shard(empty(spark), shards).count() == 0
 
 
+def test_sharding_of_rows_alike_in_id_and_text(spark):
+    same = spark.range(0, 1000, 1, 3).selectExpr("CAST(NULL AS long) AS doc_id", "'one text' AS text", "'en' AS lang", "cast(id as string) AS source", "0L AS n_chars")
+    twin = spark.range(0, 300, 1, 2).selectExpr("7L AS doc_id", "'another text of more bytes' AS text", "'en' AS lang", "cast(id + 1000 as string) AS source", "0L AS n_chars")
+    d = same.unionByName(twin).unionByName(spark.range(2000).selectExpr("id AS doc_id", "'t' || id AS text", "'en' AS lang", "cast(id + 1300 as string) AS source", "0L AS n_chars"))
+    rows = sharding.shard(d, 24).collect()
+    assert sorted(int(r.source) for r in rows) == list(range(3300))
+    total, by = sum(r.size for r in rows), {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r)
+    assert len(by) == 24
+    for own in by.values():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        assert abs(sum(r.size for r in own) - total / 24) < 0.01 * total / 24 + 2 * max(r.size for r in rows)
+
+
 def test_matroska_round_trip(spark):
     d = docs(spark).withColumn("media", F.lit("clash"))
     read = matroska.payload_features(matroska.demux(matroska.mux(d, "text")))
