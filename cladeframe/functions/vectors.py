@@ -15,13 +15,14 @@ def total(x: Column) -> Column:
 
 
 def mean(x: Column) -> Column:
-    return total(x) / F.size(x)
+    """Null for an empty array."""
+    return F.try_divide(total(x), F.size(x))
 
 
 def variance(x: Column) -> Column:
-    """Sample variance (n - 1)."""
+    """Sample variance (n - 1); null for fewer than two values."""
     m = mean(x)
-    return F.aggregate(x, _zero(), lambda a, v: a + (v - m) * (v - m)) / (F.size(x) - 1)
+    return F.when(F.size(x) > 1, F.try_divide(F.aggregate(x, _zero(), lambda a, v: a + (v - m) * (v - m)), F.size(x) - 1))
 
 
 def deviation(x: Column) -> Column:
@@ -45,7 +46,8 @@ def norm_inf(x: Column) -> Column:
 
 
 def cosine(x: Column, y: Column) -> Column:
-    return dot(x, y) / (norm2(x) * norm2(y))
+    """Null if either vector is zero."""
+    return F.try_divide(dot(x, y), norm2(x) * norm2(y))
 
 
 def squared_distance(x: Column, y: Column) -> Column:
@@ -105,8 +107,9 @@ def which_max(x: Column) -> Column:
 
 
 def unit(x: Column) -> Column:
+    """Null components for a zero vector."""
     n = norm2(x)
-    return F.transform(x, lambda v: v / n)
+    return F.transform(x, lambda v: F.try_divide(v, n))
 
 
 def axpy(a: Column, x: Column, y: Column) -> Column:

@@ -29,21 +29,40 @@ def from_counts(df: DataFrame, keys: list[str], weight: Column | None = None) ->
     return df.groupBy(*keys).agg(F.log(F.sum(w)).alias(VALUE))
 
 
+#: Without a shared variable, the smaller factor may have at most so many rows (it goes to every task).
+PRODUCT_ROWS = 100_000
+
+
 def product(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Natural join on the shared variables, values multiplied. Factors without shared variables need no join key only
-    if one has a single row (a scalar); otherwise their product is as large as both together."""
+    """Natural join on the shared variables, values multiplied. Factors without shared variables have a product as large as both together: one of them must
+    be small (PRODUCT_ROWS, checked), and is sent to the other's rows."""
     shared = overlap(x, y)
     right = y.withColumnRenamed(VALUE, "__lp")
-    joined = x.join(right, shared) if shared else x.crossJoin(right)
     keys = [*variables(x), *(c for c in variables(y) if c not in shared)]
+    if shared:
+        joined = x.join(right, shared)
+    elif y.limit(PRODUCT_ROWS + 1).count() <= PRODUCT_ROWS:
+        joined = x.crossJoin(F.broadcast(right))
+    elif x.limit(PRODUCT_ROWS + 1).count() <= PRODUCT_ROWS:
+        joined = right.crossJoin(F.broadcast(x))
+    else:
+        raise ValueError(f"factors without a shared variable, both of more than {PRODUCT_ROWS} rows")
     return joined.select(*keys, (F.col(VALUE) + F.col("__lp")).alias(VALUE))
 
 
 def marginal(factor: DataFrame, keep: list[str]) -> DataFrame:
-    """Sums out all variables but ``keep``. Values are shifted by the global maximum, so that large logs don't overflow."""
-    shift = factor.agg(F.max(VALUE).alias("__top"))
-    x = factor.crossJoin(F.broadcast(shift))  # one row
-    return x.groupBy(*keep).agg((F.log(F.sum(F.exp(F.col(VALUE) - F.col("__top")))) + F.max("__top")).alias(VALUE))
+    """Sums out all variables but ``keep``. Each group's values are summed within bands of 500 log units relative to the band, then the bands relative to
+    the group's highest: no group is lost however far it lies below another, in one reading of the factor and with partial sums before each shuffle.
+    A value of 0 has the log minus infinity; a group of nothing else has it too. Null logs are left out."""
+    lp = F.col(VALUE)
+    fine = factor.where(lp.isNotNull()).withColumn("__band", F.when(lp > float("-inf"), F.floor(lp / 500)))
+    part = fine.groupBy(*keep, "__band").agg(F.sum(F.exp(lp - F.col("__band") * 500)).alias("__s"))
+    part = part.withColumn("__l", F.log("__s") + F.col("__band") * 500)
+    # A group has few bands: their logs in one array, summed relative to the largest.
+    logs = part.groupBy(*keep).agg(F.collect_list("__l").alias("__ls"))  # nulls (value 0) are left out
+    top = F.array_max("__ls")
+    total = top + F.log(F.aggregate("__ls", F.lit(0.0), lambda a, v: a + F.exp(v - top)))
+    return logs.select(*keep, F.coalesce(total, F.lit(float("-inf"))).alias(VALUE))
 
 
 def maximum(factor: DataFrame, keep: list[str]) -> DataFrame:
@@ -54,8 +73,8 @@ def maximum(factor: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def normalised(factor: DataFrame) -> DataFrame:
-    """Values divided by their sum."""
-    total = marginal(factor, []).withColumnRenamed(VALUE, "__t")
+    """Values divided by their sum; null if that is 0."""
+    total = marginal(factor, []).select(F.when(F.col(VALUE) > float("-inf"), F.col(VALUE)).alias("__t"))
     return factor.crossJoin(F.broadcast(total)).select(*variables(factor), (F.col(VALUE) - F.col("__t")).alias(VALUE))
 
 

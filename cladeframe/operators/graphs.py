@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cladeframe.operators import intervals
+from cladeframe.plans.session import checkpointed
+
 
 def edges_of(rows: DataFrame, graph: str, sequence: str, order: str, node: str) -> DataFrame:
     """graph, from_node, to_node, n, weight of sequences threaded through nodes: how many steps go between two nodes, and
@@ -52,11 +55,12 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return complement(a, b).withColumn("side", F.lit("a")).unionByName(complement(b, a).withColumn("side", F.lit("b")))
 
 
-def precluded(edges: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Edges that a chosen one of their graph rules out: they begin or end strictly within it."""
-    c = chosen.select("graph", F.col("from_pos").alias("c_from"), F.col("to_pos").alias("c_to"))
-    within = lambda x: (F.col(x) > F.col("c_from")) & (F.col(x) < F.col("c_to"))
-    return edges.join(c, "graph").where(within("from_pos") | within("to_pos")).select(edges.columns).distinct()
+def precluded(edges: DataFrame, chosen: DataFrame, bin_width: int = 8) -> DataFrame:
+    """Edges that a chosen one of their graph rules out: they begin or end strictly within it. Ends meet the chosen edges' insides in bins."""
+    inside = chosen.select("graph", (F.col("from_pos") + 1).alias("lo"), (F.col("to_pos") - 1).alias("hi")).where("lo <= hi")
+    ends = edges.select("graph", "from_pos", "to_pos", F.explode(F.array("from_pos", "to_pos")).alias("lo")).withColumn("hi", F.col("lo"))
+    hit = intervals.overlap_join(ends, inside, bin_width, on=["graph"]).select("graph", "from_pos", "to_pos").distinct()
+    return edges.join(hit, ["graph", "from_pos", "to_pos"], "left_semi").distinct()
 
 
 def best_paths(edges: DataFrame, width: int) -> DataFrame:
@@ -82,14 +86,15 @@ def best_paths(edges: DataFrame, width: int) -> DataFrame:
     return edges.select("graph", "from_pos", "to_pos", "recip", "weight").groupBy("graph").applyInPandas(run, "graph string, step int, pos long, cost double")
 
 
-def nibbled(edges: DataFrame, width: int, rounds: int) -> DataFrame:
-    """Edges that lie on a path from -1 to ``width``: dead ends go, ``rounds`` times from either side (as many as the longest dead end has edges)."""
-    x = edges
-    for _ in range(rounds):
+def nibbled(edges: DataFrame, width: int) -> DataFrame:
+    """Edges that lie on a path from -1 to ``width``: dead ends go from either side until none is left, as many rounds as the longest has edges. Each
+    round is cut off by a reliable checkpoint."""
+    x, was = checkpointed(edges), None
+    while (now := x.count()) != was:
         starts = x.select("graph", F.col("to_pos").alias("from_pos")).distinct()
-        x = x.where("from_pos = -1").unionByName(x.where("from_pos <> -1").join(starts, ["graph", "from_pos"], "left_semi").select(x.columns))
-        ends = x.select("graph", F.col("from_pos").alias("to_pos")).distinct()
-        x = x.where(F.col("to_pos") == width).unionByName(x.where(F.col("to_pos") != width).join(ends, ["graph", "to_pos"], "left_semi").select(x.columns))
+        y = x.where("from_pos = -1").unionByName(x.where("from_pos <> -1").join(starts, ["graph", "from_pos"], "left_semi").select(x.columns))
+        ends = y.select("graph", F.col("from_pos").alias("to_pos")).distinct()
+        x, was = checkpointed(y.where(F.col("to_pos") == width).unionByName(y.where(F.col("to_pos") != width).join(ends, ["graph", "to_pos"], "left_semi").select(x.columns))), now
     return x
 
 

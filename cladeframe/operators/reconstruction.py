@@ -163,11 +163,11 @@ def presence_by_likelihood(alignment: DataFrame, tree: Tree, rate: float = 1.0)
 
 
 def gap_statistics(alignment: DataFrame) -> DataFrame:
-    """One row: gaps, gap_starts (runs of gaps), mean_gap_length, occupancy and the average length, truncated."""
+    """One row: gaps, gap_starts (runs of gaps), mean_gap_length (null without gaps), occupancy and the average length, truncated (null without rows)."""
     w = W.partitionBy("leaf").orderBy("pos")
     x = alignment.withColumn("start", (F.col("sym").isNull() & F.coalesce(F.lag("sym").over(w).isNotNull() | F.lag("pos").over(w).isNull(), F.lit(True))).cast("int"))
     s = x.agg(F.count_if(F.col("sym").isNull()).alias("gaps"), F.sum("start").alias("gap_starts"), F.count(F.lit(1)).alias("cells"), F.countDistinct("pos").alias("width"))
-    return s.select("gaps", "gap_starts", (F.col("gaps") / F.col("gap_starts")).alias("mean_gap_length"), (1 - F.col("gaps") / F.col("cells")).alias("occupancy"), ((1 - F.col("gaps") / F.col("cells")) * F.col("width")).cast("int").alias("average_length"))
+    return s.select("gaps", "gap_starts", F.try_divide("gaps", "gap_starts").alias("mean_gap_length"), (1 - F.try_divide("gaps", "cells")).alias("occupancy"), ((1 - F.try_divide("gaps", "cells")) * F.col("width")).cast("int").alias("average_length"))
 
 
 def indel_events(presence: DataFrame, tree: DataFrame) -> DataFrame:

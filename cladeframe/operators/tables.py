@@ -76,11 +76,13 @@ def stratified_sample(df: DataFrame, stratum: str, id_col: str, share: float, se
 
 def kernel_density(df: DataFrame, value: str, grid: list[float]) -> DataFrame:
     """x and density at the points of a grid: Gaussian kernels with bandwidth 1.06 min(sd, IQR / 1.34) n^(-1/5). One aggregate over the data
-    with a sum for each grid point."""
+    with a sum for each grid point. Without values, or where the bandwidth is 0 (equal values), the density is null."""
+    from cladeframe.operators.statistics import quantiles
+
     v = F.col(value).cast("double")
-    s = df.agg(F.count(v).alias("n"), F.stddev_samp(v).alias("sd"), F.percentile(v, [0.25, 0.75]).alias("q")).first()
-    h = 1.06 * min(s["sd"], (s["q"][1] - s["q"][0]) / 1.34) * s["n"] ** -0.2
-    at = [F.avg(F.exp(-(v - g) * (v - g) / (2 * h * h)) / (h * (2 * 3.141592653589793) ** 0.5)) for g in grid]
+    s, q = df.agg(F.count(v).alias("n"), F.stddev_samp(v).alias("sd")).first(), quantiles(df, value, [0.25, 0.75])
+    h = 1.06 * min(s["sd"] or 0.0, (q[1] - q[0]) / 1.34) * s["n"] ** -0.2 if q else 0.0
+    at = [F.avg(F.exp(-(v - g) * (v - g) / (2 * h * h)) / (h * (2 * 3.141592653589793) ** 0.5)) if h > 0 else F.first(F.lit(None).cast("double")) for g in grid]
     return df.agg(F.array(*at).alias("d")).select(F.posexplode("d").alias("i", "density")).select(F.element_at(F.array(*map(F.lit, grid)), F.col("i") + 1).alias("x"), "density")
 
 

@@ -1,6 +1,8 @@
 """Operators on trees kept as rows (tree, node, parent, label, dist); a root has no parent.
 
-Closure and path sums double the length of known ancestor chains each round, so depth d takes log2(d) joins.
+Everything doubles the reach of pointers to ancestors each round until all have come to their roots, so a tree of depth d takes log2(d)
+rounds whatever d is, each cut off by a reliable checkpoint. Sums and marks travel with the pointers: no operator but :func:`closure`
+lists pairs of nodes and ancestors.
 """
 
 from __future__ import annotations
@@ -9,24 +11,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def closure(tree: DataFrame, depth: int) -> DataFrame:
-    """tree, node, anc, steps, dist: every ancestor of every node up to ``depth`` steps, itself (0 steps) included."""
-    nodes = tree.select("tree", "node", F.col("node").alias("anc"), F.lit(0).alias("steps"), F.lit(0.0).alias("dist"))
-    jump = tree.where("parent IS NOT NULL").select("tree", "node", F.col("parent").alias("anc"), F.lit(1).alias("steps"), F.coalesce("dist", F.lit(0.0)).alias("dist"))
-    found, step = nodes, 1
-    while step <= depth:
-        j = jump.select("tree", F.col("node").alias("anc"), F.col("anc").alias("up"), F.col("dist").alias("more"))
-        found = found.unionByName(found.join(j, ["tree", "anc"]).select("tree", "node", F.col("up").alias("anc"), (F.col("steps") + step).alias("steps"), (F.col("dist") + F.col("more")).alias("dist")))
-        jump = jump.join(j, ["tree", "anc"]).select("tree", "node", F.col("up").alias("anc"), (F.col("steps") * 2).alias("steps"), (F.col("dist") + F.col("more")).alias("dist"))
+from cladeframe.plans.session import checkpointed
+
+
+def lifted(tree: DataFrame) -> list[DataFrame]:
+    """Round k: tree, node, up (the ancestor 2^k steps above; null where the root is nearer), steps and dist (to ``up``, or to the root). The last has no
+    ``up`` left. A parent that the tree lacks ends a path as a root does. Raises ValueError if parents form a cycle."""
+    known = tree.select("tree", F.col("node").alias("up")).distinct()
+    there = tree.where("parent IS NOT NULL").join(known.withColumnRenamed("up", "parent"), ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps"), F.coalesce(F.col("dist").cast("double"), F.lit(0.0)).alias("dist"))
+    top = tree.join(there.select("tree", "node"), ["tree", "node"], "left_anti").select("tree", "node", F.lit(None).cast(dict(tree.dtypes)["node"]).alias("up"), F.lit(0).cast("long").alias("steps"), F.lit(0.0).alias("dist"))
+    rounds, step, most = [checkpointed(there.unionByName(top).dropDuplicates(["tree", "node"]))], 1, None
+    while not rounds[-1].where("up IS NOT NULL").isEmpty():
+        most = rounds[0].count() if most is None else most
+        if step > most:
+            raise ValueError("parents form a cycle")
+        s = rounds[-1]
+        more = s.select("tree", F.col("node").alias("up"), F.col("up").alias("__up"), F.col("steps").alias("__steps"), F.col("dist").alias("__dist"))
+        rounds.append(checkpointed(s.join(more, ["tree", "up"], "left").select("tree", "node", F.col("__up").alias("up"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), (F.col("dist") + F.coalesce("__dist", F.lit(0.0))).alias("dist"))))
         step *= 2
+    return rounds
+
+
+def closure(tree: DataFrame) -> DataFrame:
+    """tree, node, anc, steps, dist: every ancestor of every node, itself (0 steps) included. As many rows as nodes times their depths."""
+    found = tree.select("tree", "node", F.col("node").alias("anc"), F.lit(0).cast("long").alias("steps"), F.lit(0.0).alias("dist"))
+    for s in lifted(tree)[:-1]:
+        j = s.where("up IS NOT NULL").select("tree", F.col("node").alias("anc"), F.col("up").alias("__up"), F.col("steps").alias("__steps"), F.col("dist").alias("__dist"))
+        found = found.unionByName(found.join(j, ["tree", "anc"]).select("tree", "node", F.col("__up").alias("anc"), (F.col("steps") + F.col("__steps")).alias("steps"), (F.col("dist") + F.col("__dist")).alias("dist")))
     return found
 
 
-def with_depth(tree: DataFrame, depth: int) -> DataFrame:
+def with_depth(tree: DataFrame) -> DataFrame:
     """The tree with ``depth`` (root 0) and ``root_dist``."""
-    d = closure(tree, depth).groupBy("tree", "node").agg(F.max("steps").alias("depth"), F.max("dist").alias("root_dist"))
-    return tree.join(d, ["tree", "node"])
+    end = lifted(tree)[-1].select("tree", "node", F.col("steps").cast("int").alias("depth"), F.col("dist").alias("root_dist"))
+    return tree.join(end, ["tree", "node"])
 
 
 def leaves(tree: DataFrame) -> DataFrame:
@@ -34,25 +52,33 @@ def leaves(tree: DataFrame) -> DataFrame:
     return tree.join(inner, ["tree", "node"], "left_anti")
 
 
-def leaf_counts(tree: DataFrame, depth: int) -> DataFrame:
-    """tree, node, n_leaves below (a leaf has itself)."""
-    c = closure(tree, depth).join(leaves(tree).select("tree", "node"), ["tree", "node"])
-    return c.groupBy("tree", F.col("anc").alias("node")).agg(F.count(F.lit(1)).alias("n_leaves"))
+def leaf_counts(tree: DataFrame) -> DataFrame:
+    """tree, node, n_leaves below (a leaf has itself). Leaves nearer than 2^k steps are those nearer than half of that, of the node and of the nodes
+    half of that below."""
+    n = leaves(tree).select("tree", "node", F.lit(1).cast("long").alias("n_leaves"))
+    for s in lifted(tree)[:-1]:
+        up = n.join(s.where("up IS NOT NULL"), ["tree", "node"]).select("tree", F.col("up").alias("node"), "n_leaves")
+        n = n.unionByName(up).groupBy("tree", "node").agg(F.sum("n_leaves").alias("n_leaves"))
+    return n
 
 
-def subtree(tree: DataFrame, root: DataFrame, depth: int) -> DataFrame:
+def subtree(tree: DataFrame, root: DataFrame) -> DataFrame:
     """The rows at or below the nodes of ``root`` (tree, node); those become roots."""
-    at = root.select("tree", F.col("node").alias("anc"))
-    below = closure(tree, depth).join(at, ["tree", "anc"]).select("tree", "node").distinct()
-    top = root.select("tree", "node", F.lit(True).alias("__top"))
-    x = tree.join(below, ["tree", "node"], "left_semi").join(top, ["tree", "node"], "left")
+    mark = root.select("tree", "node").distinct()
+    for s in lifted(tree)[:-1]:  # whose ancestor of 2^k steps is marked is marked, nearer ancestors first
+        below = s.join(mark.withColumnRenamed("node", "up"), ["tree", "up"], "left_semi").select("tree", "node")
+        mark = mark.unionByName(below).distinct()
+    top = root.select("tree", "node").distinct().withColumn("__top", F.lit(True))
+    x = tree.join(mark, ["tree", "node"], "left_semi").join(top, ["tree", "node"], "left")
     return x.withColumn("parent", F.when(F.col("__top").isNull(), F.col("parent"))).drop("__top")
 
 
-def pruned(tree: DataFrame, gone: DataFrame, depth: int) -> DataFrame:
+def pruned(tree: DataFrame, gone: DataFrame) -> DataFrame:
     """The tree without the nodes of ``gone`` (tree, node) and without inner nodes that have no kept leaf below; orphans are roots."""
     kept = tree.join(gone.select("tree", "node"), ["tree", "node"], "left_anti")
-    alive = closure(kept, depth).join(leaves(tree).select("tree", "node"), ["tree", "node"], "left_semi").select("tree", F.col("anc").alias("node")).distinct()
+    alive = kept.join(leaves(tree).select("tree", "node"), ["tree", "node"], "left_semi").select("tree", "node")
+    for s in lifted(kept)[:-1]:
+        alive = alive.unionByName(s.where("up IS NOT NULL").join(alive, ["tree", "node"], "left_semi").select("tree", F.col("up").alias("node"))).distinct()
     x = kept.join(alive, ["tree", "node"], "left_semi")
     have = x.select("tree", F.col("node").alias("parent"), F.lit(True).alias("__has"))
     return x.join(have, ["tree", "parent"], "left").withColumn("parent", F.when(F.col("__has"), F.col("parent"))).drop("__has")
@@ -64,17 +90,20 @@ def relabelled(tree: DataFrame) -> DataFrame:
     return tree.join(inner, ["tree", "node"], "left").withColumn("label", F.when(F.col("__k").isNotNull(), F.concat(F.lit("N"), "__k")).otherwise(F.col("label"))).drop("__k")
 
 
-def rescaled(tree: DataFrame, target: float, depth: int) -> DataFrame:
-    """Distances multiplied so that the mean leaf-to-root distance is ``target``."""
-    d = closure(tree, depth).join(leaves(tree).select("tree", "node"), ["tree", "node"], "left_semi").groupBy("tree", "node").agg(F.max("dist").alias("d"))
-    m = d.groupBy("tree").agg(F.avg("d").alias("__m"))
-    return tree.join(m, "tree").withColumn("dist", F.col("dist") * target / F.col("__m")).drop("__m")
+def leaf_distances(tree: DataFrame) -> DataFrame:
+    """tree, node, d: each leaf's distance to its root."""
+    return lifted(tree)[-1].join(leaves(tree).select("tree", "node"), ["tree", "node"], "left_semi").select("tree", "node", F.col("dist").alias("d"))
+
+
+def rescaled(tree: DataFrame, target: float) -> DataFrame:
+    """Distances multiplied so that the mean leaf-to-root distance is ``target``; null where that mean is 0."""
+    m = leaf_distances(tree).groupBy("tree").agg(F.avg("d").alias("__m"))
+    return tree.join(m, "tree").withColumn("dist", F.try_divide(F.col("dist") * target, F.col("__m"))).drop("__m")
 
 
-def leaf_root_distribution(tree: DataFrame, depth: int) -> DataFrame:
+def leaf_root_distribution(tree: DataFrame) -> DataFrame:
     """Mean and population variance of leaves' distances to the root."""
-    d = closure(tree, depth).join(leaves(tree).select("tree", "node"), ["tree", "node"], "left_semi").groupBy("tree", "node").agg(F.max("dist").alias("d"))
-    return d.groupBy("tree").agg(F.avg("d").alias("mean"), F.var_pop("d").alias("variance"))
+    return leaf_distances(tree).groupBy("tree").agg(F.avg("d").alias("mean"), F.var_pop("d").alias("variance"))
 
 
 def integrity_issues(tree: DataFrame, alignment: DataFrame) -> DataFrame:

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut off from its lineage by a reliable checkpoint, in the folder of ``spark.checkpoint.dir``; only where that is unset, in a temporary one."""
+    """``df`` cut off from its lineage by a reliable checkpoint, in the folder of ``spark.checkpoint.dir``; only in local mode, where that is unset, in a temporary one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)

@@ -34,25 +34,25 @@ _UP = f"""WITH RECURSIVE {_WORLD}, up AS (SELECT node, node AS anc, 0 AS steps,
 
 
 def tree_depths(spark, sf_dir):
-    return trees.with_depth(world(spark, sf_dir), 3).select("node", "depth", F.round("root_dist", 6).alias("root_dist"))
+    return trees.with_depth(world(spark, sf_dir)).select("node", "depth", F.round("root_dist", 6).alias("root_dist"))
 
 
 def tree_leaf_counts(spark, sf_dir):
-    return trees.leaf_counts(world(spark, sf_dir), 3).select("node", "n_leaves")
+    return trees.leaf_counts(world(spark, sf_dir)).select("node", "n_leaves")
 
 
 def tree_subtree(spark, sf_dir):
     """The trees below the regions' names that begin with A."""
     w = world(spark, sf_dir)
     top = w.where(F.col("node").between(REGION, NATION - 1) & F.col("label").startswith("A")).select("tree", "node")
-    return trees.subtree(w, top, 3).select("node", "parent", "label")
+    return trees.subtree(w, top).select("node", "parent", "label")
 
 
 def tree_pruned(spark, sf_dir):
     """Without the customers in debt; places that lose all of theirs go too."""
     w = world(spark, sf_dir)
     gone = _t(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.lit("world").alias("tree"), (F.col("c_custkey") + CUSTOMER).alias("node"))
-    return trees.pruned(w, gone, 3).select("node", "parent")
+    return trees.pruned(w, gone).select("node", "parent")
 
 
 def tree_relabelled(spark, sf_dir):
@@ -60,7 +60,7 @@ def tree_relabelled(spark, sf_dir):
 
 
 def tree_leaf_distances(spark, sf_dir):
-    return trees.leaf_root_distribution(world(spark, sf_dir), 3).select(F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
+    return trees.leaf_root_distribution(world(spark, sf_dir)).select(F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
 
 
 def _user_tree() -> Tree:

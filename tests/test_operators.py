@@ -95,7 +95,7 @@ def test_graph_paths_and_dead_ends(spark):
     edges = spark.createDataFrame([("g", -1, 0, True, 1.0), ("g", 0, 1, True, 1.0), ("g", 0, 2, False, 0.1), ("g", 1, 2, True, 1.0), ("g", 1, 3, True, 1.0), ("g", 2, 4, True, 1.0)], "graph string, from_pos long, to_pos long, recip boolean, weight double")
     path = [r.pos for r in graphs.best_paths(edges, 4).orderBy("step").collect()]
     assert path == [-1, 0, 1, 2, 4]
-    assert {(r.from_pos, r.to_pos) for r in graphs.nibbled(edges, 4, 2).collect()} == {(-1, 0), (0, 1), (0, 2), (1, 2), (2, 4)}
+    assert {(r.from_pos, r.to_pos) for r in graphs.nibbled(edges, 4).collect()} == {(-1, 0), (0, 1), (0, 2), (1, 2), (2, 4)}
 
 
 def test_alignment_by_brute_force():
@@ -129,7 +129,7 @@ def test_alignment_by_brute_force():
 
 def test_trees_and_integrity(spark):
     t = parse("((a:1,b:2)x:0.5,c:3)root:0;").rows(spark)
-    assert {r.node: r.n_leaves for r in trees.leaf_counts(t, 3).collect()} == {0: 3, 1: 2, 2: 1, 3: 1, 4: 1}
+    assert {r.node: r.n_leaves for r in trees.leaf_counts(t).collect()} == {0: 3, 1: 2, 2: 1, 3: 1, 4: 1}
     names = spark.createDataFrame([("a",), ("b",), ("b",), ("z",)], "name string")
     got = {(r.issue, r.name) for r in trees.integrity_issues(t, names).collect()}
     assert got == {("duplicate in alignment", "b"), ("missing in tree", "z"), ("missing in alignment", "c")}
@@ -262,3 +262,105 @@ def test_likelihood_weighting_comes_near_the_exact_posterior(spark):
     logs = [t.withColumn("lp", F.log("p")).drop("p") for _, _, t in tables]
     want = {r.a: r.p for r in factors.posterior(logs, ["b"], {"c": True}).collect()}
     assert all(abs(got[k] - want[k]) < 0.015 for k in want)
+
+
+def test_marginal_keeps_groups_far_below_the_largest(spark):
+    inf = float("inf")
+    d = spark.createDataFrame([("a", 1, 0.0), ("b", 1, -1000.0), ("b", 2, -1000.0), ("c", 1, 5000.0), ("c", 2, 4999.0), ("z", 1, -inf), ("n", 1, None)], "g string, x int, lp double")
+    got = {r.g: r.lp for r in factors.marginal(d, ["g"]).collect()}
+    want = {"a": 0.0, "b": -1000 + math.log(2), "c": 5000 + math.log1p(math.exp(-1)), "z": -inf}
+    assert set(got) == set(want) and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-9 for k in want)
+    x = d.where("g IN ('a', 'b')")
+    total = sum(math.exp(r.lp) for r in factors.normalised(x).collect())
+    assert abs(total - 1) < 1e-12 and len(factors.normalised(x).collect()) == 3
+
+
+def test_products_without_a_shared_variable_are_checked(spark, monkeypatch):
+    x, y = (spark.range(5).select(F.col("id").alias(c), F.lit(0.0).alias("lp")) for c in "ab")
+    assert factors.product(x, y).count() == 25
+    monkeypatch.setattr(factors, "PRODUCT_ROWS", 4)
+    with pytest.raises(ValueError):
+        factors.product(x, y)
+
+
+def test_degenerate_groups_give_null(spark):
+    d = spark.createDataFrame([("one", 3.0, "p", 1), ("same", 2.0, "p", 1), ("same", 2.0, "p", 1), ("zero", 0.0, "p", 1), ("zero", 0.0, "p", 1)], "g string, v double, a string, n int")
+    f = {r.g: r for r in statistics.fits(d, "v", ["g"]).collect()}
+    assert f["one"].exp_rate == 1 / 3 and f["one"].gamma_shape is None and f["one"].power_alpha is None and f["same"].gamma_shape is None and "zero" not in f
+    z = {r.g: r for r in statistics.zero_inflated_gamma(d, "v", ["g"]).collect()}
+    assert z["zero"].zeros == 1 and z["zero"].shape is None and z["zero"].scale is None and z["one"].shape is None and z["one"].scale == 0
+    assert statistics.chi_square(d, "a", "n").first().cramers_v is None
+    assert statistics.mann_whitney(d, "v", "g", "one", "absent").first().z is None and statistics.mann_whitney(d, "v", "g", "same", "zero").first().z is not None
+    assert statistics.ks_two_sample(d, "v", "g", "one", "absent").first().d is None and statistics.t_tests(d, "v", "g", "one", "same").first().welch_t is None
+    al = spark.createDataFrame([("x", 0, "A"), ("x", 1, "C")], "leaf string, pos long, sym string")
+    assert reconstruction.gap_statistics(al).first().mean_gap_length is None and reconstruction.gap_statistics(al).first().occupancy == 1
+    assert reconstruction.gap_statistics(al.limit(0)).first().average_length is None
+    r = spark.createDataFrame([([], [0.0, 0.0])], "e array<double>, z array<double>").select(vectors.mean(F.col("e")).alias("m"), vectors.variance(F.col("e")).alias("v"), vectors.cosine(F.col("z"), F.col("z")).alias("c"), vectors.unit(F.col("z")).alias("u")).first()
+    assert r.m is None and r.v is None and r.c is None and r.u == [None, None]
+    from cladeframe.operators import tables
+
+    assert [r.density for r in tables.kernel_density(d.where("g = 'same'"), "v", [1.0, 2.0]).collect()] == [None, None]
+    assert [r.density for r in tables.kernel_density(d.limit(0), "v", [1.0]).collect()] == [None]
+    assert statistics.quantiles(d, "v", [0.0, 0.25, 0.5, 1.0]) == [0.0, 0.0, 2.0, 3.0]
+
+
+def test_trees_of_any_depth(spark):
+    n = 13
+    chain = spark.createDataFrame([("t", i, i - 1 if i else None, f"n{i}", 1.0) for i in range(n)] + [("u", 0, None, "r", 0.0), ("u", 1, 0, "x", 2.0), ("u", 2, 99, "orphan", 2.0)], "tree string, node long, parent long, label string, dist double")
+    got = {(r.tree, r.node): (r.depth, r.root_dist) for r in trees.with_depth(chain).collect()}
+    assert got == {("t", i): (i, float(i)) for i in range(n)} | {("u", 0): (0, 0.0), ("u", 1): (1, 2.0), ("u", 2): (0, 0.0)}
+    assert {(r.node, r.anc, r.steps) for r in trees.closure(chain).where("tree = 't'").collect()} == {(i, j, i - j) for i in range(n) for j in range(i + 1)}
+    assert {r.n_leaves for r in trees.leaf_counts(chain).where("tree = 't'").collect()} == {1}
+    top = spark.createDataFrame([("t", 5)], "tree string, node long")
+    assert {(r.node, r.parent) for r in trees.subtree(chain, top).collect()} == {(5, None)} | {(i, i - 1) for i in range(6, n)}
+    assert {(r.tree, r.node, r.parent) for r in trees.pruned(chain, top).collect()} == {("t", 6, None)} | {("t", i, i - 1) for i in range(7, n)} | {("u", 0, None), ("u", 1, 0), ("u", 2, None)}
+    assert {r.tree: r.mean for r in trees.leaf_root_distribution(chain).collect()} == {"t": n - 1.0, "u": 1.0}
+    with pytest.raises(ValueError):
+        trees.with_depth(spark.createDataFrame([("t", 1, 2, 1.0), ("t", 2, 1, 1.0)], "tree string, node long, parent long, dist double"))
+    long_end = spark.createDataFrame([("g", i, i + 1) for i in range(-1, 12)] + [("g", 2, 20)], "graph string, from_pos long, to_pos long")
+    assert {(r.from_pos, r.to_pos) for r in graphs.nibbled(long_end, 20).collect()} == {(-1, 0), (0, 1), (1, 2), (2, 20)}
+
+
+def test_scans_are_brute_force(spark):
+    from cladeframe.operators.scans import scanned
+
+    rng = np.random.default_rng(9)
+    rows = [("hot" if rng.random() < 0.8 else [None, "b"][int(rng.integers(2))], i, None if rng.random() < 0.3 else int(rng.integers(-9, 9))) for i in rng.permutation(400).tolist()]
+    d = spark.createDataFrame(rows, "g string, i int, v int").repartition(4)
+    got = scanned(d, ["g"], ["i"], s=("sum", "v", True), b=("sum", "v", False), m=("max", "v", False), p=("last", "v", False), n=("next", "v", True)).collect()
+    assert len(got) == 400
+    for r in got:
+        own = sorted((i, v) for g, i, v in rows if g == r.g)
+        before, after = [v for i, v in own if i < r.i and v is not None], [v for i, v in own if i >= r.i and v is not None]
+        assert (r.b, r.m, r.p, r.n) == (sum(before), max(before, default=None), before[-1] if before else None, after[0] if after else None) and r.s == r.b + (r.v or 0)
+
+
+def test_interval_operators_are_brute_force(spark):
+    rng = np.random.default_rng(4)
+    make = lambda n: [(i, "h" if rng.random() < 0.7 else "k", (lo := int(rng.integers(0, 2000))), lo + int(rng.integers(0, 6) if rng.random() < 0.8 else rng.integers(0, 900))) for i in range(n)]
+    a, b = make(60), make(40)
+    q, s = (spark.createDataFrame(x, "id int, g string, lo long, hi long") for x in (a, b))
+    pairs = sorted((r.id, r.b_id) for r in intervals.overlap_join(q, s, 4, on=["g"]).collect())
+    assert pairs == sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3])
+
+    def order(x, y):
+        common = max(0, min(x[3], y[3]) - max(x[2], y[2]))
+        union = x[3] - x[2] + y[3] - y[2] - common
+        return max(0, x[2] - y[3], y[2] - x[3]), -(common / union if union > 0 else 0.0), y[2], y[3]
+
+    got = {r.id: (r.gap, -r.jaccard, r.s_lo, r.s_hi) for r in intervals.closest(q, s, ["g"], "id").collect()}
+    assert got == {x[0]: min(order(x, y) for y in b if y[1] == x[1]) for x in a}
+    for g in "hk":
+        cover = [sum(x[2] <= p <= x[3] for x in a if x[1] == g) for p in range(3000)]
+        minus = [any(y[2] <= p <= y[3] for y in b if y[1] == g) for p in range(3000)]
+        for found, inside in ((intervals.clipped(q, ["g"], 2), [c >= 2 for c in cover]), (intervals.difference(q, s, ["g"]), [c > 0 and not m for c, m in zip(cover, minus)])):
+            have = sorted((r.lo, r.hi) for r in found.where(F.col("g") == g).collect())
+            assert [p for p in range(3000) if inside[p]] == [p for lo, hi in have for p in range(lo, hi + 1)]
+            assert all(lo2 > hi + 1 for (_, hi), (lo2, _) in zip(have, have[1:]))
+
+
+def test_precluded_edges(spark):
+    e = [(-1, 0), (0, 3), (1, 2), (2, 5), (3, 4), (0, 1)]
+    d = spark.createDataFrame([("g", *x) for x in e], "graph string, from_pos long, to_pos long")
+    chosen = d.where("from_pos = 0 AND to_pos = 3")
+    assert {(r.from_pos, r.to_pos) for r in graphs.precluded(d, chosen).collect()} == {(a, b) for a, b in e if 0 < a < 3 or 0 < b < 3}
