@@ -1,8 +1,9 @@
-"""Mixing sources to target weights: hash-random keys, key ranges, distributed prefix sums, an exact cut.
+"""Mixing sources to target weights: hash-random keys, range sort within sources, distributed prefix sums, an exact cut.
 
 All DataFrame operations. Rows are never sorted or shuffled as a whole: word counts are summed per source
 and key range, prefix sums over those few sums find the range that holds each source's cut, and only the
-rows of that one range (1/4096 of a source) are ordered. Every other row is in or out by its range.
+rows of that one range (1/4096 of a source) are range-sorted, with prefix sums over the sorted ranges. Every other row
+is in or out by its range. No step has all sources, or one source's rows, in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cladeframe.llm.common import checkpointed, n_words
+from cladeframe.operators.scans import scanned
 
 #: The weights that sources take in turn, the mix's share of all sizes, and how often a document may be taken.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2
@@ -27,20 +29,19 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: t
     Sources by code point, null last, take the weights in turn. ``share`` times all sizes is dealt out by
     weight; a target stops at ``most`` times its source's size and what is left over is dealt out again among
     the others. That is the level L at which sum(min(most * size, L * weight)) is what is to be dealt out: with
-    sources by most * size / weight, the first k are full and L follows from prefix sums. One row a source
-    stands in one task here. A source of size 0 has target 0.
+    sources by most * size / weight, the first k are full and L follows from prefix sums, which are taken over ranges of
+    sources. A source of size 0 has target 0.
     """
-    order = W.orderBy(F.col("source").isNull(), F.col("source"))
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    by = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    x = sizes.withColumn("weight", w).withColumn("cap", (F.col("source_size") * most).cast("double"))
-    x = x.withColumn("full", F.sum("cap").over(by.rowsBetween(W.unboundedPreceding, -1))).withColumn("open", F.sum("weight").over(by.rowsBetween(0, W.unboundedFollowing)))
-    every = W.partitionBy()
-    x = x.withColumn("total", F.sum("source_size").over(every) * F.lit(share))
-    level = (F.col("total") - F.coalesce("full", F.lit(0.0))) / F.col("open")
-    x = x.withColumn("level", level).withColumn("__n", F.row_number().over(by))
-    x = x.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("__n", "level"))).over(every)["level"])
-    return x.select("source", "source_size", "weight", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
+    x = sizes.select("source", "source_size", F.col("source").isNull().alias("last"))
+    x = scanned(x, [], ["last", "source"], k=("sum", F.lit(1), False))
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("k") % len(weights) + 1).cast("int"))
+    x = x.withColumn("weight", w).withColumn("cap", (F.col("source_size") * most).cast("double")).withColumn("fill", F.col("cap") / F.col("weight"))
+    x = scanned(x, [], ["fill", "last", "source"], full=("sum", "cap", False), below=("sum", "weight", False))
+    total = x.agg(F.sum("weight").alias("all_weight"), (F.sum("source_size") * F.lit(share)).alias("total"))
+    x = x.crossJoin(F.broadcast(total)).withColumn("level", (F.col("total") - F.col("full")) / (F.col("all_weight") - F.col("below")))  # one row
+    level = x.agg(F.min_by("level", F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("fill", "last", "source"))).alias("the_level"))
+    x = x.crossJoin(F.broadcast(level))  # one row
+    return x.select("source", "source_size", "weight", F.when(F.col("the_level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("the_level") * F.col("weight"))).alias("target"))
 
 
 def mix(docs: DataFrame, cut: str = "words", seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, most: int = MOST, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -52,38 +53,43 @@ def mix(docs: DataFrame, cut: str = "words", seed: str = "mix", id_col: str = "d
     that document whole if at least half of it lies within the rest, so all are whole.
 
     Null texts have size 0 and take 0. A null source is a source of its own. Null ids are ordered by the
-    text alone, equal keys by id and then text: reruns agree, and among rows alike in id, text and source it doesn't
-    matter which is taken. An empty table gives an empty table. Columns of the four names, and those named
-    with two leading underscores here, are replaced; all others are kept.
+    text alone; equal keys by id, then by the text's first 64 characters and hash: reruns agree, and among rows alike in id, text and source it
+    doesn't matter which is taken. An empty table gives an empty table. Columns of the four names are replaced; all
+    others are kept, whatever they are called.
     """
     if cut not in ("words", "documents"):
         raise ValueError(cut)
-    made = ["size", "source_size", "target", "taken"]
-    base = docs.drop(*(c for c in made if c not in (id_col, text_col, source_col))).withColumn("__size", n_words(F.col(text_col))).withColumn("__key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.coalesce(F.col(text_col), F.lit("")))))))
-    base = base.withColumn("__range", F.substring("__key", 1, RANGE_DIGITS))
+    names = docs.columns
+    # The table's own columns go by their places, so that none can clash with what is made here.
+    own = {c: f"c{i}" for i, c in reversed(list(enumerate(names)))}
+    doc_id, text, source = (F.col(own[c]) for c in (id_col, text_col, source_col))
+    base = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("size", n_words(text)).withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.coalesce(text, F.lit("")))))))
+    base = base.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     # Sums by source and key range: summed before the shuffle, at most 4096 rows a source and task.
-    sums = base.groupBy(F.col(source_col).alias("source"), F.col("__range").alias("range")).agg(F.sum("__size").alias("n"))
+    sums = base.groupBy(source.alias("source"), "range").agg(F.sum("size").alias("n"))
     wanted = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), share, most, weights)
     wanted = wanted.withColumn("whole", F.floor(F.col("target"))).withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("whole") / F.col("source_size"))).otherwise(F.lit(0))).withColumn("rest", F.col("whole") - F.col("times") * F.col("source_size"))
-    before = sums.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = sums.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # 4096 rows a source
     # The range that holds the cut: the last that starts at or before the rest's end.
     at = before.alias("b").join(wanted.alias("w"), F.col("b.source").eqNullSafe(F.col("w.source"))).where("before < rest").groupBy(F.col("w.source").alias("source")).agg(F.max(F.struct("range", "before")).alias("cut"))
-    plan = wanted.alias("w").join(at.alias("a"), F.col("w.source").eqNullSafe(F.col("a.source")), "left").select(F.col("w.source").alias("__source"), F.col("w.source_size").alias("__source_size"), F.col("w.target").alias("__target"), "times", "rest", "cut")
+    plan = wanted.alias("w").join(at.alias("a"), F.col("w.source").eqNullSafe(F.col("a.source")), "left").select(F.col("w.source").alias("source"), F.col("w.source_size").alias("source_size"), F.col("w.target").alias("target"), "times", "rest", "cut")
     plan = checkpointed(plan)
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    x = base.join(plan, F.col(source_col).eqNullSafe(F.col("__source")), "left").withColumn("__place", F.when(F.col("cut").isNull() | (F.col("__range") > F.col("cut.range")), 1).when(F.col("__range") < F.col("cut.range"), -1).otherwise(0))
-    # Rows outside the cut's range stand alone in the window below: their own partitions, spread by key.
-    within = W.partitionBy("__source", "__place").orderBy("__key", id_col, text_col).rowsBetween(W.unboundedPreceding, -1)
-    inside = x.where("__place = 0").withColumn("__before", F.col("cut.before") + F.coalesce(F.sum("__size").over(within), F.lit(0)))
-    left = F.col("rest") - F.col("__before")
-    part = F.greatest(F.lit(0), F.least(F.col("__size"), left)) if cut == "words" else F.when(left * 2 >= F.col("__size"), F.col("__size")).otherwise(0)
-    rows = inside.withColumn("__extra", part.cast("long")).drop("__before").unionByName(x.where("__place <> 0").withColumn("__extra", F.when(F.col("__place") < 0, F.col("__size")).otherwise(0).cast("long")))
-    out = rows.withColumn("size", F.col("__size")).withColumn("source_size", F.col("__source_size")).withColumn("target", F.col("__target")).withColumn("taken", F.col("times") * F.col("__size") + F.col("__extra"))
-    return out.drop("__size", "__key", "__range", "__source", "__source_size", "__target", "times", "rest", "cut", "__place", "__extra")
+    x = base.join(plan, source.eqNullSafe(F.col("source")), "left").withColumn("place", F.when(F.col("cut").isNull() | (F.col("range") > F.col("cut.range")), 1).when(F.col("range") < F.col("cut.range"), -1).otherwise(0))
+    # The cuts' ranges, sorted over many partitions; a number apart for rows alike in all that orders them.
+    inside = checkpointed(x.where("place = 0").withColumns({"first": F.substring(text, 1, 64), "hash": F.xxhash64(text), "apart": F.monotonically_increasing_id()}))
+    inside = scanned(inside, ["source"], ["key", own[id_col], "first", "hash", "apart"], inner=("sum", "size", False))
+    left = F.col("rest") - F.col("cut.before") - F.col("inner")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), left)) if cut == "words" else F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(0)
+    outside = x.where("place <> 0").withColumn("extra", F.when(F.col("place") < 0, F.col("size")).otherwise(0).cast("long"))
+    rows = inside.withColumn("extra", part.cast("long")).select(outside.columns).unionByName(outside)
+    made = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.col("times") * F.col("size") + F.col("extra")}
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in made), *(c.alias(n) for n, c in made.items()))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document of ``mix(cut="documents")`` as often as it is taken, none for 0."""
+    """The mix itself: each document of ``mix(cut="documents")`` as often as it is taken, none for 0 (nor for 0 words)."""
     n = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return mixed.withColumn("__n", F.explode(F.array_repeat(F.lit(True), n))).drop("__n", "size", "source_size", "target", "taken")
+    kept = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken")]
+    return mixed.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(kept)), F.explode(F.array_repeat(F.lit(True), n)).alias("turn")).drop("turn").toDF(*kept)
