@@ -218,6 +218,32 @@ def test_mixing(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    d = docs(spark)
+    for c in ("rest", "cut", "times", "key", "range", "place", "extra", "c0", "__size", "turn"):
+        d = d.withColumn(c, F.lit(c))
+    out = mixing.mix(d)
+    assert out.columns == [*d.columns, "size", "source_size", "target", "taken"]
+    assert {tuple(r[c] for c in d.columns[5:]) for r in out.collect()} == {tuple(d.columns[5:])}
+    again = mixing.repeated(mixing.mix(d, cut="documents"))
+    assert again.columns == d.columns and again.count() > 0
+
+
+def test_mixing_cuts_within_a_run_of_equal_keys(spark):
+    """A third of all rows have no id and one text: one key, in which the cut lies."""
+    d = spark.range(0, 300, 1, 3).selectExpr("CAST(NULL AS long) AS doc_id", "'one two three' AS text", "'a' AS source").unionByName(spark.range(100).selectExpr("id AS doc_id", "'x y' AS text", "'b' AS source"))
+    rows = mixing.mix(d).collect()
+    want = _targets({"a": 900, "b": 200})
+    for s in "ab":
+        assert sum(r.taken for r in rows if r.source == s) == math.floor(want[s])
+    many = spark.range(2000).selectExpr("id AS doc_id", "repeat('w ', cast(id % 7 as int)) AS text", "concat('s', id % 400) AS source")
+    sizes: dict = {}
+    for r in many.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len(r.text.split())
+    want = _targets(sizes)
+    assert {r.source: round(r.target, 6) for r in mixing.mix(many).collect()} == {k: round(v, 6) for k, v in want.items()}
+
+
 def test_quality(spark):
     good = [(i, " ".join(f"plain{(i * 7 + k) % 501}" for k in range(60)) + ".", "en", f"s{i % 3}", None) for i in range(90)]
     bad = [(1000 + i, "BUY!! NOW!! " * 30 + "$$$ ### %%%", "en", "s0", None) for i in range(30)]
@@ -277,6 +303,23 @@ def test_sharding(spark, shards):
     assert sharding.shard(empty(spark), shards).count() == 0
 
 
+def test_sharding_refines_to_small_runs(spark):
+    """Runs of at most 2 KB: many levels and cells, the same law."""
+    d = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a text that a third of all rows have' ELSE repeat('y', cast(id % 90 as int)) || id END AS text", "'c' AS c0", "'r' AS __run", "1 AS shard")
+    keys = d.select(F.xxhash64("text").alias("__h1"), F.xxhash64("doc_id").alias("__h2"), sharding.row_bytes(F.col("text")).alias("__size"))
+    runs = sharding.histogram_splits(keys, 24, run_bytes=2048)
+    assert (runs["bytes"] <= 2048).all() and runs["rows"].sum() == 4000 and len(runs) > 80
+    out = sharding.shard(d, 24, run_bytes=2048)
+    assert sorted(out.columns) == sorted([*d.columns, "size", "slot"])
+    rows = out.collect()
+    by = {s: [r for r in rows if r.shard == s] for s in range(24)}
+    total = sum(r.size for r in rows)
+    for own in by.values():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        assert abs(sum(r.size for r in own) - total / 24) <= 0.001 * total / 24 + 2 * max(r.size for r in rows)
+    assert sorted(r.doc_id for r in rows) == list(range(4000))
+
+
 def test_sharding_of_rows_alike_in_id_and_text(spark):
     same = spark.range(0, 1000, 1, 3).selectExpr("CAST(NULL AS long) AS doc_id", "'one text' AS text", "'en' AS lang", "cast(id as string) AS source", "0L AS n_chars")
     twin = spark.range(0, 300, 1, 2).selectExpr("7L AS doc_id", "'another text of more bytes' AS text", "'en' AS lang", "cast(id + 1000 as string) AS source", "0L AS n_chars")
