@@ -30,6 +30,8 @@ from cladeframe.llm.components import connected_components
 #: Bands and rows: a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^40 = 1e-7, one of 0.85 with 7e-11.
 BANDS, ROWS, SEED = 40, 5, 7
 SIGMAS = 6
+#: A hub's links are verified in blocks of about so many.
+SPOKES = 256
 
 
 def hash_parameters(n: int = BANDS * ROWS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +116,11 @@ def _links_by_text(pairs: DataFrame, texts: DataFrame, width: int, percent: int)
                     keep.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keep], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    with_a = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
+    # A hub with many spokes is as many keys as it has blocks of them; its text goes to each block.
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPOKES).cast("int").alias("blocks"))
+    dealt = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int")).drop("blocks")
+    hubs = texts.join(blocks, F.col("cid") == F.col("a")).select("a", F.col("text").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    with_a = dealt.join(hubs, ["a", "block"])
     both = with_a.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(run, "a long, b long")
 
@@ -133,12 +139,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     (A-Z in lower case; with fewer words, the whole sequence). A text that is null, empty or blank has no shingles
     and is linked with nothing: its component is its own id. So is a row with a null id, whose component is null
     and which is kept. Rows with one id but several texts share the id only: each is linked by its own text. Repeated
-    rows are repeated in the result. An empty table gives an empty table; other columns play no part.
+    rows are repeated in the result. An empty table gives an empty table; other columns play no part. Ids are whole numbers (or text of such);
+    others raise an error.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows_signed = checkpointed(signed(base, width, bands, rows))
     classes = rows_signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()))
+    classes = checkpointed(classes)
+    # A class goes by its least id, so that a component's least class is the answer. Only where an id has several texts, and so stands for
+    # several classes, are classes numbered instead, and components joined with their least ids.
+    by_id = classes.groupBy("rep").count().where("count > 1").isEmpty()
+    classes = classes.withColumn("cid", F.col("rep")) if by_id else checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()))
 
     # Bands with two classes or more, and each one's least class.
     key = lambda i: F.substring(F.col("bands"), 8 * i + 1, 8)
@@ -164,8 +175,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     final = near if more.isEmpty() else connected_components(links.unionByName(more))
 
     named = classes.select("cid", "fp", "rep").join(final.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = named.join(least, "component").select(F.col("fp").alias("class_fp"), "component_id", "component")
+    if by_id:
+        by_fp = named.select(F.col("fp").alias("class_fp"), F.col("component").alias("component_id"), "component")
+    else:
+        least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+        by_fp = named.join(least, "component").select(F.col("fp").alias("class_fp"), "component_id", "component")
     out = rows_signed.select("doc_id", "text_hash", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(by_fp, F.col("fp") == F.col("class_fp"), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "component")
