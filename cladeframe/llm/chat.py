@@ -1,8 +1,8 @@
 """Chat formatting: reply trees to conversations, native DataFrame operations throughout.
 
 Root-to-leaf paths are enumerated by iterative self-joins on (tree, node) pairs alone, without texts: each
-round doubles the length of the known ancestor chains, so a tree of depth d takes log2(d) rounds. Branches
-are ranked by score; the texts join once, for the chosen paths, and each path becomes one formatted string
+round doubles the length of the known ancestor chains, so a tree of depth d takes log2(d) rounds. Scores are summed
+along the way, branches ranked by them, and only chosen paths are spelt out; the texts join once, and each path becomes one formatted string
 with the spans of its assistant texts.
 """
 
@@ -36,7 +36,7 @@ def unescaped(text: Column) -> Column:
 
 def linear_parents(rows: DataFrame, tree: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Rows of plain conversations as reply trees of one branch: adds node (place by turn, from 0) and parent
-    (the place before; null for the first). Repeated turns follow each other by role and text. Null turns come first."""
+    (the place before; null for the first), in place of columns of these names. Repeated turns follow each other by role and text. Null turns come first."""
     w = W.partitionBy(tree).orderBy(turn, "role", "text")
     node = (F.row_number().over(w) - 1).cast("long")
     return rows.withColumn("node", node).withColumn("parent", F.when(F.col("node") > 0, F.col("node") - 1))
@@ -58,31 +58,31 @@ def paths(nodes: DataFrame, tree: str = "conv_id", node: str = "node", parent: s
     edges = raw.join(known, same(raw, known) & (raw["parent"] == known["n"]), "left").select("tree", "node", F.col("n").alias("up"), "score")
     inner = edges.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     leaves = edges.join(inner, edges["tree"].eqNullSafe(inner["t"]) & (edges["node"] == inner["n"]), "left_anti")
-    edges = checkpointed(edges)
-    # Ancestors of the leaves, by doubling: `jump` holds each node's 2^k-th ancestor, `found` every (leaf, ancestor) up to 2^k steps.
-    found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up_steps"))
-    jump = edges.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+    edges, leaves = checkpointed(edges), checkpointed(leaves.select(F.col("tree").alias("lt"), F.col("node").alias("leaf")))
+    # Doubling: in round k a node knows its 2^k-th ancestor, if it has one, and the scores and steps up to there (or to the root).
+    rounds = [edges.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up", "score", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps"))]
     longest = raw.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     step = 1
-    while step < longest:  # more steps than nodes: what still jumps is on a cycle or leads to one
-        more = found.join(jump, found["tree"].eqNullSafe(jump["t"]) & (found["node"] == jump["n"])).select("tree", "leaf", F.col("up").alias("node"), (F.col("up_steps") + step).alias("up_steps"))
-        found = checkpointed(found.unionByName(more))
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = checkpointed(a.join(b, F.col("a.t").eqNullSafe(F.col("b.t")) & (F.col("a.up") == F.col("b.n"))).select("a.t", "a.n", "b.up"))
-        if jump.isEmpty():
-            break
+    while step < longest and not rounds[-1].where("up IS NOT NULL").isEmpty():  # more steps than nodes: what still has an ancestor is on a cycle or leads to one
+        a, b = rounds[-1].alias("a"), rounds[-1].alias("b")
+        rounds.append(checkpointed(a.join(b, F.col("a.t").eqNullSafe(F.col("b.t")) & (F.col("a.up") == F.col("b.n")), "left").select("a.t", "a.n", "b.up", (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"), (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"))))
         step *= 2
-    scored = found.join(edges.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "score", F.col("up").isNull().alias("is_root")), F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2"))).drop("t2", "n2")
-    ranked = scored.groupBy("tree", "leaf").agg(F.sum("score").alias("path_score"), F.max("up_steps").alias("length"), F.max("is_root").alias("whole")).where("whole")
+    end = rounds[-1].where("up IS NULL")
+    ranked = leaves.join(end, F.col("lt").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("n"))).select(F.col("lt").alias("tree"), "leaf", F.col("score").alias("path_score"), F.col("steps").alias("length"))
     ranked = ranked.withColumn("path_rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")))
     if top is not None:
         ranked = ranked.where(F.col("path_rank") <= top)
-    r = ranked.select(F.col("tree").alias("t"), F.col("leaf").alias("l"), "path_score", "path_rank", "length")
-    return scored.join(r, scored["tree"].eqNullSafe(r["t"]) & (scored["leaf"] == r["l"])).select("tree", "leaf", "node", (F.col("length") - F.col("up_steps")).alias("depth"), "path_score", "path_rank")
+    # Only chosen paths are spelt out: each round doubles the known part of them.
+    found = checkpointed(ranked.select("tree", "leaf", F.col("leaf").alias("node"), F.col("length").alias("depth"), "path_score", "path_rank"))
+    for k, s in enumerate(rounds[:-1]):
+        jump = s.where("up IS NOT NULL").select("t", "n", "up")
+        more = found.join(jump, found["tree"].eqNullSafe(jump["t"]) & (found["node"] == jump["n"])).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") - 2**k).alias("depth"), "path_score", "path_rank")
+        found = checkpointed(found.unionByName(more))
+    return found
 
 
 def format_paths(nodes: DataFrame, chosen: DataFrame, tree: str = "conv_id", node: str = "node") -> DataFrame:
-    """Each chosen path as one conversation: tree, leaf, path_score, path_rank, formatted, loss_spans.
+    """Each chosen path as one conversation: tree, leaf, path_score, path_rank, formatted, loss_spans; other columns of ``nodes`` play no part.
 
     A turn is START role newline text END newline, role and text escaped (null: empty). ``loss_spans`` are the
     spans of assistant texts in ``formatted``: start and length in code points. Of rows that repeat a (tree, node) pair,

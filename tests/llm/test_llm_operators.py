@@ -383,3 +383,46 @@ def test_linear_chat_with_repeated_turns(spark):
     rows = chat.linear_parents(d)
     (r,) = chat.format_paths(rows, chat.paths(rows)).collect()
     assert r.formatted == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\na<|im_end|>\n<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n"
+
+
+def test_chat_paths_are_brute_force(spark):
+    rng = np.random.default_rng(6)
+    parents = {t: {n: (int(rng.integers(0, n)) if rng.random() < 0.9 else None) if n else None for n in range(25)} for t in (1, 2, None)}
+    parents[2] |= {n: n - 1 for n in range(1, 20)}
+    score = {(t, n): float(rng.integers(-3, 4)) for t in parents for n in parents[t]}
+    long_text = LONG[:50_000]
+    rows = [(t, n, p, "user", long_text if n == 3 else f"t{n}", score[t, n], "x", 7) for t in parents for n, p in parents[t].items()]
+    d = spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, score double, up string, steps int")
+    for top in (None, 2):
+        want = {}
+        for t, up in parents.items():
+            found = []
+            for leaf in set(up) - set(up.values()):
+                path = [leaf]
+                while up[path[-1]] is not None:
+                    path.append(up[path[-1]])
+                found.append((-sum(score[t, n] for n in path), leaf, path[::-1]))
+            want |= {(t, leaf): (k + 1, -s, path) for k, (s, leaf, path) in enumerate(sorted(found)) if top is None or k < top}
+        got: dict = {}
+        p = chat.paths(d, score="score", top=top)
+        for r in p.orderBy("depth").collect():
+            got.setdefault((r.tree, r.leaf), (r.path_rank, r.path_score, []))[2].append(r.node)
+        assert got == want
+    texts = {(r.tree, r.leaf): [x.text for x in r.turns] for r in chat.format_paths(d, p).select("tree", "leaf", chat.parsed(F.col("formatted")).alias("turns")).collect()}
+    assert texts == {k: [long_text if n == 3 else f"t{n}" for n in v[2]] for k, v in want.items()}
+
+
+def test_minhash_hub_of_many_spokes_and_text_ids(spark, monkeypatch):
+    """Near copies of one text, several hundred of them, verified in small blocks; ids as text."""
+    monkeypatch.setattr(minhash, "SPOKES", 16)
+    rng = np.random.default_rng(8)
+    base = [f"h{k}" for k in range(120)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        w[int(rng.integers(0, 120))] = f"e{i}"
+        rows.append((str(i + 5), " ".join(w)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), 85).collect()
+    assert {r.component_id for r in got} == {5} and [r.doc_id for r in got if r.kept] == [5] and len(got) == 400
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        minhash.near_duplicates(spark.createDataFrame([("a", "x y")], "doc_id string, text string")).collect()
