@@ -1,7 +1,7 @@
 """Quality classifier: hierarchical empirical Bayes over documents, paths and hosts.
 
-A naive Bayes classifier over binned shape features of the text, learnt from labelled documents, gives each
-document's evidence as a log likelihood ratio. Grouped sums of what the evidence says estimate how good hosts and
+A naive Bayes classifier over binned shape features of the text and over hashed words and word pairs, learnt from labelled documents,
+gives each document's evidence as a log likelihood ratio. Grouped sums of what the evidence says estimate how good hosts and
 paths are; sparse paths are drawn towards their host, sparse hosts towards the global share, by as much as
 the spread between groups, estimated from the same sums, asks for. A document's posterior joins its own evidence
 with the prior of its path, its own part taken out of that prior.
@@ -28,6 +28,9 @@ THRESHOLD = 0.5
 #: Up to so many paths (about 100 bytes each) their priors are broadcast; beyond, they are joined.
 BROADCAST_PATHS = 100_000
 BINS, SMOOTHING, MOST_EVIDENCE = 16, 0.5, 30.0
+#: Words and word pairs are hashed to so many buckets; one tells if its log likelihood ratio is so many standard errors from 0. Of a document's
+#: telling buckets all count, each once, as their mean times WEIGHT: repeating itself makes no document better or worse.
+BUCKETS, TELLING, WEIGHT = 1 << 18, 4.0, 2.0
 FEATURES = ("upper_runs", "odd_symbols", "lone_symbols", "repeated_next", "repeated_pairs", "repeated_lines")
 
 _KIND = np.zeros(256, np.uint8)  # by byte: 1 upper case, 2 a symbol that plain prose hardly has
@@ -72,16 +75,43 @@ def binned(x: np.ndarray) -> np.ndarray:
     return np.minimum(BINS - 1, np.ceil(np.sqrt(np.clip(x, 0, 1)) * (BINS - 1))).astype(np.int64)
 
 
+def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of each text's words and adjacent word pairs, one text after the other, and the text that each belongs to."""
+    h, at = tokens.word_hashes(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(at))
+    inner = owner[1:] == owner[:-1]
+    pairs = tokens.mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[inner]
+    key = np.concatenate([h, pairs]) % np.uint64(BUCKETS)
+    both = np.unique(np.concatenate([owner, owner[1:][inner]]).astype(np.int64) * BUCKETS + key.astype(np.int64))
+    return both % BUCKETS, both // BUCKETS
+
+
 @dataclass(frozen=True)
 class Classifier:
-    """Log likelihood ratios (good against bad) by feature and bin, and the share of good documents among the labelled."""
+    """Log likelihood ratios (good against bad) by feature and bin and by bucket of words, and the share of good documents among the labelled."""
 
     ratios: np.ndarray
     share: float
+    words: np.ndarray
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
+        """The shape features' ratios, and WEIGHT times the mean of the telling buckets' (fewer than WEIGHT count as their sum)."""
         bins = binned(features(texts))
-        return np.clip(sum(self.ratios[k][bins[:, k]] for k in range(len(FEATURES))), -MOST_EVIDENCE, MOST_EVIDENCE)
+        shape = sum(self.ratios[k][bins[:, k]] for k in range(len(FEATURES)))
+        if self.words.any():
+            bucket, owner = buckets(texts)
+            ratio = self.words[bucket].astype(float)
+            total = np.bincount(owner, ratio, len(texts))
+            shape = shape + total * WEIGHT / np.maximum(WEIGHT, np.bincount(owner, ratio != 0, len(texts)))
+        return np.clip(shape, -MOST_EVIDENCE, MOST_EVIDENCE)
+
+
+def word_ratios(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> np.ndarray:
+    """Log likelihood ratios of buckets, from how many documents of each kind have them; 0 for those that don't tell."""
+    p, q = (good + SMOOTHING) / (n_good + 2 * SMOOTHING), (bad + SMOOTHING) / (n_bad + 2 * SMOOTHING)
+    error = np.sqrt(np.maximum(0, 1 / (good + SMOOTHING) - 1 / (n_good + 2 * SMOOTHING)) + np.maximum(0, 1 / (bad + SMOOTHING) - 1 / (n_bad + 2 * SMOOTHING)))
+    ratio = np.log(p / q)
+    return np.where(np.abs(ratio) >= TELLING * np.maximum(error, 1e-9), ratio, 0.0).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Classifier:
@@ -94,35 +124,42 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
 
     def count(batches):
         total = np.zeros((2, len(FEATURES), BINS), np.int64)
+        seen = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             for part in tokens.slices(batch, "text"):
                 bins, good = binned(features(part.column("text"))), np.asarray(part.column("__good").cast(pa.int8()))
                 for k in range(len(FEATURES)):
                     np.add.at(total, (good, k, bins[:, k]), 1)
-        g, k, b = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (g, k, b, total[g, k, b])], names=["g", "k", "b", "n"])
-
-    total = np.zeros((2, len(FEATURES), BINS))
-    for r in rows.mapInArrow(count, "g long, k long, b long, n long").groupBy("g", "k", "b").agg(F.sum("n").alias("n")).collect():  # 2 * FEATURES * BINS rows at most
-        total[r.g, r.k, r.b] = r.n
+                bucket, owner = buckets(part.column("text"))
+                np.add.at(seen, (good[owner], bucket), 1)
+        for table, first in ((total.reshape(2, -1), 0), (seen, len(FEATURES) * BINS)):
+            g, k = np.nonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (g, k + first, table[g, k])], names=["g", "k", "n"])
+
+    # 2 * (FEATURES * BINS + BUCKETS) rows at most.
+    sums = rows.mapInArrow(count, "g long, k long, n long").groupBy("g", "k").agg(F.sum("n").alias("n")).toArrow()
+    every = np.zeros((2, len(FEATURES) * BINS + BUCKETS))
+    every[np.asarray(sums["g"]), np.asarray(sums["k"])] = np.asarray(sums["n"])
+    total, seen = every[:, : len(FEATURES) * BINS].reshape(2, len(FEATURES), BINS), every[:, len(FEATURES) * BINS :]
     of = total[:, 0].sum(axis=1)
     if of.min() == 0:
-        return Classifier(np.zeros((len(FEATURES), BINS)), 1.0 if of.sum() == 0 else float(of[1] > 0))
+        return Classifier(np.zeros((len(FEATURES), BINS)), 1.0 if of.sum() == 0 else float(of[1] > 0), np.zeros(BUCKETS, np.float32))
     p = (total + SMOOTHING) / (of[:, None, None] + SMOOTHING * BINS)
-    return Classifier(np.log(p[1] / p[0]), float((of[1] + 1) / (of.sum() + 2)))
+    return Classifier(np.log(p[1] / p[0]), float((of[1] + 1) / (of.sum() + 2)), word_ratios(seen[0], seen[1], int(of[0]), int(of[1])))
 
 
-def with_evidence(docs: DataFrame, model: Classifier, text_col: str = "text", out_col: str = "evidence") -> DataFrame:
-    """``docs`` with the classifier's log likelihood ratio of each text; a narrow map. ``out_col`` is replaced, all others are kept."""
-    schema = T.StructType([*(x for x in docs.schema.fields if x.name != out_col), T.StructField(out_col, T.DoubleType())])
+def with_evidence(docs: DataFrame, model: Classifier, text_col: str = "text", out_col: str = "evidence", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with the classifier's log likelihood ratio of each text; a narrow map. ``out_col`` is replaced."""
+    schema = T.StructType([*(x for x in docs.schema.fields if x.name != out_col and (keep is None or x.name in keep)), T.StructField(out_col, T.DoubleType())])
     names = [x.name for x in schema.fields[:-1]]
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for part in tokens.slices(batch, text_col):
-                yield pa.RecordBatch.from_arrays([*part.select(names).columns, pa.array(model.evidence(part.column(text_col)))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.select(names).columns, pa.array(held.value.evidence(part.column(text_col)))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*{*names, text_col}).mapInArrow(run, schema)
 
 
 def _strength(groups: DataFrame, share: Column) -> Column:
@@ -146,26 +183,34 @@ def path_priors(scored: DataFrame, share: float) -> DataFrame:
     return paths.join(prior, F.col("host").eqNullSafe(F.col("h"))).select("host", "path", "n", "s", "host_prior", F.lit(float(k_path)).alias("path_strength"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``docs`` with evidence, host_prior, path_prior, quality (posterior probability of being good) and kept.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (of its columns those of ``keep``, all by default) with evidence, host_prior, path_prior, quality (posterior probability of being good) and
+    kept (quality of ``threshold`` and more, so a tie with it is kept).
 
     A path is a value of ``path_col`` within one of ``host_col``; null hosts and paths are groups of their own. Null,
-    empty and very short texts are judged as any other. Without labels everything has quality 1 and is kept. Repeated rows stay and count as often. An
-    empty table gives an empty table. Columns of the five names are replaced, all others are kept.
+    empty and very short texts are judged as any other, very long ones as a whole. Without labels everything has quality 1 and is kept. Repeated rows stay and
+    count as often. An empty table gives an empty table. Columns of the five names are replaced, all others are kept, whatever they are called.
+
+    Each text is read once: what is kept of the rows is checkpointed with the evidence, priors are summed from that and joined to it.
     """
     model = fit(docs, labels, max_labelled, id_col, text_col)
     share = float(np.clip(model.share, 1e-6, 1 - 1e-6))
     odds = float(np.log(share / (1 - share)))
     made = ("evidence", "host_prior", "path_prior", "quality", "kept")
-    rest = docs.drop(*(c for c in made if c not in (id_col, text_col, host_col, path_col)))
+    names = docs.columns
+    own = {c: f"c{i}" for i, c in reversed(list(enumerate(names)))}  # by place, so that no name can clash
+    stay = [f"c{i}" for i, c in enumerate(names) if c not in made and (keep is None or c in keep)]
     logistic = lambda x: 1 / (1 + F.exp(-x))
-    thin = with_evidence(docs.select(F.col(text_col).alias("text"), F.col(host_col).alias("host"), F.col(path_col).alias("path")), model).select("host", "path", logistic(F.col("evidence") + odds).alias("p"))
-    priors = checkpointed(path_priors(thin, model.share).select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("n").alias("__n"), F.col("s").alias("__s"), F.col("host_prior").alias("__hp"), F.col("path_strength").alias("__k")))
+    rows = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumns({"host": F.col(own[host_col]), "path": F.col(own[path_col])})
+    rows = checkpointed(with_evidence(rows, model, own[text_col], "evidence", [*stay, "host", "path"]))
+    priors = path_priors(rows.select("host", "path", logistic(F.col("evidence") + odds).alias("p")), model.share)
+    priors = checkpointed(priors.select(F.col("host").alias("h"), F.col("path").alias("p"), "n", "s", "host_prior", F.col("path_strength").alias("k")))
     if priors.count() <= BROADCAST_PATHS:
         priors = F.broadcast(priors)
-    x = with_evidence(rest, model, text_col, "evidence").join(priors, F.col(host_col).eqNullSafe(F.col("__host")) & F.col(path_col).eqNullSafe(F.col("__path")), "left")
-    own = logistic(F.col("evidence") + odds)
-    prior = (F.col("__s") - own + F.col("__k") * F.col("__hp")) / (F.col("__n") - 1 + F.col("__k"))
-    x = x.withColumn("__prior", F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), prior)))
-    x = x.withColumn("host_prior", F.col("__hp")).withColumn("path_prior", F.col("__prior")).withColumn("quality", logistic(F.col("evidence") + F.log(F.col("__prior") / (1 - F.col("__prior")))))
-    return x.withColumn("kept", F.col("quality") >= threshold).drop("__host", "__path", "__n", "__s", "__hp", "__k", "__prior")
+    x = rows.join(priors, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
+    mine = logistic(F.col("evidence") + odds)
+    prior = (F.col("s") - mine + F.col("k") * F.col("host_prior")) / (F.col("n") - 1 + F.col("k"))
+    x = x.withColumn("path_prior", F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), prior)))
+    x = x.withColumn("quality", logistic(F.col("evidence") + F.log(F.col("path_prior") / (1 - F.col("path_prior"))))).withColumn("kept", F.col("quality") >= threshold)
+    back = {f"c{i}": c for i, c in enumerate(names)}
+    return x.select(*(F.col(c).alias(back[c]) for c in stay), *made)

@@ -41,7 +41,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "evidence", "host_prior", "path_prior", "quality", "kept")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), keep=["doc_id"]).select("doc_id", "evidence", "host_prior", "path_prior", "quality", "kept")
 
 
 def op7_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

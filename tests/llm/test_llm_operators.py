@@ -5,6 +5,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -256,6 +257,76 @@ def test_quality(spark):
     assert quality.classify(empty(spark), labels).count() == 0
 
 
+def test_quality_is_brute_force(spark):
+    """Evidence from counts in dictionaries, priors and posteriors from plain sums; fluent junk that only its words tell."""
+    rng = np.random.default_rng(12)
+    word = lambda junk: f"cheap{int(rng.integers(0, 6))}" if junk and rng.random() < 0.2 else f"plain{int(rng.integers(0, 40))}"
+    rows = [(i, " ".join(word(i % 4 == 0) for _ in range(60)), ["en", "de", None][i % 3], f"s{i % 5}" if i % 7 else None) for i in range(1000)] + [(9000, None, "en", "s1"), (9001, "", "en", "s1"), (9002, LONG * 4, "en", "s2"), (3, "plain1 plain2 plain3", "en", "s3")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("evidence", F.lit("clash")).withColumn("n", F.lit("kept")).withColumn("c0", F.lit("kept"))
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(0, 1000) if i % 2 or i % 8 == 0], "doc_id long, quality int")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    labelled = [(t, known[i]) for i, t, *_ in rows if i in known]
+    n = [sum(1 for _, g in labelled if g == k) for k in (0, 1)]
+
+    def grams(text):
+        b, _ = quality.buckets(pa.array([text], pa.string()))
+        return set(b.tolist())
+
+    def shape(text):
+        return quality.binned(quality.features(pa.array([text], pa.string())))[0]
+
+    seen, bins = [{}, {}], [{}, {}]
+    for t, g in labelled:
+        for b in grams(t):
+            seen[g][b] = seen[g].get(b, 0) + 1
+        for k, b in enumerate(shape(t)):
+            bins[g][k, b] = bins[g].get((k, b), 0) + 1
+    s = quality.SMOOTHING
+
+    def ratio(b):
+        good, bad = seen[1].get(b, 0), seen[0].get(b, 0)
+        x = math.log((good + s) / (n[1] + 2 * s)) - math.log((bad + s) / (n[0] + 2 * s))
+        error = math.sqrt(1 / (good + s) - 1 / (n[1] + 2 * s) + 1 / (bad + s) - 1 / (n[0] + 2 * s))
+        return x if abs(x) >= quality.TELLING * error else 0.0
+
+    def evidence(text):
+        e = sum(math.log((bins[1].get((k, b), 0) + s) / (n[1] + s * quality.BINS)) - math.log((bins[0].get((k, b), 0) + s) / (n[0] + s * quality.BINS)) for k, b in enumerate(shape(text)))
+        telling = [r for b in grams(text) if (r := ratio(b))]
+        e += sum(telling) * quality.WEIGHT / max(quality.WEIGHT, len(telling))
+        return max(-quality.MOST_EVIDENCE, min(quality.MOST_EVIDENCE, e))
+
+    share = (n[1] + 1) / (sum(n) + 2)
+    odds = math.log(share / (1 - share))
+    p = lambda x: 1 / (1 + math.exp(-x))
+    ev = [evidence(t) for _, t, *_ in rows]
+    paths, hosts = {}, {}
+    for e, (_, _, lang, source) in zip(ev, rows):
+        for table, key in ((paths, (source, lang)), (hosts, source)):
+            c = table.setdefault(key, [0, 0.0])
+            c[0] += 1
+            c[1] += p(e + odds)
+
+    def strength(table):
+        total, g, var = sum(c[0] for c in table.values()), len(table), share * (1 - share)
+        spread = (sum(c[0] * (c[1] / c[0] - share) ** 2 for c in table.values()) - (g - 1) * var) / (total - sum(c[0] ** 2 for c in table.values()) / total)
+        return 1e6 if spread <= var * 1e-6 else min(1e6, max(1.0, var / spread - 1))
+
+    kh, kp = strength(hosts), strength(paths)
+    want = []
+    for e, (i, _, lang, source) in zip(ev, rows):
+        h, c = (hosts[source][1] + share * kh) / (hosts[source][0] + kh), paths[source, lang]
+        prior = min(1 - 1e-9, max(1e-9, (c[1] - p(e + odds) + kp * h) / (c[0] - 1 + kp)))
+        q = p(e + math.log(prior / (1 - prior)))
+        want.append((i, round(e, 4), round(h, 6), round(prior, 6), round(q, 6), q >= 0.5))
+    out = quality.classify(d, labels)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n", "c0", "evidence", "host_prior", "path_prior", "quality", "kept"]
+    got = [(r.doc_id, round(r.evidence, 4), round(r.host_prior, 6), round(r.path_prior, 6), round(r.quality, 6), r.kept) for r in out.collect()]
+    assert np.allclose(sorted(x[1] for x in got), sorted(x[1] for x in want), atol=1e-3) and np.allclose(sorted(x[4] for x in got), sorted(x[4] for x in want), atol=1e-4)
+    assert {(x[0], x[5]) for x in got} == {(x[0], x[5]) for x in want}
+    judged = {x[0]: x[5] for x in got if x[0] < 1000 and x[0] not in known}
+    assert sum(judged[i] == bool(i % 4) for i in judged) >= 0.95 * len(judged)
+
+
 def test_quality_shrinks_sparse_paths_to_their_host(spark):
     rows = [("h1", "p1", 0.9)] * 500 + [("h1", "p2", 0.1)] + [("h2", "p1", 0.1)] * 500 + [(None, None, 0.5)]
     got = {(r.host, r.path): r for r in quality.path_priors(spark.createDataFrame(rows, "host string, path string, p double"), 0.5).collect()}
