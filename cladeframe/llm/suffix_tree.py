@@ -7,9 +7,10 @@ ones. A context joins the tree if it is frequent enough and its smoothed next-sy
 parent's (likelihood-ratio gain); rare next symbols are left to the parent, with the mass that makes each
 distribution sum to 1. Scoring takes the longest suffix in the tree.
 
-The tree grows with the corpus. Up to BROADCAST_ENTRIES it is sent to the tasks; beyond, the texts' distinct
-windows are joined with it. The word counts of the unigram base are always joined, but for
-the words of a share of FREQUENT and more of all tokens, of which there can be no more than 1 / FREQUENT.
+The tree grows with the corpus. It is dealt by the last two symbols of the contexts to pieces of at most PIECE entries; a pass over the texts has one
+piece and scores the symbols whose contexts lie in it, so a small tree is one pass and a larger one a few, without a shuffle of windows. The
+word counts of the unigram base are joined, but for the words of a share of FREQUENT and more of all tokens, of which there can be no more
+than 1 / FREQUENT.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from cladeframe.llm import tokens
 from cladeframe.llm.common import checkpointed
 
 #: Longest context in symbols; least count of a context and of a next symbol in it; least gain, in nats, over the parent.
-DEPTH, MIN_COUNT, MIN_NEXT, MIN_GAIN = 5, 16, 2, 8.0
+DEPTH, MIN_COUNT, MIN_NEXT, MIN_GAIN = 6, 16, 2, 8.0
 #: Symbols that UTF-8 doesn't use: what stands before a text, and its end.
 START, END, SYMBOLS = 0xFE, 0xFF, 256
-BROADCAST_ENTRIES, FREQUENT = 4_000_000, 1e-6
+#: Entries of a piece of the tree (17 bytes each); the share of all tokens from which on a word is sent to the tasks; distinct keys that a task holds.
+PIECE, FREQUENT, HELD = 4_000_000, 1e-6, 4 << 20
 _SLICE = 6 << 20
 
 
@@ -64,6 +66,10 @@ def _mask(symbols: int) -> int:
 def window_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """key and n of all windows of a column ``text``; each task's distinct windows are summed before the shuffle."""
 
+    def emitted(keys: np.ndarray, n: np.ndarray):
+        for at in range(0, len(keys), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 18)]), pa.array(n[at : at + (1 << 18)])], names=["key", "n"])
+
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
@@ -71,10 +77,10 @@ def window_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
                 held.append(np.unique(windows(part.column("text"), depth)[0], return_counts=True))
                 if len(held) > 8:
                     held = [_summed(held)]
+                    if len(held[0][0]) > HELD:  # what is sent on early is summed after the shuffle
+                        yield from emitted(*held.pop())
         if held:
-            keys, n = _summed(held)
-            for at in range(0, len(keys), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 18)]), pa.array(n[at : at + (1 << 18)])], names=["key", "n"])
+            yield from emitted(*_summed(held))
 
     return texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -98,7 +104,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 held.append(pa.table({"word": counts.field("values").cast(pa.binary()), "c": counts.field("counts")}))
                 rows += len(held[-1])
                 if rows > 1 << 20:
-                    held, rows = [_words_summed(held)], 0
+                    held = [_words_summed(held)]
+                    rows = len(held[0])
+                    if rows > 1 << 19:  # mostly distinct: sent on, and summed after the shuffle
+                        yield from held.pop().to_batches(max_chunksize=1 << 17)
+                        rows = 0
         if held:
             yield from _words_summed(held).to_batches(max_chunksize=1 << 17)
 
@@ -175,15 +185,32 @@ def _collected(tree: DataFrame, depth: int) -> Tree:
     return Tree(*(np.asarray(rows[c]) for c in ("depth", "key", "p")), depth)
 
 
-def joined_log10(keys: DataFrame, tree: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """key and lp for distinct windows, by joins with a tree of any size; the same numbers as :meth:`Tree.log10`."""
-    x = keys.withColumn("lp", F.lit(1 / SYMBOLS))
-    for d in range(depth + 1):
-        level = tree.where(F.col("depth") == d)
-        own = F.col("key").bitwiseAND(F.lit(_mask(d + 1)))
-        x = x.join(level.select(F.col("key").alias("k1"), F.col("p").alias("p1")), own == F.col("k1"), "left").join(level.select(F.col("key").alias("k2"), F.col("p").alias("p2")), -1 - F.shiftrightunsigned(own, 8) == F.col("k2"), "left")
-        x = x.select("key", F.coalesce("p1", F.col("p2") * F.col("lp"), "lp").alias("lp"))
-    return x.select("key", F.log10(F.greatest(F.col("lp"), F.lit(1e-300))).alias("lp"))
+def _last_two(depth: Column, key: Column) -> Column:
+    """The last two symbols of an entry's context; null for contexts that are shorter."""
+    ctx = F.when(key < 0, -1 - key).otherwise(F.shiftrightunsigned(key, 8))
+    return F.when(depth >= 2, ctx.bitwiseAND(0xFFFF)).cast("int")
+
+
+def pieces(tree: DataFrame, limit: int = PIECE) -> np.ndarray:
+    """The piece (from 0) of each pair of last symbols: as many pairs together as have at most ``limit`` entries."""
+    n = np.zeros(1 << 16, np.int64)
+    rows = tree.groupBy(_last_two(F.col("depth"), F.col("key")).alias("g")).agg(F.count(F.lit(1)).alias("n")).where("g IS NOT NULL").toArrow()  # 65536 rows at most
+    n[np.asarray(rows["g"])] = np.asarray(rows["n"])
+    out, at, load = np.zeros(1 << 16, np.int64), 0, 0
+    for g in np.flatnonzero(n).tolist():
+        if load and load + n[g] > limit:
+            at, load = at + 1, 0
+        out[g], load = at, load + n[g]
+    return out
+
+
+def _piece(tree: DataFrame, which: np.ndarray, b: int, depth: int) -> Tree:
+    """A piece and the short contexts, which all have."""
+    if not which.any():
+        return _collected(tree, depth)
+    mine = tree.sparkSession.createDataFrame(pa.table({"g": pa.array(np.flatnonzero(which == b), pa.int32())}))
+    g = _last_two(F.col("depth"), F.col("key"))
+    return _collected(tree.withColumn("g", g).join(F.broadcast(mine), "g", "left_semi").drop("g").unionByName(tree.where(g.isNull())), depth)
 
 
 # --- scoring
@@ -193,13 +220,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 10 == 0
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_count: int = MIN_COUNT, min_next: int = MIN_NEXT, min_gain: float = MIN_GAIN, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_count: int = MIN_COUNT, min_next: int = MIN_NEXT, min_gain: float = MIN_GAIN, piece: int = PIECE) -> DataFrame:
     """A row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are a text's words (A-Z in lower case) and one end; null and blank texts have the end alone. Rows with held_out are
     scored but not learnt from; repeated rows are learnt from as often as they occur. ``base_score`` sums
     log10((c + 0.1) / (N + 0.1 (V + 1))) with the tokens' counts in training; ``score`` is the tree's log10 probability of the
-    text. Without training rows base scores are 0 and every symbol has probability 1/256. No rows, no result.
+    text. Without training rows base scores are 0 and every symbol has probability 1/256. No rows, no result. Other columns play no part.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     train = base.where(~F.col("held_out"))
@@ -213,37 +240,53 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     often = words.where(F.col("c") >= F.lit(max(1.0, n * FREQUENT))).toArrow()
     sc = docs.sparkSession.sparkContext
     frequent = sc.broadcast(dict(zip(often["word"].to_pylist(), often["c"].to_pylist())))
-    small = tree.count() <= broadcast_entries
-    held = sc.broadcast(_collected(tree, depth) if small else None)
+    which = pieces(tree, piece)
+
+    def tree_scores(held, b: int, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Each text's sum over the symbols whose contexts lie in piece ``b``."""
+        if not which.any():
+            coded = pa.array(keys).dictionary_encode()
+            return np.add.reduceat(held.log10(np.asarray(coded.dictionary))[np.asarray(coded.indices)], starts)
+        mine = np.flatnonzero(which[(keys >> 8) & 0xFFFF] == b)
+        known, at = np.unique(keys[mine], return_inverse=True)
+        each = np.zeros(len(keys))
+        each[mine] = held.log10(known)[at]
+        return np.add.reduceat(each, starts)
+
+    first = sc.broadcast(_piece(tree, which, 0, depth))
 
     def run(batches):
         for batch in batches:
             for part in tokens.slices(batch, "text", _SLICE):
                 keys, starts, offsets, flat = windows(part.column("text"), depth)
-                coded = pa.array(keys).dictionary_encode()
-                at, known = np.asarray(coded.indices), np.asarray(coded.dictionary)
-                if held.value is not None:
-                    scores, grams = np.add.reduceat(held.value.log10(known)[at], starts), pa.nulls(len(starts), pa.list_(pa.int64()))
-                else:
-                    scores, grams = np.zeros(len(starts)), pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)), pa.int32()), pa.array(keys))
+                scores = tree_scores(first.value, 0, keys, starts)
                 word = flat.dictionary_encode()
                 c = np.fromiter((frequent.value.get(w, 0) for w in word.dictionary.cast(pa.binary()).to_pylist()), np.int64, len(word.dictionary))[np.asarray(word.indices)] if len(flat) else np.zeros(0, np.int64)
                 log = np.append(np.where(c > 0, np.log10(c + 0.1), 0.0), 0.0)
                 count, rare = np.concatenate([[0], np.cumsum(c > 0)]), np.concatenate([[0], np.cumsum(c == 0)])
                 a, b = offsets[:-1], offsets[1:]
                 others = pa.ListArray.from_arrays(pa.array(rare[offsets], pa.int32()), flat.filter(pa.array(c == 0)).cast(pa.binary()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(b - a + 1), pa.array(count[b] - count[a]), pa.array(np.where(b > a, np.add.reduceat(log, a), 0.0)), pa.array(scores), others, grams], names=["doc_id", "held_out", "n_tokens", "n_often", "often", "score", "rare", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), part.column("text_hash"), pa.array(b - a + 1), pa.array(count[b] - count[a]), pa.array(np.where(b > a, np.add.reduceat(log, a), 0.0)), pa.array(scores), others], names=["doc_id", "held_out", "text_hash", "n_tokens", "n_often", "often", "score", "rare"])
 
     kind = dict(base.dtypes)["doc_id"]
-    rows = base.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_often long, often double, score double, rare array<binary>, grams array<long>")
+    hashed = base.withColumn("text_hash", F.xxhash64("text"))
+    rows = hashed.select("doc_id", "held_out", "text_hash", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, text_hash long, n_tokens long, n_often long, often double, score double, rare array<binary>")
     rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
     rest = rows.select("row", F.explode("rare").alias("w")).join(words.select(F.col("word").alias("w"), "c"), "w", "left")
     rest = rest.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("seldom"), F.count("c").alias("n_seldom"))
     x = rows.join(rest, "row", "left")
-    if not small:
-        each = rows.select("row", F.explode("grams").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("k"))
-        scored = each.join(joined_log10(each.select("key").distinct(), tree, depth), "key").groupBy("row").agg(F.sum(F.col("k") * F.col("lp")).alias("sum"))
-        x = x.drop("score").join(scored.withColumnRenamed("sum", "score"), "row", "left")
+    for b in range(1, int(which.max()) + 1):
+        held = sc.broadcast(_piece(tree, which, b, depth))
+
+        def more(batches, b=b, held=held):
+            for batch in batches:
+                for part in tokens.slices(batch, "text", _SLICE):
+                    keys, starts, _, _ = windows(part.column("text"), depth)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(tree_scores(held.value, b, keys, starts))], names=["id", "th", "more"])
+
+        # Rows alike in id and text have one score, so those two name it.
+        added = checkpointed(hashed.select("doc_id", "text_hash", "text").mapInArrow(more, f"id {kind}, th long, more double").groupBy("id", "th").agg(F.max("more").alias("more")))
+        x = x.join(added, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_hash").eqNullSafe(F.col("th")), "left").withColumn("score", F.col("score") + F.col("more")).drop("id", "th", "more")
     total = F.log10(F.lit(n + 0.1 * (v + 1)))
     end = math.log10(texts + 0.1)
     known = F.col("n_often") + F.coalesce("n_seldom", F.lit(0)) + F.lit(int(texts > 0))

@@ -126,15 +126,66 @@ def test_suffix_tree_base_and_probabilities(spark):
     want = sorted((str(r.doc_id), len(w := [*(r.text or "").encode().lower().split(), None]), sum(x in counts for x in w), round(sum(math.log10((counts.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)) for r in d.collect())
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in rows) == want
     assert {r.train_tokens for r in rows} == {n} and all(r.score < 0 for r in rows)
-    again = suffix_tree.score(d, broadcast_entries=0).collect()
+    again = suffix_tree.score(d.withColumn("score", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("text_hash", F.lit("x")), piece=20_000).collect()
     assert np.allclose(sorted(r.score for r in rows), sorted(r.score for r in again))
     assert suffix_tree.score(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("piece", [suffix_tree.PIECE, 40])
+def test_suffix_tree_scores_are_brute_force(spark, monkeypatch, piece):
+    """The tree in dictionaries, grown and read context by context; in one piece and in many, with early flushes."""
+    monkeypatch.setattr(suffix_tree, "HELD", 50)
+    monkeypatch.setattr(suffix_tree, "_SLICE", 400)
+    rng = np.random.default_rng(3)
+    nouns = ["cat", "dog", "bird", "tree", "été"]
+    rows = [(i, " ".join(f"The {nouns[int(rng.integers(0, 5))]} sat by a {nouns[int(rng.integers(0, 3))]}" for _ in range(int(rng.integers(1, 6))))) for i in range(60)] + [(100, None), (101, ""), (None, "The cat"), (3, "The owl"), (3, "The owl")]
+    depth, min_count, min_next, min_gain = 4, 6, 2, 2.0
+    got = suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth, min_count=min_count, min_next=min_next, min_gain=min_gain, piece=piece).collect()
+
+    def symbols(t):
+        return [suffix_tree.START] * depth + list(b" ".join((t or "").encode().lower().split())) + [suffix_tree.END]
+
+    n: dict = {}
+    for i, t in rows:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 10:
+            x = symbols(t)
+            for k in range(depth, len(x)):
+                for d in range(depth + 1):
+                    c = n.setdefault(tuple(x[k - d : k]), {})
+                    c[x[k]] = c.get(x[k], 0) + 1
+    kept: dict = {}
+
+    def value(ctx, sym):
+        if ctx and (len(ctx) and kept.get(ctx) is None):
+            return value(ctx[1:], sym)
+        entries, rest = kept[ctx]
+        return entries[sym] if sym in entries else rest * (value(ctx[1:], sym) if ctx else 1 / 256)
+
+    for ctx in sorted(n, key=len):
+        c, total = n[ctx], sum(n[ctx].values())
+        if ctx and total < min_count:
+            continue
+        q = {s: value(ctx[1:], s) if ctx else 1 / 256 for s in c}
+        p = {s: (c[s] + len(c) * q[s]) / (total + len(c)) for s in c}
+        if ctx and sum(c[s] * math.log(p[s] / q[s]) for s in c) < min_gain:
+            continue
+        own = {s for s in c if c[s] >= min_next or not ctx}
+        out = sum(q[s] for s in own)
+        kept[ctx] = {s: p[s] for s in own}, (1 - sum(p[s] for s in own)) / (1 - out) if out < 1 - 1e-12 else 0.0
+    assert sum(len(k) > 2 for k in kept) > 10
+
+    def score(t):
+        x = symbols(t)
+        return sum(math.log10(value(tuple(x[k - depth : k]), x[k])) for k in range(depth, len(x)))
+
+    want = sorted((str(i), round(score(t), 6)) for i, t in rows)
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == want
+
+
 def test_suffix_tree_distributions_sum_to_one(spark):
     d = spark.createDataFrame([("the cat sat on the mat " * 20,), ("a dog ran at the cat " * 20,)], "text string")
     tree = suffix_tree._collected(suffix_tree.grown(suffix_tree.window_counts(d), min_count=4, min_next=2, min_gain=1.0), suffix_tree.DEPTH)
-    for context in (b"\xfe\xfe\xfe\xfe\xfe", b" the ", b"zzzzz", b"e cat"):
+    for context in (b"\xfe\xfe\xfe\xfe\xfe\xfe", b"n the ", b"zzzzzz", b"he cat"):
         c = int.from_bytes(context, "big")
         assert abs((10 ** tree.log10(np.array([c << 8 | s for s in range(256)]))).sum() - 1) < 1e-9
     assert any(len(level[2]) for level in tree.levels[3:])
