@@ -3,8 +3,9 @@
 Gaussian projections, cut into steps, give every vector a bucket in each of several tables. A query visits, in every
 table, the buckets around its own in the order of the estimated probability that a neighbour at the
 fitted distance lies there, until that adds up to its share of the wanted recall. Rows and probes meet by
-(table, part of the buckets) in blocks of bounded size: large parts are split by rows and by queries. Each block
-returns at most k candidates a query with exact distances; the candidates of all tables are merged.
+(table, part of the buckets) in blocks of bounded size. A part is what agrees in a table's first few projections, so a
+query's buckets, which lie around its own, are in few parts; the more rows, the more projections, in all and for parts. Large parts are
+split by rows and by queries. Each block returns at most k candidates a query with exact distances; the candidates of all tables are merged.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql import functions as F
 from cladeframe.llm import tokens
 from cladeframe.llm.common import checkpointed
 
-#: Tables, projections of a table, the step as a multiple of the fitted distance, and the recall that probes are counted for.
+#: Tables, projections of a table at least (half as many as the number of rows has bits, if that is more), the step as a multiple of the fitted distance, and the recall that probes are counted for.
 TABLES, PROJECTIONS, STEP, RECALL, SEED = 8, 8, 1.43, 0.95, 11
 #: The distance is fitted to the k-th neighbours, among all rows, of this many vectors (those of the least md5 of their ids).
 FIT_QUERIES, FIT_QUANTILE = 64, 0.9
-#: Rows and queries that one block holds on average and at most.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
+#: Rows and queries that one block holds at most, about; queries of a task that works out probes.
+BLOCK_ROWS, BLOCK_QUERIES, PROBE_TASK = 8192, 2048, 64
 _BEAM, _REACH = 2048, 2
 
 
@@ -74,10 +75,11 @@ def fitted_distance(rows: DataFrame, k: int) -> float:
 
 
 class Hashes:
-    """The tables' projections, and the order in which a query probes."""
+    """The tables' projections, and the order in which a query probes. Buckets that agree in the first ``shared`` projections are one part."""
 
-    def __init__(self, dim: int, distance: float, tables: int = TABLES, projections: int = PROJECTIONS, recall: float = RECALL, seed: int = SEED):
+    def __init__(self, dim: int, distance: float, tables: int = TABLES, projections: int = PROJECTIONS, recall: float = RECALL, seed: int = SEED, shared: int = 0):
         rng = np.random.default_rng(seed)
+        self.shared = min(shared, projections)
         self.distance, self.step = distance, STEP * distance
         self.a = rng.normal(size=(tables, dim, projections))
         self.b = rng.uniform(0, self.step, size=(tables, projections))
@@ -93,8 +95,11 @@ class Hashes:
     def keys(self, cells: np.ndarray) -> np.ndarray:
         return tokens.mixed((cells.astype(np.uint64) * self.salt).sum(axis=-1, dtype=np.uint64)).view(np.int64)
 
+    def parts(self, cells: np.ndarray) -> np.ndarray:
+        return self.keys(np.where(np.arange(cells.shape[-1]) < self.shared, cells, 0))
+
     def probes(self, cell: np.ndarray, place: np.ndarray, beam: int = _BEAM) -> np.ndarray:
-        """Keys of the buckets to visit, the likeliest first. A projection of the difference to a neighbour at the
+        """Cells of the buckets to visit, the likeliest first. A projection of the difference to a neighbour at the
         fitted distance is Gaussian, so each cell's probability is known; those of a bucket multiply. The beam of
         partial buckets is widened until the visited ones reach the wanted probability."""
         moves = np.arange(-_REACH, _REACH + 1)
@@ -109,49 +114,64 @@ class Hashes:
         n = int(np.searchsorted(np.cumsum(score[order]), self.wanted)) + 1
         if n > len(order) and beam < len(moves) ** len(cell):
             return self.probes(cell, place, beam * 8)
-        return self.keys(cell + at[order[:n]])
+        return cell + at[order[:n]]
 
 
 def _erf(x: np.ndarray) -> np.ndarray:
     return np.vectorize(math.erf, otypes=[float])(x)
 
 
-def _hashed(rows: DataFrame, hashes: Hashes, parts: int) -> DataFrame:
+def _hashed(rows: DataFrame, hashes: Hashes) -> DataFrame:
+    """A row for each row and table: the part and bucket, and the vector's bytes in the column's own precision."""
+
     def run(batches):
         for batch in batches:
-            x = _matrix(batch.column("v"))
+            x, own = _matrix(batch.column("v")), _packed_vectors(batch.column("v"))
             for t in range(len(hashes.a)):
-                key = hashes.keys(hashes.cells(x, t)[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array((key % parts).astype(np.int32)), pa.array(key), batch.column("vec_id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["t", "part", "bucket", "vec_id", "x"])
+                cells = hashes.cells(x, t)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(hashes.parts(cells)), pa.array(hashes.keys(cells)), batch.column("vec_id"), own], names=["t", "part", "bucket", "vec_id", "x"])
+
+    return rows.mapInArrow(run, "t int, part long, bucket long, vec_id long, x binary")
+
 
-    return rows.mapInArrow(run, "t int, part int, bucket long, vec_id long, x binary")
+def _packed_vectors(column: pa.Array) -> pa.Array:
+    """Floats as 4 bytes a component, all else as doubles."""
+    x = _matrix(column)
+    kind = np.float32 if pa.types.is_float32(column.type.value_type) else np.float64
+    return pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
 
 
-def _probed(queries: DataFrame, hashes: Hashes, parts: int) -> DataFrame:
-    """A row for each query, table and part: the keys to visit there."""
+def _unpacked(packed: pd.Series, dim: int) -> np.ndarray:
+    """Vectors as doubles; what is not 8 bytes a component is floats."""
+    raw = b"".join(packed)
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * dim * len(packed) else np.float64).reshape(len(packed), dim).astype(np.float64)
+
+
+def _probed(queries: DataFrame, hashes: Hashes) -> DataFrame:
+    """A row for each query, table and part that it comes to: the keys to visit there."""
 
     def run(batches):
         for batch in batches:
-            x, out = _matrix(batch.column("v")), []
+            x, own, out = _matrix(batch.column("v")), _packed_vectors(batch.column("v")).to_pylist(), []
             for t in range(len(hashes.a)):
                 cells, places = hashes.cells(x, t)
                 for i, q in enumerate(batch.column("vec_id").to_pylist()):
-                    keys = hashes.probes(cells[i], places[i])
-                    part = keys % parts
+                    visited = hashes.probes(cells[i], places[i])
+                    keys, part = hashes.keys(visited), hashes.parts(visited)
                     order = np.argsort(part, kind="stable")
-                    ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
+                    ends = np.flatnonzero(np.append(np.diff(part[order]) != 0, True)) + 1
                     for a, b in zip([0, *ends[:-1]], ends):
-                        out.append((t, int(part[order[a]]), q, x[i].tobytes(), np.sort(keys[order[a:b]]).tobytes()))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                        out.append((t, int(part[order[a]]), q, own[i], np.sort(keys[order[a:b]]).tobytes()))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["t", "part", "query_id", "q", "probes"])
 
-    return queries.mapInArrow(run, "t int, part int, query_id long, q binary, probes binary")
+    return queries.mapInArrow(run, "t int, part long, query_id long, q binary, probes binary")
 
 
-def _blocks(data: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def _blocks(data: DataFrame, asked: DataFrame, k: int, dim: int) -> DataFrame:
     """query_id, vec_id, score: the k nearest of every block for every query in it. Blocks are parts, split evenly by
     hash where they hold too many rows or queries; the counts that say so are joined, not broadcast by force."""
-    n_rows = data.groupBy("t", "part").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK_ROWS)).cast("int").alias("row_splits"))
+    n_rows = data.groupBy("t", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("row_splits"))
     n_asked = asked.groupBy("t", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("query_splits"))
     splits = checkpointed(n_rows.join(n_asked, ["t", "part"]))
     pick = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
@@ -161,9 +181,9 @@ def _blocks(data: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     def search(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(queries):
-            ids, x = rows["vec_id"].to_numpy(), np.frombuffer(b"".join(rows["x"]), np.float64).reshape(len(rows), -1)
+            ids, x = rows["vec_id"].to_numpy(), _unpacked(rows["x"], dim)
             buckets, bucket = np.unique(rows["bucket"].to_numpy(), return_inverse=True)
-            asked, y = queries["query_id"].to_numpy(), np.frombuffer(b"".join(queries["q"]), np.float64).reshape(len(queries), -1)
+            asked, y = queries["query_id"].to_numpy(), _unpacked(queries["q"], dim)
             square = np.einsum("ij,ij->i", x, x)
             for first in range(0, len(asked), 64):  # the matrix product only tells which rows may be near; distances are taken exactly
                 rough = square - 2 * (y[first : first + 64] @ x.T)
@@ -206,31 +226,35 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     first = rows.first()
     if first is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = asked.where(F.size("v") == len(first.v))
-    parts = max(1, math.ceil(n / BLOCK_ROWS))
-    hashes = Hashes(len(first.v), fitted_distance(rows, k), recall=recall)
-    data = _hashed(rows, hashes, parts)
-    found = _ranked(_blocks(data, _probed(asked, hashes, parts), k), k)
+    dim = len(first.v)
+    asked = asked.where(F.size("v") == dim)
+    asked = asked.repartition(max(1, min(10_000, math.ceil(asked.count() / PROBE_TASK))), "vec_id")
+    # A projection has about three cells that many rows lie in: so many of them tell parts of BLOCK_ROWS rows apart.
+    shared = math.ceil(math.log(max(1.0, n / BLOCK_ROWS), 3))
+    hashes = Hashes(dim, fitted_distance(rows, k), projections=max(PROJECTIONS, round(math.log2(n) / 2)), recall=recall, shared=shared)
+    found = _ranked(_blocks(_hashed(rows, hashes), _probed(asked, hashes), k, dim), k)
     found = checkpointed(found)
     least = min(k, n - 1)
     counted = asked.join(found.groupBy("query_id").count(), F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("count", F.lit(0)) < least).select("vec_id", "v")
     short = checkpointed(counted)
     if short.isEmpty():
         return found
-    one = data.where("t = 0")
-    exact = short.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("vec_id").alias("query_id"), "v")
-    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(_ranked(_blocks(one, _packed(exact), k), k))
+    # Blocks of all rows for the few that are short: parts by hash alone, and every bucket visited.
+    parts = max(1, math.ceil(n / BLOCK_ROWS))
+    one = Hashes(dim, 1.0, tables=1)
+    every_row = _hashed(rows, one).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
+    exact = short.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.col("vec_id").alias("query_id"), "v")
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(_ranked(_blocks(every_row, _asked_everywhere(exact), k, dim), k))
 
 
-def _packed(asked: DataFrame) -> DataFrame:
+def _asked_everywhere(asked: DataFrame) -> DataFrame:
     """Queries that visit every bucket."""
 
     def run(batches):
         for batch in batches:
-            x = _matrix(batch.column("v"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("t", "part", "query_id")), pa.array([r.tobytes() for r in x], pa.binary()), pa.nulls(len(x), pa.binary())], names=["t", "part", "query_id", "q", "probes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("t", "part", "query_id")), _packed_vectors(batch.column("v")), pa.nulls(batch.num_rows, pa.binary())], names=["t", "part", "query_id", "q", "probes"])
 
-    return asked.mapInArrow(run, "t int, part int, query_id long, q binary, probes binary")
+    return asked.mapInArrow(run, "t int, part long, query_id long, q binary, probes binary")
 
 
 def _ranked(candidates: DataFrame, k: int) -> DataFrame:

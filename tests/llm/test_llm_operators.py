@@ -409,6 +409,26 @@ def test_neighbours(spark):
     assert neighbours.nearest(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_neighbours_in_many_parts(spark, monkeypatch):
+    """The table's own vectors (floats), in blocks so small that parts are told apart by projections and split by rows: recall against brute force."""
+    for name, n in (("BLOCK_ROWS", 32), ("BLOCK_QUERIES", 4), ("PROBE_TASK", 4)):
+        monkeypatch.setattr(neighbours, name, n)
+    d = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    ids, x = zip(*((r.vec_id, r.embedding) for r in d.collect()))
+    ids, x = np.array(ids), np.array(x, np.float64)
+    got = neighbours.nearest(d, d.where("vec_id % 20 = 0")).collect()
+    hits = 0
+    for q in ids[ids % 20 == 0]:
+        dist = np.sqrt(((x - x[ids == q]) ** 2).sum(axis=1))
+        best = [i for i in ids[np.lexsort((ids, dist))] if i != q][:10]
+        found = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert len(found) == 10 and all(abs(dist[ids == v][0] - s) < 1e-12 for _, v, s in found)
+        hits += len({v for _, v, _ in found} & set(best))
+    assert hits / (10 * (ids % 20 == 0).sum()) >= 0.9
+    apart = spark.createDataFrame([(i, [float(10 ** (i % 300)), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    assert neighbours.nearest(apart, apart).count() == 600
+
+
 @pytest.mark.parametrize("shards", [1, 3, 24])
 def test_sharding(spark, shards):
     many = docs(spark).unionByName(spark.range(3000).selectExpr("id + 100 AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same text again and again' ELSE repeat('y', cast(id % 90 as int)) END AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")).withColumn("slot", F.lit("clash"))
