@@ -34,8 +34,8 @@ def n_words(text: Column) -> Column:
 def checkpointed(df: DataFrame, rows_each: int | None = None) -> DataFrame:
     """``df`` written to the reliable checkpoint folder and read from it from now on.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a temporary folder is made. With ``rows_each``, partitions are put together
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only in local mode (tests on one machine), where that is
+    unset, a temporary folder is made. With ``rows_each``, partitions are put together
     (not shuffled) until they hold about so many rows: a small table in hundreds of partitions costs hundreds of
     near-empty files in every shuffle that follows.
     """
@@ -48,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
