@@ -66,7 +66,7 @@ def mix(docs: DataFrame, cut: str = "words", seed: str = "mix", id_col: str = "d
     base = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("size", n_words(text)).withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.coalesce(text, F.lit("")))))))
     base = base.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     # Sums by source and key range: summed before the shuffle, at most 4096 rows a source and task.
-    sums = base.groupBy(source.alias("source"), "range").agg(F.sum("size").alias("n"))
+    sums = checkpointed(base.groupBy(source.alias("source"), "range").agg(F.sum("size").alias("n")))
     wanted = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), share, most, weights)
     wanted = wanted.withColumn("whole", F.floor(F.col("target"))).withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("whole") / F.col("source_size"))).otherwise(F.lit(0))).withColumn("rest", F.col("whole") - F.col("times") * F.col("source_size"))
     before = sums.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # 4096 rows a source
