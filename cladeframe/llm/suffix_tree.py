@@ -28,11 +28,11 @@ from cladeframe.llm import tokens
 from cladeframe.llm.common import checkpointed
 
 #: Longest context in symbols; least count of a context and of a next symbol in it; least gain, in nats, over the parent.
-DEPTH, MIN_COUNT, MIN_NEXT, MIN_GAIN = 6, 16, 2, 8.0
+DEPTH, MIN_COUNT, MIN_NEXT, MIN_GAIN = 5, 8, 2, 4.0
 #: Symbols that UTF-8 doesn't use: what stands before a text, and its end.
 START, END, SYMBOLS = 0xFE, 0xFF, 256
 #: Entries of a piece of the tree (17 bytes each); the share of all tokens from which on a word is sent to the tasks; distinct keys that a task holds.
-PIECE, FREQUENT, HELD = 4_000_000, 1e-6, 4 << 20
+PIECE, FREQUENT, HELD = 4_000_000, 1e-6, 1 << 20
 _SLICE = 6 << 20
 
 
@@ -75,7 +75,7 @@ def window_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
         for batch in batches:
             for part in tokens.slices(batch, "text", _SLICE):
                 held.append(np.unique(windows(part.column("text"), depth)[0], return_counts=True))
-                if len(held) > 8:
+                if len(held) > 4:
                     held = [_summed(held)]
                     if len(held[0][0]) > HELD:  # what is sent on early is summed after the shuffle
                         yield from emitted(*held.pop())

@@ -185,7 +185,7 @@ def test_suffix_tree_scores_are_brute_force(spark, monkeypatch, piece):
 def test_suffix_tree_distributions_sum_to_one(spark):
     d = spark.createDataFrame([("the cat sat on the mat " * 20,), ("a dog ran at the cat " * 20,)], "text string")
     tree = suffix_tree._collected(suffix_tree.grown(suffix_tree.window_counts(d), min_count=4, min_next=2, min_gain=1.0), suffix_tree.DEPTH)
-    for context in (b"\xfe\xfe\xfe\xfe\xfe\xfe", b"n the ", b"zzzzzz", b"he cat"):
+    for context in (b"\xfe" * suffix_tree.DEPTH, b" the ", b"zzzzz", b"e cat"):
         c = int.from_bytes(context, "big")
         assert abs((10 ** tree.log10(np.array([c << 8 | s for s in range(256)]))).sum() - 1) < 1e-9
     assert any(len(level[2]) for level in tree.levels[3:])
