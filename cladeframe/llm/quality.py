@@ -75,14 +75,22 @@ def binned(x: np.ndarray) -> np.ndarray:
     return np.minimum(BINS - 1, np.ceil(np.sqrt(np.clip(x, 0, 1)) * (BINS - 1))).astype(np.int64)
 
 
-def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct buckets of each text's words and adjacent word pairs, one text after the other, and the text that each belongs to."""
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words and adjacent word pairs, and the text that each belongs to."""
     h, at = tokens.word_hashes(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(at))
     inner = owner[1:] == owner[:-1]
     pairs = tokens.mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[inner]
-    key = np.concatenate([h, pairs]) % np.uint64(BUCKETS)
-    both = np.unique(np.concatenate([owner, owner[1:][inner]]).astype(np.int64) * BUCKETS + key.astype(np.int64))
+    return (np.concatenate([h, pairs]) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([owner, owner[1:][inner]]).astype(np.int64)
+
+
+def buckets(texts: pa.Array, telling: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets (of those ``telling``, if given) of each text, one text after the other, and the text that each belongs to."""
+    key, owner = _hashed(texts)
+    if telling is not None:
+        here = telling[key]
+        key, owner = key[here], owner[here]
+    both = np.unique(owner * BUCKETS + key)
     return both % BUCKETS, both // BUCKETS
 
 
@@ -99,10 +107,10 @@ class Classifier:
         bins = binned(features(texts))
         shape = sum(self.ratios[k][bins[:, k]] for k in range(len(FEATURES)))
         if self.words.any():
-            bucket, owner = buckets(texts)
+            bucket, owner = buckets(texts, self.words != 0)
             ratio = self.words[bucket].astype(float)
             total = np.bincount(owner, ratio, len(texts))
-            shape = shape + total * WEIGHT / np.maximum(WEIGHT, np.bincount(owner, ratio != 0, len(texts)))
+            shape = shape + total * WEIGHT / np.maximum(WEIGHT, np.bincount(owner, minlength=len(texts)))
         return np.clip(shape, -MOST_EVIDENCE, MOST_EVIDENCE)
 
 
@@ -191,7 +199,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     empty and very short texts are judged as any other, very long ones as a whole. Without labels everything has quality 1 and is kept. Repeated rows stay and
     count as often. An empty table gives an empty table. Columns of the five names are replaced, all others are kept, whatever they are called.
 
-    Each text is read once: what is kept of the rows is checkpointed with the evidence, priors are summed from that and joined to it.
+    Where the text isn't kept, it is read once: the rest is checkpointed with the evidence, priors are summed from that and joined to it. Where it is kept,
+    a checkpoint would be as large as the table, and evidence is worked out twice instead.
     """
     model = fit(docs, labels, max_labelled, id_col, text_col)
     share = float(np.clip(model.share, 1e-6, 1 - 1e-6))
@@ -202,12 +211,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     stay = [f"c{i}" for i, c in enumerate(names) if c not in made and (keep is None or c in keep)]
     logistic = lambda x: 1 / (1 + F.exp(-x))
     rows = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumns({"host": F.col(own[host_col]), "path": F.col(own[path_col])})
-    rows = checkpointed(with_evidence(rows, model, own[text_col], "evidence", [*stay, "host", "path"]))
-    priors = path_priors(rows.select("host", "path", logistic(F.col("evidence") + odds).alias("p")), model.share)
+    judged = lambda kept: with_evidence(rows, model, own[text_col], "evidence", [*kept, "host", "path"])
+    thin = judged([]) if own[text_col] in stay else checkpointed(judged(stay))
+    priors = path_priors(thin.select("host", "path", logistic(F.col("evidence") + odds).alias("p")), model.share)
     priors = checkpointed(priors.select(F.col("host").alias("h"), F.col("path").alias("p"), "n", "s", "host_prior", F.col("path_strength").alias("k")))
     if priors.count() <= BROADCAST_PATHS:
         priors = F.broadcast(priors)
-    x = rows.join(priors, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
+    x = (judged(stay) if own[text_col] in stay else thin).join(priors, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
     mine = logistic(F.col("evidence") + odds)
     prior = (F.col("s") - mine + F.col("k") * F.col("host_prior")) / (F.col("n") - 1 + F.col("k"))
     x = x.withColumn("path_prior", F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), prior)))
