@@ -62,7 +62,7 @@ def parsimony(sites: DataFrame, tree: Tree, default: str | None = None) -> DataF
 
 
 def joint(sites: DataFrame, tree: Tree, model: Model, rate: float = 1.0) -> DataFrame:
-    """site, node, state, log_likelihood: the jointly most probable states of the inner nodes, by max-product; ties to the earlier
+    """site, node, state, log_likelihood: the jointly most probable states of the inner nodes, by max-product; ties (to nine digits) to the earlier
     state of the alphabet. States outside the alphabet count as unknown."""
     kids, index = tree.children, {lab: i for i, lab in enumerate(tree.labels)}
     steps = {d: np.log(np.maximum(model.transition(d * rate), 1e-300)) for d in set(tree.dists)}
@@ -77,11 +77,11 @@ def joint(sites: DataFrame, tree: Tree, model: Model, rate: float = 1.0) -> Data
                 up[index[a], code[s]] = 0
         for i in reversed(range(1, n)):  # parents come first, so a node's children are done
             both = steps[tree.dists[i]] + up[i][None, :]
-            choice[i] = both.argmax(axis=1)
+            choice[i] = both.round(9).argmax(axis=1)
             up[tree.parents[i]] += both.max(axis=1)
         total = start + up[0]
         state = np.zeros(n, int)
-        state[0] = total.argmax()
+        state[0] = total.round(9).argmax()
         for i in range(1, n):
             state[i] = choice[i][state[tree.parents[i]]]
         key = site["site"].iloc[0]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.operators import annotation, graphs, learning, pair_hmm, reconstruction
-from cladeframe.plans import models
+from cladeframe.plans import models, tree_sql
 from cladeframe.plans.tree_queries import _user_tree
 
 HOURS = 24
@@ -127,7 +127,15 @@ QUERIES = {f.__name__: f for f in (sequence_graph, column_distribution, alignmen
 
 _JUMPS = f"{_ALIGNMENT}, o AS (SELECT leaf, pos, lag(pos) OVER w AS prev, coalesce(lead(pos) OVER w, {HOURS}) AS nxt FROM al WHERE sym IS NOT NULL WINDOW w AS (PARTITION BY leaf ORDER BY pos)), j AS (SELECT leaf, pos AS from_pos, nxt::BIGINT AS to_pos FROM o UNION ALL SELECT leaf, -1, pos FROM o WHERE prev IS NULL)"
 
+_SITES = "SELECT from_pos * 2 + 2 AS site, leaf AS node, to_pos::VARCHAR AS s FROM j UNION ALL SELECT to_pos * 2 + 3, leaf, from_pos::VARCHAR FROM j"
+_GAPS = f"{_ALIGNMENT}, gaps AS (SELECT leaf, min(pos) AS lo, max(pos) AS hi FROM (SELECT leaf, pos, pos - row_number() OVER (PARTITION BY leaf ORDER BY pos) AS run FROM al WHERE sym IS NULL) GROUP BY leaf, run), inside AS (SELECT i.leaf AS node, c.lo * {HOURS + 1} + c.hi AS site, c.lo = i.lo AND c.hi = i.hi AS same FROM (SELECT DISTINCT lo, hi FROM gaps) c JOIN gaps i ON i.lo <= c.lo AND c.hi <= i.hi)"
+
 ORACLE_SQL = {
+    "presence_parsimony": f"WITH {_ALIGNMENT}, {tree_sql.parsimony('SELECT pos AS site, leaf AS node, (sym IS NOT NULL)::INT::VARCHAR AS s FROM al')} SELECT best.site, node, s AS state, score FROM best JOIN score ON best.site = score.site",
+    "edge_parsimony": f"""WITH {_JUMPS}, {tree_sql.parsimony(_SITES)},
+e AS (SELECT node, CASE WHEN site % 2 = 0 THEN site // 2 - 1 ELSE s::BIGINT END AS from_pos, CASE WHEN site % 2 = 0 THEN s::BIGINT ELSE (site - 3) // 2 END AS to_pos, site % 2 = 0 AS f FROM best WHERE node IN {tree_sql.INNER})
+SELECT node, from_pos, to_pos, bool_or(f) AND bool_or(NOT f) AS recip FROM e GROUP BY ALL""",
+    "indel_coding_parsimony": f"WITH {_GAPS}, {tree_sql.parsimony("SELECT site, node, '1' AS s FROM inside WHERE same", 'SELECT site, node FROM inside WHERE NOT same', '0')} SELECT (best.site // {HOURS + 1})::BIGINT AS lo, best.site % {HOURS + 1} AS hi, node, s AS state, score FROM best JOIN score ON best.site = score.site",
     "graph_contiguous": f"WITH {_JUMPS} SELECT DISTINCT leaf AS graph FROM j WHERE to_pos = {HOURS}",
     "sequence_graph": """
 WITH s AS (SELECT (user_id % 2)::VARCHAR AS graph, event_type AS a, lead(event_type) OVER w AS b, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

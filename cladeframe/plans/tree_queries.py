@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.operators import reconstruction, trees
-from cladeframe.plans import models
+from cladeframe.plans import models, tree_sql
 from cladeframe.plans.tree import Tree
 
 #: Node numbers of the levels: 0 the root, then regions, nations and customers from these.
@@ -86,16 +86,22 @@ def _event_model(spark, sf_dir):
 
 
 def joint_states(spark, sf_dir):
-    return reconstruction.joint(_group_states(spark, sf_dir), _user_tree(), _event_model(spark, sf_dir))
+    return reconstruction.joint(_group_states(spark, sf_dir), _user_tree(), _event_model(spark, sf_dir)).withColumn("log_likelihood", F.round("log_likelihood", 6))
 
 
 def marginal_root(spark, sf_dir):
-    return reconstruction.marginal(_group_states(spark, sf_dir), _user_tree(), _event_model(spark, sf_dir), "root")
+    return reconstruction.marginal(_group_states(spark, sf_dir), _user_tree(), _event_model(spark, sf_dir), "root").withColumns({c: F.round(c, 6) for c in ("p", "log_likelihood")})
 
 
 QUERIES = {f.__name__: f for f in (tree_depths, tree_leaf_counts, tree_subtree, tree_pruned, tree_relabelled, tree_leaf_distances, parsimony_states, joint_states, marginal_root)}
 
+_KNOWN = "SELECT site, node, s FROM (SELECT date_diff('day', DATE '1970-01-01', ts::DATE)::BIGINT AS site, 'g' || (user_id % 8) AS node, event_type AS s, row_number() OVER (PARTITION BY site, node ORDER BY count(*) DESC, event_type) AS i FROM events GROUP BY 1, 2, 3) WHERE i = 1"
+_LETTERS = "SELECT DISTINCT event_type AS s FROM events"
+
 ORACLE_SQL = {
+    "parsimony_states": f"WITH {tree_sql.parsimony(_KNOWN)} SELECT best.site, node, s AS state, score FROM best JOIN score ON best.site = score.site",
+    "joint_states": f"WITH {tree_sql.joint(_KNOWN, _LETTERS, 0.3)} SELECT best.site, node, s AS state, round(lp, 6) AS log_likelihood FROM best JOIN top ON best.site = top.site",
+    "marginal_root": f"WITH {tree_sql.root_posterior(_KNOWN, _LETTERS, 0.3)} SELECT site, s AS state, round(p, 6) AS p, round(lp, 6) AS log_likelihood FROM post",
     "tree_depths": f"{_UP} SELECT node, max(steps)::INT AS depth, round(max(d), 6) AS root_dist FROM up GROUP BY node",
     "tree_leaf_counts": f"{_UP} SELECT anc AS node, count(*) AS n_leaves FROM up WHERE node NOT IN (SELECT parent FROM world WHERE parent IS NOT NULL) GROUP BY anc",
     "tree_subtree": f"{_UP}, top AS (SELECT node FROM world WHERE node BETWEEN {REGION} AND {NATION - 1} AND label LIKE 'A%') SELECT DISTINCT w.node, CASE WHEN w.node IN (SELECT node FROM top) THEN NULL ELSE w.parent END AS parent, w.label FROM world w JOIN up ON w.node = up.node WHERE up.anc IN (SELECT node FROM top)",
