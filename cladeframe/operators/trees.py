@@ -58,7 +58,7 @@ def leaf_counts(tree: DataFrame) -> DataFrame:
     n = leaves(tree).select("tree", "node", F.lit(1).cast("long").alias("n_leaves"))
     for s in lifted(tree)[:-1]:
         up = n.join(s.where("up IS NOT NULL"), ["tree", "node"]).select("tree", F.col("up").alias("node"), "n_leaves")
-        n = n.unionByName(up).groupBy("tree", "node").agg(F.sum("n_leaves").alias("n_leaves"))
+        n = checkpointed(n.unionByName(up).groupBy("tree", "node").agg(F.sum("n_leaves").alias("n_leaves")))
     return n
 
 
@@ -67,7 +67,7 @@ def subtree(tree: DataFrame, root: DataFrame) -> DataFrame:
     mark = root.select("tree", "node").distinct()
     for s in lifted(tree)[:-1]:  # whose ancestor of 2^k steps is marked is marked, nearer ancestors first
         below = s.join(mark.withColumnRenamed("node", "up"), ["tree", "up"], "left_semi").select("tree", "node")
-        mark = mark.unionByName(below).distinct()
+        mark = checkpointed(mark.unionByName(below).distinct())
     top = root.select("tree", "node").distinct().withColumn("__top", F.lit(True))
     x = tree.join(mark, ["tree", "node"], "left_semi").join(top, ["tree", "node"], "left")
     return x.withColumn("parent", F.when(F.col("__top").isNull(), F.col("parent"))).drop("__top")
@@ -76,9 +76,10 @@ def subtree(tree: DataFrame, root: DataFrame) -> DataFrame:
 def pruned(tree: DataFrame, gone: DataFrame) -> DataFrame:
     """The tree without the nodes of ``gone`` (tree, node) and without inner nodes that have no kept leaf below; orphans are roots."""
     kept = tree.join(gone.select("tree", "node"), ["tree", "node"], "left_anti")
-    alive = kept.join(leaves(tree).select("tree", "node"), ["tree", "node"], "left_semi").select("tree", "node")
+    alive = checkpointed(kept.join(leaves(tree).select("tree", "node"), ["tree", "node"], "left_semi").select("tree", "node"))
     for s in lifted(kept)[:-1]:
-        alive = alive.unionByName(s.where("up IS NOT NULL").join(alive, ["tree", "node"], "left_semi").select("tree", F.col("up").alias("node"))).distinct()
+        up = s.where("up IS NOT NULL").join(alive, ["tree", "node"], "left_semi").select("tree", F.col("up").alias("node"))
+        alive = checkpointed(alive.unionByName(up).distinct())
     x = kept.join(alive, ["tree", "node"], "left_semi")
     have = x.select("tree", F.col("node").alias("parent"), F.lit(True).alias("__has"))
     return x.join(have, ["tree", "parent"], "left").withColumn("parent", F.when(F.col("__has"), F.col("parent"))).drop("__has")
