@@ -37,6 +37,16 @@ def jumps(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("to_pos") - F.col("from_pos") > 1)
 
 
+def edge_rates(jumps: DataFrame, lengths: DataFrame) -> DataFrame:
+    """graph, from_pos, to_pos, rate: (1 + the lengths of the sequences that have the edge) / (edges from that node + the lengths of all sequences of the
+    graph). ``jumps``: graph, leaf, from_pos, to_pos; ``lengths``: graph, leaf, n. Sequences without a length count as 0."""
+    total = lengths.groupBy("graph").agg(F.sum("n").alias("__t"))
+    e = jumps.select("graph", "leaf", "from_pos", "to_pos").distinct().join(lengths.select("graph", "leaf", F.col("n").alias("__n")), ["graph", "leaf"], "left")
+    e = e.groupBy("graph", "from_pos", "to_pos").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__n")).join(total, "graph", "left")
+    targets = F.count(F.lit(1)).over(W.partitionBy("graph", "from_pos"))
+    return e.select("graph", "from_pos", "to_pos", ((1 + F.col("__n")) / (targets + F.coalesce("__t", F.lit(0)))).alias("rate"))
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     """Edges of either graph, with the sum of their support."""
     return a.unionByName(b).groupBy("graph", "from_pos", "to_pos").agg(F.sum("n").alias("n"))

@@ -96,6 +96,19 @@ def leaf_distances(tree: DataFrame) -> DataFrame:
     return lifted(tree)[-1].join(leaves(tree).select("tree", "node"), ["tree", "node"], "left_semi").select("tree", "node", F.col("dist").alias("d"))
 
 
+def leaf_paths(tree: DataFrame) -> DataFrame:
+    """tree, node (a leaf), anc, dist: the length of every branch on each leaf's way to its root, its own included: a leaf-by-branch matrix as rows."""
+    branch = tree.select("tree", F.col("node").alias("anc"), "dist")
+    return closure(tree).join(leaves(tree).select("tree", "node"), ["tree", "node"], "left_semi").select("tree", "node", "anc").join(branch, ["tree", "anc"]).select("tree", "node", "anc", "dist")
+
+
+def with_leaf_paths(tree: DataFrame, paths: DataFrame) -> DataFrame:
+    """The tree with the branch lengths of ``paths`` (as :func:`leaf_paths` gives them). Branches that no path has keep theirs; of several lengths the
+    largest is taken."""
+    told = paths.groupBy("tree", F.col("anc").alias("node")).agg(F.max("dist").alias("__d"))
+    return tree.join(told, ["tree", "node"], "left").withColumn("dist", F.coalesce("__d", "dist")).drop("__d")
+
+
 def rescaled(tree: DataFrame, target: float) -> DataFrame:
     """Distances multiplied so that the mean leaf-to-root distance is ``target``; null where that mean is 0."""
     m = leaf_distances(tree).groupBy("tree").agg(F.avg("d").alias("__m"))
