@@ -8,6 +8,8 @@ with the spans of its assistant texts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,15 +61,19 @@ def paths(nodes: DataFrame, tree: str = "conv_id", node: str = "node", parent: s
     inner = edges.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     leaves = edges.join(inner, edges["tree"].eqNullSafe(inner["t"]) & (edges["node"] == inner["n"]), "left_anti")
     edges, leaves = checkpointed(edges), checkpointed(leaves.select(F.col("tree").alias("lt"), F.col("node").alias("leaf")))
-    # Doubling: in round k a node knows its 2^k-th ancestor, if it has one, and the scores and steps up to there (or to the root).
-    rounds = [edges.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up", "score", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps"))]
+    # Doubling: in round k a node knows its 2^k-th ancestor, if it has one, and the scores and steps up to there. A node that has come to its root is done:
+    # later rounds join only those that haven't.
+    first = edges.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up", "score", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps"))
+    done, rounds = [first.where("up IS NULL")], [first.where("up IS NOT NULL")]
     longest = raw.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     step = 1
-    while step < longest and not rounds[-1].where("up IS NOT NULL").isEmpty():  # more steps than nodes: what still has an ancestor is on a cycle or leads to one
-        a, b = rounds[-1].alias("a"), rounds[-1].alias("b")
-        rounds.append(checkpointed(a.join(b, F.col("a.t").eqNullSafe(F.col("b.t")) & (F.col("a.up") == F.col("b.n")), "left").select("a.t", "a.n", "b.up", (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"), (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"))))
+    while step < longest and not rounds[-1].isEmpty():  # more steps than nodes: what still has an ancestor is on a cycle or leads to one
+        a, b = rounds[-1].alias("a"), reduce(DataFrame.unionByName, [*done, rounds[-1]]).alias("b")
+        further = checkpointed(a.join(b, F.col("a.t").eqNullSafe(F.col("b.t")) & (F.col("a.up") == F.col("b.n"))).select("a.t", "a.n", "b.up", (F.col("a.score") + F.col("b.score")).alias("score"), (F.col("a.steps") + F.col("b.steps")).alias("steps")))
+        done.append(further.where("up IS NULL"))
+        rounds.append(further.where("up IS NOT NULL"))
         step *= 2
-    end = rounds[-1].where("up IS NULL")
+    end = reduce(DataFrame.unionByName, done)
     ranked = leaves.join(end, F.col("lt").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("n"))).select(F.col("lt").alias("tree"), "leaf", F.col("score").alias("path_score"), F.col("steps").alias("length"))
     ranked = ranked.withColumn("path_rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")))
     if top is not None:
@@ -75,7 +81,7 @@ def paths(nodes: DataFrame, tree: str = "conv_id", node: str = "node", parent: s
     # Only chosen paths are spelt out: each round doubles the known part of them.
     found = checkpointed(ranked.select("tree", "leaf", F.col("leaf").alias("node"), F.col("length").alias("depth"), "path_score", "path_rank"))
     for k, s in enumerate(rounds[:-1]):
-        jump = s.where("up IS NOT NULL").select("t", "n", "up")
+        jump = s.select("t", "n", "up")
         more = found.join(jump, found["tree"].eqNullSafe(jump["t"]) & (found["node"] == jump["n"])).select("tree", "leaf", F.col("up").alias("node"), (F.col("depth") - 2**k).alias("depth"), "path_score", "path_rank")
         found = checkpointed(found.unionByName(more))
     return found
