@@ -96,6 +96,43 @@ def best_paths(edges: DataFrame, width: int) -> DataFrame:
     return edges.select("graph", "from_pos", "to_pos", "recip", "weight").groupBy("graph").applyInPandas(run, "graph string, step int, pos long, cost double")
 
 
+def searched(edges: DataFrame, width: int) -> DataFrame:
+    """graph, from_pos, to_pos, cost, before, after, steps_before, steps_after: each edge with its cost (as for :func:`best_paths`), the cheapest way from -1 to
+    where it begins and from where it ends to ``width``, and the fewest edges of such ways; infinite, and null, where there is none. One sweep each way over a
+    graph, which is at most the alignment's positions wide."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = g["from_pos"].to_numpy(), g["to_pos"].to_numpy()
+        cost = np.where(g["recip"], g["weight"], 1000 * g["weight"])
+        ways = []
+        for start, tails, heads, order in ((-1, a, b, np.lexsort((a, b))), (width, b, a, np.lexsort((-b, -a)))):
+            far, steps = {start: 0.0}, {start: 0}
+            for e in order:
+                if tails[e] in far:
+                    far[heads[e]] = min(far.get(heads[e], np.inf), far[tails[e]] + cost[e])
+                    steps[heads[e]] = min(steps.get(heads[e], np.inf), steps[tails[e]] + 1)
+            ways.append(([far.get(x, np.inf) for x in tails], pd.array([steps.get(x) for x in tails], "Int64")))
+        return pd.DataFrame({"graph": g["graph"], "from_pos": a, "to_pos": b, "cost": cost, "before": ways[0][0], "after": ways[1][0], "steps_before": ways[0][1], "steps_after": ways[1][1]})
+
+    schema = "graph string, from_pos long, to_pos long, cost double, before double, after double, steps_before long, steps_after long"
+    return edges.select("graph", F.col("from_pos").cast("long"), F.col("to_pos").cast("long"), "recip", F.col("weight").cast("double").alias("weight")).distinct().groupBy("graph").applyInPandas(run, schema)
+
+
+def optimal_edges(edges: DataFrame, width: int) -> DataFrame:
+    """graph, from_pos, to_pos, cost: the edges of all cheapest paths from -1 to ``width`` (ties to nine digits), with what such a path costs."""
+    x = searched(edges, width).withColumn("__t", F.col("before") + F.col("cost") + F.col("after")).where(F.col("__t") < float("inf"))
+    best = F.min("__t").over(W.partitionBy("graph"))
+    return x.withColumn("__b", best).where(F.col("__t") - F.col("__b") <= 1e-9 * F.abs("__b")).select("graph", "from_pos", "to_pos", F.col("__b").alias("cost"))
+
+
+def depths(edges: DataFrame, width: int) -> DataFrame:
+    """graph, pos, to_start, to_end: the fewest edges between a position and either end; null where no path leads there."""
+    x = searched(edges, width)
+    ends = x.select("graph", F.col("from_pos").alias("pos"), F.col("steps_before").alias("s"), (F.col("steps_after") + 1).alias("e"))
+    both = ends.unionByName(x.select("graph", F.col("to_pos").alias("pos"), (F.col("steps_before") + 1).alias("s"), F.col("steps_after").alias("e")))
+    return both.where(F.col("pos").between(0, width - 1)).groupBy("graph", "pos").agg(F.min("s").alias("to_start"), F.min("e").alias("to_end"))
+
+
 def nibbled(edges: DataFrame, width: int) -> DataFrame:
     """Edges that lie on a path from -1 to ``width``: dead ends go from either side until none is left, as many rounds as the longest has edges. Each
     round is cut off by a reliable checkpoint."""
