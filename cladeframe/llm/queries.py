@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import bpe, chat, licenses, matroska, minhash, mixing, neighbours, quality, sharding, suffix_tree
+from cladeframe.llm import bpe, centroids, chat, collocations, licenses, matroska, minhash, mixing, neighbours, quality, sharding, suffix_tree
 from cladeframe.llm.common import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -71,9 +71,19 @@ def op10_chat_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_tree_scores, op3_license_scan, op4_byte_bpe, op5_mix_sources, op6_quality_classifier, op7_multiprobe_neighbours, op8_histogram_shards, op9_matroska, op10_chat_paths)}
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_tree_scores, op3_license_scan, op4_byte_bpe, op5_mix_sources, op6_quality_classifier, op7_multiprobe_neighbours, op8_histogram_shards, op9_matroska, op10_chat_paths, op11_sort_means, op13_collocations)}
 
 ORACLE_SQL = {
+    "op11_sort_means": centroids.oracle_sql(),
+    "op13_collocations": collocations.ORACLE_SQL,
     "op3_license_scan": licenses.oracle_sql(),
     "op5_mix_sources": """
 WITH d AS (SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))) AS k FROM documents),
