@@ -29,13 +29,13 @@ def from_counts(df: DataFrame, keys: list[str], weight: Column | None = None) ->
     return df.groupBy(*keys).agg(F.log(F.sum(w)).alias(VALUE))
 
 
-#: Without a shared variable, the smaller factor may have at most so many rows (it goes to every task).
+#: Without a shared variable, a factor of up to so many rows goes to every task; of two larger ones the second is dealt in blocks of so many.
 PRODUCT_ROWS = 100_000
 
 
 def product(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Natural join on the shared variables, values multiplied. Factors without shared variables have a product as large as both together: one of them must
-    be small (PRODUCT_ROWS, checked), and is sent to the other's rows."""
+    """Natural join on the shared variables, values multiplied. Factors without shared variables have a product as large as both together: the smaller one is
+    sent to the other's rows if it is small (PRODUCT_ROWS, checked); otherwise ``y`` is dealt in blocks and each row of ``x`` meets one block at a time."""
     shared = overlap(x, y)
     right = y.withColumnRenamed(VALUE, "__lp")
     keys = [*variables(x), *(c for c in variables(y) if c not in shared)]
@@ -46,7 +46,9 @@ def product(x: DataFrame, y: DataFrame) -> DataFrame:
     elif x.limit(PRODUCT_ROWS + 1).count() <= PRODUCT_ROWS:
         joined = right.crossJoin(F.broadcast(x))
     else:
-        raise ValueError(f"factors without a shared variable, both of more than {PRODUCT_ROWS} rows")
+        blocks = -(-y.count() // PRODUCT_ROWS)
+        dealt = right.groupBy(F.pmod(F.xxhash64(*right.columns), F.lit(blocks)).alias("__block")).agg(F.collect_list(F.struct(*right.columns)).alias("__rows"))
+        joined = x.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "__block").select(*x.columns, F.explode("__rows").alias("__r")).select(*x.columns, "__r.*")
     return joined.select(*keys, (F.col(VALUE) + F.col("__lp")).alias(VALUE))
 
 

@@ -11,21 +11,33 @@ from cladeframe.operators.scans import scanned
 
 
 def conditional_probabilities(df: DataFrame, child: str, parents: list[str], weight: Column | None = None) -> DataFrame:
-    """P(child given parents) as weighted shares; parent keys that don't occur have no rows."""
+    """P(child given parents) as weighted shares; parent keys that don't occur have no rows, those whose weights sum to 0 have null shares."""
     n = df.groupBy(*parents, child).agg(F.sum(F.lit(1.0) if weight is None else weight).alias("n"))
-    return n.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(*parents)))
+    return n.withColumn("p", F.try_divide(F.col("n").cast("double"), F.sum("n").over(W.partitionBy(*parents)).cast("double")))
+
+
+#: Up to so many values of a child are sent to every task; more are dealt in blocks of so many.
+VALUES_EACH = 50_000
 
 
 def smoothed_probabilities(df: DataFrame, child: str, parents: list[str], alpha: float) -> DataFrame:
-    """P(child given parents) with a pseudo-count for every value that the child has anywhere. The result has a row for each parent key and
-    value, so it is as large as both together; each parent key brings its total and the values meet it by number, without a product join."""
+    """P(child given parents) with a pseudo-count for every value that the child has anywhere. The result is the product of parent keys and values: every key
+    gets a row for each value. Up to VALUES_EACH values go to every task with the counts; more go there in blocks, and a key is repeated once a block."""
     n = df.groupBy(*parents, child).agg(F.count(F.lit(1)).cast("double").alias("n"))
     values = n.select(F.col(child).alias("__value")).distinct()
-    every = n.select(*parents).distinct().withColumn("__one", F.lit(1)).join(values.withColumn("__one", F.lit(1)), "__one").drop("__one").withColumnRenamed("__value", child)
+    keys = n.select(*parents).distinct()
+    many = values.count()
+    if many <= VALUES_EACH:
+        every = keys.crossJoin(F.broadcast(values))  # counted just now
+    else:
+        blocks = -(-many // VALUES_EACH)
+        dealt = values.groupBy(F.pmod(F.xxhash64("__value"), F.lit(blocks)).alias("__block")).agg(F.collect_list(F.struct("__value")).alias("__values"))
+        every = keys.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "__block").select(*parents, F.explode("__values").alias("__v")).select(*parents, "__v.__value")
+    every = every.withColumnRenamed("__value", child)
     seen = n.toDF(*(f"__{c}" for c in n.columns))
     met = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*parents, child]]
     full = every.join(seen, met, "left").select(*parents, child, (F.coalesce("__n", F.lit(0.0)) + alpha).alias("n"))
-    return full.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(*parents)))
+    return full.withColumn("p", F.try_divide(F.col("n"), F.sum("n").over(W.partitionBy(*parents))))
 
 
 def gaussian_node(df: DataFrame, value: str, parents: list[str], floor: float = 0.001, tied: str | None = None) -> DataFrame:
@@ -195,7 +207,8 @@ def poisson_log_likelihood(df: DataFrame, value: str, on: list[str]) -> DataFram
     k = df.groupBy(*on, value).agg(F.count(value).alias("__n"))
     x = k.withColumn("__lf", F.col("__n") * special.lgamma_col(F.col(value).cast("double") + 1))
     s = x.groupBy(*on).agg(F.sum("__n").alias("n"), (F.sum(F.col("__n") * F.col(value)) / F.nullif(F.sum("__n"), F.lit(0))).alias("rate"), F.sum(F.when(F.col(value).isNotNull(), F.col("__lf"))).alias("lf"))
-    return s.select(*on, "rate", (F.col("n") * F.col("rate") * (F.log("rate") - 1) - F.col("lf")).alias("log_likelihood"))
+    told = F.when(F.col("rate") == 0, 0.0).otherwise(F.col("n") * F.col("rate") * (F.log("rate") - 1))  # a rate of 0 gives zeros surely
+    return s.select(*on, "rate", (told - F.col("lf")).alias("log_likelihood"))
 
 
 def significance(p: Column) -> Column:

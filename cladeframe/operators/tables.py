@@ -87,12 +87,27 @@ def kernel_density(df: DataFrame, value: str, grid: list[float]) -> DataFrame:
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b of two columns with few distinct values: pairs of cells of their contingency table, not of rows."""
-    n = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    a, b = n.alias("a"), n.alias("b")
-    s = a.join(b, F.col("a.x") < F.col("b.x")).agg(F.sum(F.when(F.col("a.y") < F.col("b.y"), F.col("a.n") * F.col("b.n")).when(F.col("a.y") > F.col("b.y"), -F.col("a.n") * F.col("b.n")).otherwise(0.0)).alias("s"))
-    total = n.agg(F.sum("n").alias("t"))
-    ties = lambda c: n.groupBy(c).agg(F.sum("n").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias(f"t{c}"))
+    """Kendall's tau-b of two columns, null if either is constant or there are no rows. Rows with a null are left out.
+
+    Cells (x, y, rows) take the rank of their y. Two ranks differ first, from the highest, in one binary digit: among the cells with equal higher digits, pairs with
+    different x are counted at that digit by running sums in the order of x. So each cell stands once a digit of the number of distinct y, pairs are never
+    listed, and no task holds more than a range.
+    """
+    from cladeframe.operators.scans import scanned
+
+    n = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
+    ys = n.select("y").distinct()
+    digits = max(1, ys.count().bit_length())
+    ranks = scanned(ys.withColumn("one", F.lit(1).cast("long")), [], ["y"], rank=("sum", "one", False)).select("y", "rank")
+    each = n.join(ranks, "y").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))))
+    high = F.call_function("shiftright", F.col("rank"), F.col("level") + 1)
+    bit = F.call_function("shiftright", F.col("rank"), F.col("level")).bitwiseAND(F.lit(1).cast("long"))
+    sums = each.groupBy("level", high.alias("high"), "x").agg(F.coalesce(F.sum(F.when(bit == 1, F.col("n"))), F.lit(0)).cast("decimal(38,0)").alias("ones"), F.coalesce(F.sum(F.when(bit == 0, F.col("n"))), F.lit(0)).cast("decimal(38,0)").alias("zeros"))
+    ran = scanned(sums, ["level", "high"], ["x"], ones_before=("sum", "ones", False), zeros_before=("sum", "zeros", False))
+    d = lambda c: F.col(c).cast("double")
+    s = ran.agg(F.sum(d("ones") * d("zeros_before") - d("zeros") * d("ones_before")).alias("s"))
+    total = n.agg(F.sum(d("n")).alias("t"))
+    ties = lambda c: n.groupBy(c).agg(F.sum(d("n")).alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias(f"t{c}"))
     j = s.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(ties("x"))).crossJoin(F.broadcast(ties("y")))  # one row each
     all_pairs = F.col("t") * (F.col("t") - 1) / 2
-    return j.select((F.col("s") / F.sqrt((all_pairs - F.col("tx")) * (all_pairs - F.col("ty")))).alias("tau"))
+    return j.select(F.try_divide(F.col("s"), F.sqrt((all_pairs - F.col("tx")) * (all_pairs - F.col("ty")))).alias("tau"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladeframe.functions import sequences, special, vectors
-from cladeframe.operators import factors, graphs, intervals, learning, reconstruction, statistics, trees
+from cladeframe.operators import factors, graphs, intervals, learning, reconstruction, statistics, tables, trees
 from cladeframe.plans import models
 from cladeframe.plans.tree import newick, parse
 
@@ -278,9 +278,8 @@ def test_marginal_keeps_groups_far_below_the_largest(spark):
 def test_products_without_a_shared_variable_are_checked(spark, monkeypatch):
     x, y = (spark.range(5).select(F.col("id").alias(c), F.lit(0.0).alias("lp")) for c in "ab")
     assert factors.product(x, y).count() == 25
-    monkeypatch.setattr(factors, "PRODUCT_ROWS", 4)
-    with pytest.raises(ValueError):
-        factors.product(x, y)
+    monkeypatch.setattr(factors, "PRODUCT_ROWS", 2)  # both too large to send: blocks of one of them
+    assert sorted(map(tuple, factors.product(x, y).select("a", "b").collect())) == [(a, b) for a in range(5) for b in range(5)]
 
 
 def test_degenerate_groups_give_null(spark):
@@ -364,3 +363,42 @@ def test_precluded_edges(spark):
     d = spark.createDataFrame([("g", *x) for x in e], "graph string, from_pos long, to_pos long")
     chosen = d.where("from_pos = 0 AND to_pos = 3")
     assert {(r.from_pos, r.to_pos) for r in graphs.precluded(d, chosen).collect()} == {(a, b) for a, b in e if 0 < a < 3 or 0 < b < 3}
+
+
+def test_zero_weights_and_constant_columns_give_null(spark):
+    d = spark.createDataFrame([("a", "x", 0.0), ("a", "y", 0.0), ("b", "x", 3.0), ("b", "y", 1.0)], "p string, c string, w double")
+    shares = statistics.conditional_probabilities(d.withColumnRenamed("p", "parent"), "c", ["parent"], F.col("w")).collect()
+    assert {(r.parent, r.c): r.p for r in shares} == {("a", "x"): None, ("a", "y"): None, ("b", "x"): 0.75, ("b", "y"): 0.25}
+    flat = spark.createDataFrame([(1, k) for k in range(5)], "x int, y int")
+    assert tables.kendall(flat, "x", "y").first().tau is None and tables.kendall(flat.limit(0), "x", "y").first().tau is None
+    zeros = spark.createDataFrame([("z", 0), ("z", 0)], "g string, k int")
+    assert [(r.rate, r.log_likelihood) for r in statistics.poisson_log_likelihood(zeros, "k", ["g"]).collect()] == [(0.0, 0.0)]
+
+
+def test_kendall_counts_all_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(r.choice([None, *range(9)]), r.random() if r.random() < 0.7 else 0.5) for _ in range(150)]
+    full = [x for x in rows if None not in x]
+    sign = lambda a, b: (a > b) - (a < b)
+    pairs = [(sign(a[0], b[0]), sign(a[1], b[1])) for i, a in enumerate(full) for b in full[:i]]
+    want = sum(p * q for p, q in pairs) / math.sqrt(sum(p != 0 for p, _ in pairs) * sum(q != 0 for _, q in pairs))
+    assert tables.kendall(spark.createDataFrame(rows, "x int, y double"), "x", "y").first().tau == pytest.approx(want, abs=1e-12)
+
+
+def test_primes_of_any_size(spark):
+    from cladeframe.functions.distributions import is_prime
+
+    prime = [2, 37, 41, 1681 + 12, 2**31 - 1, 2**61 - 1, 9223372036854775783]
+    other = [-7, 0, 1, 1681, 3215031751, 2**61 + 1, 3037000493**2, 9223372036854775807, 341550071728321]
+    d = spark.createDataFrame([(n,) for n in [*prime, *other, None]], "n long")
+    assert {r.n: r.p for r in d.select("n", is_prime(F.col("n")).alias("p")).collect()} == {**dict.fromkeys(prime, True), **dict.fromkeys(other, False), None: None}
+
+
+def test_smoothed_probabilities_in_blocks(spark, monkeypatch):
+    d = spark.createDataFrame([("p", "a"), ("p", "b"), ("q", "c"), (None, "a"), ("q", None)], "k string, v string")
+    want = sorted(statistics.smoothed_probabilities(d, "v", ["k"], 0.5).collect(), key=str)
+    assert len(want) == 12 and sum(r.p for r in want if r.k == "p") == pytest.approx(1)
+    monkeypatch.setattr(statistics, "VALUES_EACH", 2)
+    assert sorted(statistics.smoothed_probabilities(d, "v", ["k"], 0.5).collect(), key=str) == want
