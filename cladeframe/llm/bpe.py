@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,9 @@ from pyspark.sql import types as T
 
 #: Texts longer than this many characters are encoded piece by piece, cut at safe boundaries.
 CHUNK = 1 << 18
+#: A run of so many white-space characters is encoded without the pattern, whose matching of a run takes stack in proportion.
+LONG_RUN = 1 << 12
+_LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 #: Output batches are closed once they hold this many bytes.
 OUT_BYTES = 8 << 20
 
@@ -50,7 +54,7 @@ def safe_pieces(text: str, chunk: int = CHUNK) -> Iterator[str]:
     A cut is made before a plain space that follows a visible ASCII character. Of the patterns's
     alternatives only runs of white space hold a space that is not first, and those hold nothing visible;
     no alternative looks behind. So the matches of the pieces are those of the whole text. A stretch
-    without such a place stays whole.
+    without such a place (one very long word, or a script that is written without spaces) stays whole, so memory follows the longest such stretch.
     """
     at = 0
     while len(text) - at > chunk:
@@ -67,14 +71,36 @@ def safe_pieces(text: str, chunk: int = CHUNK) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def runs_apart(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in stretches and whether each is one match: long runs of white space stand by themselves.
+
+    Before something visible the pattern leaves a run's last character out of its match, at the text's end it doesn't; that character begins the next stretch.
+    """
+    at = 0
+    for m in _LONG_RUN.finditer(text):
+        if m.start() > at:
+            yield text[at : m.start()], False
+        at = m.end() if m.end() == len(text) else m.end() - 1
+        yield text[m.start() : at], True
+    if at < len(text):
+        yield text[at:], False
+
+
 def encode_text(text: str | None, rank_file: str, pattern: str, chunk: int = CHUNK) -> bytes:
     """Ids of a text as little-endian unsigned 32-bit integers."""
     if not text:
         return b""
     enc = encoding(rank_file, pattern)
-    if len(text) <= chunk:
-        return enc.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
-    return b"".join(enc.encode_to_numpy(x, disallowed_special=()).astype("<u4", copy=False).tobytes() for x in safe_pieces(text, chunk))
+    by_pattern = lambda x: enc.encode_to_numpy(x, disallowed_special=()).astype("<u4", copy=False).tobytes()
+    out = []
+    for stretch, one in runs_apart(text) if len(text) >= LONG_RUN else [(text, False)]:
+        if one:
+            out.append(np.array(enc._encode_single_piece(stretch), "<u4").tobytes())
+        elif len(stretch) <= chunk:
+            out.append(by_pattern(stretch))
+        else:
+            out.extend(map(by_pattern, safe_pieces(stretch, chunk)))
+    return b"".join(out)
 
 
 def decode_ids(ids: bytes | None, rank_file: str) -> bytes:

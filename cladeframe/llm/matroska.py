@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -279,26 +279,29 @@ def _cue(data: bytes, at: int, end: int, base: int, out: dict) -> None:
 
 # --- DataFrames
 
-def _mapped(df: DataFrame, column: str, fields: list[T.StructField], f, width) -> DataFrame:
-    """``df`` with the fields that ``f`` makes of a column; output batches are closed by size. Fields replace columns of the same name."""
+def _mapped(df: DataFrame, value: Column, fields: list[T.StructField], f, width) -> DataFrame:
+    """``df`` with the fields that ``f`` makes of a value; output batches are closed by size. Fields replace columns of the same name; the others
+    travel by their places, so that they may have any names."""
     new = {x.name for x in fields}
-    keep = [x.name for x in df.schema.fields if x.name not in new]
-    schema = T.StructType([*(x for x in df.schema.fields if x.name in keep), *fields])
+    kept = [x for x in df.schema.fields if x.name not in new]
+    places = [f"c{i}" for i in range(len(kept))]
+    schema = T.StructType([*(T.StructField(p, x.dataType) for p, x in zip(places, kept)), *fields])
     kinds = [_arrow(x.dataType) for x in fields]
 
     def run(batches):
         for batch in batches:
-            values, rest, at, held = batch.column(column), batch.select(keep), 0, 0
+            values, rest, at, held = batch.column("value"), batch.select(places), 0, 0
             made: list[tuple] = []
             for i in range(len(values)):
                 made.append(x := f(values[i].as_py()))
                 held += width(x)
                 if held >= OUT_BYTES or i == len(values) - 1:
                     cols = [pa.array([r[k] for r in made], kind) for k, kind in enumerate(kinds)]
-                    yield pa.RecordBatch.from_arrays([*rest.slice(at, len(made)).columns, *cols], names=[*keep, *(x.name for x in fields)])
+                    yield pa.RecordBatch.from_arrays([*rest.slice(at, len(made)).columns, *cols], names=[*places, *(x.name for x in fields)])
                     at, made, held = i + 1, [], 0
 
-    return df.mapInArrow(run, schema)
+    named = df.select(*(F.col(f"`{x.name}`").alias(p) for x, p in zip(kept, places)), value.alias("value"))
+    return named.mapInArrow(run, schema).toDF(*(x.name for x in kept), *(x.name for x in fields))
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -309,9 +312,9 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 def mux(df: DataFrame, data_col: str, out_col: str = "media") -> DataFrame:
     """``df`` with ``out_col``: ``data_col`` (string as UTF-8, or binary; null counts as empty), padded with bytes 255
-    up to a positive multiple of FRAME and stored as the samples of a Matroska file. Equal data give equal files."""
-    raw = df.withColumn("__data", F.coalesce(F.col(data_col).cast("binary"), F.lit(b"")))
-    return _mapped(raw, "__data", [T.StructField(out_col, T.BinaryType())], lambda x: (write_media(padded(x)),), lambda r: len(r[0])).drop("__data")
+    up to a positive multiple of FRAME and stored as the samples of a Matroska file. Equal data give equal files. A column named ``out_col`` is replaced, others
+    of any name are kept. A very long text is one file, so memory follows the longest."""
+    return _mapped(df, F.coalesce(F.col(data_col).cast("binary"), F.lit(b"")), [T.StructField(out_col, T.BinaryType())], lambda x: (write_media(padded(x)),), lambda r: len(r[0]))
 
 
 DEMUXED = [T.StructField("packets", T.ArrayType(PACKET)), T.StructField("cues", T.ArrayType(CUE)), T.StructField("n_clusters", T.IntegerType()), T.StructField("duration_ms", T.DoubleType()), T.StructField("error", T.StringType())]
@@ -331,7 +334,7 @@ def demux(df: DataFrame, media_col: str = "media") -> DataFrame:
             return None, None, None, None, str(e) or type(e).__name__
         return [dict(zip(PACKET.names, p)) for p in m["packets"]], [dict(zip(CUE.names, c)) for c in m["cues"]], len(m["clusters"]), m["duration_ms"], None
 
-    return _mapped(df, media_col, DEMUXED, read, lambda r: 100 * len(r[0] or ()))
+    return _mapped(df, F.col(media_col), DEMUXED, read, lambda r: 100 * len(r[0] or ()))
 
 
 def packet_table(demuxed: DataFrame, *keys: str) -> DataFrame:
@@ -346,11 +349,11 @@ READ = [T.StructField(n, T.StringType() if n in ("payload_sha256", "feature") el
 def payload_features(demuxed: DataFrame, media_col: str = "media") -> DataFrame:
     """Reads the packets' byte ranges out of the media and adds what their samples, in order, hash and amount to:
     payload_bytes, payload_sha256, tail_crc32 (last 32 bytes) and feature (counts, duration, mean, RMS, sign changes).
-    Media without packets or with an error have the payload of no bytes."""
+    Media without packets or with an error have the payload of no bytes. Columns of these names are replaced, others of any name are kept."""
     import hashlib
     import zlib
 
-    both = demuxed.withColumn("__m", F.struct(F.col(media_col).alias("m"), F.col("packets.offset").alias("o"), F.col("packets.length").alias("n"), F.size("cues").alias("c"), F.col("n_clusters").alias("k"), F.col("duration_ms").alias("d")))
+    parts = F.struct(F.col(media_col).alias("m"), F.col("packets.offset").alias("o"), F.col("packets.length").alias("n"), F.size("cues").alias("c"), F.col("n_clusters").alias("k"), F.col("duration_ms").alias("d"))
 
     def read(x: dict) -> tuple:
         media = x["m"] or b""
@@ -362,4 +365,4 @@ def payload_features(demuxed: DataFrame, media_col: str = "media") -> DataFrame:
         feature = f"packets={len(x['o'] or ())};clusters={x['k'] or 0};cues={max(0, x['c'] or 0)};duration_ms={x['d'] or 0:.0f};mean={mean:.6f};rms={rms:.6f};sign_changes={int(np.count_nonzero(signs))}"
         return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), feature
 
-    return _mapped(both, "__m", READ, read, lambda r: 200).drop("__m")
+    return _mapped(demuxed, parts, READ, read, lambda r: 200)

@@ -194,10 +194,13 @@ def deduplicated(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     found = near_duplicates(docs, percent, id_col=id_col, text_col=text_col)
     one = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__th"))
     alone = found.where("component IS NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).distinct()
-    hashed = docs.withColumn("__h", F.xxhash64(text_col))
-    on = lambda keys: (F.col(id_col).cast("long") == keys["__id"]) & (F.col("__h") == keys["__th"])
-    chosen = hashed.join(one, on(one), "left_semi").dropDuplicates([id_col, "__h"])
-    return chosen.unionByName(hashed.join(alone, on(alone), "left_semi")).unionByName(hashed.where(F.col(id_col).isNull())).drop("__h")
+    # Columns go by their places, so that a caller's may have any names.
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    hashed = docs.toDF(*own.values()).withColumn("h", F.xxhash64(own[text_col]))
+    on = lambda keys: (F.col(own[id_col]).cast("long") == keys["__id"]) & (F.col("h") == keys["__th"])
+    chosen = hashed.join(one, on(one), "left_semi").dropDuplicates([own[id_col], "h"])
+    every = chosen.unionByName(hashed.join(alone, on(alone), "left_semi")).unionByName(hashed.where(F.col(own[id_col]).isNull()))
+    return every.select(*own.values()).toDF(*docs.columns)
 
 
 def _texts_by_class(held: DataFrame, member: DataFrame, width: int) -> DataFrame:
