@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import bpe, centroids, chat, collocations, licenses, matroska, minhash, mixing, neighbours, quality, sharding, suffix_tree
+from cladeframe.llm import bpe, centroids, chat, collocations, licenses, matroska, minhash, mixing, neighbours, quality, sharding, suffix_tree, toxicity
 from cladeframe.llm.common import table
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -75,11 +75,18 @@ def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also how many sentences are more likely toxic than not, and where the first of the likeliest begins and ends (code points)."""
+    judged = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    worst = F.array_max(F.transform("offending", lambda x: F.struct(x["probability"].alias("p"), (-x["start"]).alias("less"), x["stop"].alias("stop"))))
+    return judged.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"), (-worst["less"]).alias("start"), worst["stop"].alias("stop"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_tree_scores, op3_license_scan, op4_byte_bpe, op5_mix_sources, op6_quality_classifier, op7_multiprobe_neighbours, op8_histogram_shards, op9_matroska, op10_chat_paths, op11_sort_means, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_suffix_tree_scores, op3_license_scan, op4_byte_bpe, op5_mix_sources, op6_quality_classifier, op7_multiprobe_neighbours, op8_histogram_shards, op9_matroska, op10_chat_paths, op11_sort_means, op12_toxic_sentences, op13_collocations)}
 
 ORACLE_SQL = {
     "op11_sort_means": centroids.oracle_sql(),
