@@ -24,6 +24,8 @@ from cladeframe.llm.common import ensure_checkpoint_dir
 
 #: A block has at most so many bytes of text, or one text.
 BLOCK_BYTES = 8 << 20
+#: Phrases of a language are ranked in so many parts of so many parts first.
+PARTS = 64
 _KIND = np.zeros(256, np.uint8)  # by byte: 0 of a word, 1 between words, 2 between pieces
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
@@ -287,9 +289,11 @@ def collocations(df: DataFrame, least: int = 10, longest: int = 3, inside_percen
     scored = scored.withColumn("score", F.expr("num div den"))
     best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("m")).select("lang", "phrase", "a", "m.l", "m.r", "m.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = best.withColumn("p", F.spark_partition_id())
-    led = part.withColumn("rank", F.row_number().over(W.partitionBy("lang", "p").orderBy(*order))).where(F.col("rank") <= top).drop("p", "rank")
-    ranked = led.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    # The first of each part of a language, of each of a few parts of parts, and of all: no task ranks more than a part's, or some tops.
+    led = best.withColumn("p", F.pmod(F.xxhash64("phrase"), F.lit(PARTS * PARTS)).cast("int"))
+    for _ in range(2):
+        led = led.withColumn("rank", F.row_number().over(W.partitionBy("lang", "p").orderBy(*order))).where(F.col("rank") <= top).drop("rank").withColumn("p", F.floor(F.col("p") / PARTS).cast("int"))
+    ranked = led.drop("p").withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
