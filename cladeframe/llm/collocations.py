@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -208,12 +208,16 @@ def _extending(size: int):
     return run
 
 
+def _folder(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/collocations-{uuid.uuid4()}"
+
+
 def frequent_phrases(df: DataFrame, least: int, longest: int, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, list[DataFrame]]:
     """n by lang, and for each number of words up to ``longest`` the phrases that occur ``least`` times or more in a language: id, f and,
     for words, lang and word, for longer ones a (id of the phrase without the last word) and b (id of that word)."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/collocations-{uuid.uuid4()}"
+    folder = _folder(spark)
     lists = _stored(positional_lists(df, text_col, lang_col), folder, "lists")
     counted = lists.where("w >= 0").select("block", "w", "lang", "word", "n")
     total = counted.groupBy("lang").agg(F.sum("n").alias("n"))
@@ -253,6 +257,7 @@ def collocations(df: DataFrame, least: int = 10, longest: int = 3, inside_percen
     The tables of lists and of counts stay as Parquet in the shared checkpoint folder, together about as large as the texts.
     """
     total, levels = frequent_phrases(df, least, longest, text_col, lang_col)
+    folder = _folder(df.sparkSession)
     words = levels[0]
     # Of the phrases of a level: text, language, rest (the phrase without its first word); cuts: occurrences of first parts and rests by cut.
     whole = words.select("id", "f", "lang", F.col("word").alias("phrase"), F.lit(None).cast("long").alias("rest"))
@@ -274,7 +279,7 @@ def collocations(df: DataFrame, least: int = 10, longest: int = 3, inside_percen
         x = x.join(heads, "a").join(rests, "rest").join(rest_f, "rest")
         # First parts of 1 .. size - 1 words: those of the first part's own cuts, then it; rests: the rest, then its own cuts' rests.
         x = x.withColumn("l", F.concat("la", F.array("fa"))).withColumn("r", F.concat(F.array("fr"), "rr"))
-        x = x.select("id", "f", "lang", F.concat_ws(" ", "head", "word").alias("phrase"), "a", "rest", "l", "r")
+        x = _stored(x.select("id", "f", "lang", F.concat_ws(" ", "head", "word").alias("phrase"), "a", "rest", "l", "r"), folder, f"phrases{size}")
         if size > 2:
             held = x.select(F.explode(F.array("a", "rest")).alias("id"), "f").groupBy("id").agg(F.max("f").alias("longer"))
             free = told.join(held, "id", "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("f") * inside_percent)).drop("longer")
