@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cladeframe.operators import intervals
-from cladeframe.plans.session import checkpointed
+from cladeframe.operators import intervals, paths
 
 
 def edges_of(rows: DataFrame, graph: str, sequence: str, order: str, node: str) -> DataFrame:
@@ -73,49 +70,20 @@ def precluded(edges: DataFrame, chosen: DataFrame, bin_width: int = 8) -> DataFr
     return edges.join(hit, ["graph", "from_pos", "to_pos"], "left_semi").distinct()
 
 
+def _priced(edges: DataFrame) -> DataFrame:
+    return edges.select("graph", "from_pos", "to_pos", paths.edge_cost(F.col("weight"), F.col("recip")).alias("cost"))
+
+
 def best_paths(edges: DataFrame, width: int) -> DataFrame:
-    """graph, step, pos, cost: the cheapest path from -1 to ``width`` of every graph. An edge costs its weight, a thousand times that if it isn't
-    reciprocated; ties to the smaller predecessor. Edges go up in position, so one sweep in order is the shortest-path search.
-    A graph is at most the alignment's positions wide and is one group."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["to_pos", "from_pos"])
-        cost = np.where(g["recip"], g["weight"], 1000 * g["weight"])
-        best, back = {-1: 0.0}, {}
-        for a, b, c in zip(g["from_pos"], g["to_pos"], cost):
-            if a in best and best[a] + c < best.get(b, np.inf):
-                best[b], back[b] = best[a] + c, a
-        if width not in best:
-            return pd.DataFrame([], columns=["graph", "step", "pos", "cost"])
-        path = [width]
-        while path[-1] != -1:
-            path.append(back[path[-1]])
-        path = path[::-1]
-        return pd.DataFrame({"graph": g["graph"].iloc[0], "step": range(len(path)), "pos": path, "cost": best[width]})
-
-    return edges.select("graph", "from_pos", "to_pos", "recip", "weight").groupBy("graph").applyInPandas(run, "graph string, step int, pos long, cost double")
+    """graph, step, pos, cost: the cheapest path from -1 to ``width`` of every graph that has one. An edge costs its weight, a thousand times that if it isn't
+    reciprocated; ties to the smaller predecessor. Edges may go either way; a graph may be of any size (:mod:`cladeframe.operators.paths`)."""
+    return paths.cheapest(_priced(edges), -1, width)
 
 
 def searched(edges: DataFrame, width: int) -> DataFrame:
     """graph, from_pos, to_pos, cost, before, after, steps_before, steps_after: each edge with its cost (as for :func:`best_paths`), the cheapest way from -1 to
-    where it begins and from where it ends to ``width``, and the fewest edges of such ways; infinite, and null, where there is none. One sweep each way over a
-    graph, which is at most the alignment's positions wide."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = g["from_pos"].to_numpy(), g["to_pos"].to_numpy()
-        cost = np.where(g["recip"], g["weight"], 1000 * g["weight"])
-        ways = []
-        for start, tails, heads, order in ((-1, a, b, np.lexsort((a, b))), (width, b, a, np.lexsort((-b, -a)))):
-            far, steps = {start: 0.0}, {start: 0}
-            for e in order:
-                if tails[e] in far:
-                    far[heads[e]] = min(far.get(heads[e], np.inf), far[tails[e]] + cost[e])
-                    steps[heads[e]] = min(steps.get(heads[e], np.inf), steps[tails[e]] + 1)
-            ways.append(([far.get(x, np.inf) for x in tails], pd.array([steps.get(x) for x in tails], "Int64")))
-        return pd.DataFrame({"graph": g["graph"], "from_pos": a, "to_pos": b, "cost": cost, "before": ways[0][0], "after": ways[1][0], "steps_before": ways[0][1], "steps_after": ways[1][1]})
-
-    schema = "graph string, from_pos long, to_pos long, cost double, before double, after double, steps_before long, steps_after long"
-    return edges.select("graph", F.col("from_pos").cast("long"), F.col("to_pos").cast("long"), "recip", F.col("weight").cast("double").alias("weight")).distinct().groupBy("graph").applyInPandas(run, schema)
+    where it begins and from where it ends to ``width``, and the fewest edges of such ways; infinite, and null, where there is none."""
+    return paths.ways(_priced(edges), -1, width)
 
 
 def optimal_edges(edges: DataFrame, width: int) -> DataFrame:
@@ -134,20 +102,15 @@ def depths(edges: DataFrame, width: int) -> DataFrame:
 
 
 def nibbled(edges: DataFrame, width: int) -> DataFrame:
-    """Edges that lie on a path from -1 to ``width``: dead ends go from either side until none is left, as many rounds as the longest has edges. Each
-    round is cut off by a reliable checkpoint."""
-    x, was = checkpointed(edges), None
-    while (now := x.count()) != was:
-        starts = x.select("graph", F.col("to_pos").alias("from_pos")).distinct()
-        y = x.where("from_pos = -1").unionByName(x.where("from_pos <> -1").join(starts, ["graph", "from_pos"], "left_semi").select(x.columns))
-        ends = y.select("graph", F.col("from_pos").alias("to_pos")).distinct()
-        x, was = checkpointed(y.where(F.col("to_pos") == width).unionByName(y.where(F.col("to_pos") != width).join(ends, ["graph", "to_pos"], "left_semi").select(x.columns))), now
-    return x
+    """Edges that lie on a path from -1 to ``width``; dead ends from either side go."""
+    return paths.connecting(edges, -1, width)
 
 
 def contiguous(edges: DataFrame, width: int) -> DataFrame:
     """graph: those with a path from -1 to ``width``."""
-    return best_paths(edges.withColumn("weight", F.lit(1.0)), width).select("graph").distinct()
+    e = paths.blocked(edges.select("graph", "from_pos", "to_pos", F.lit(1.0).alias("cost")))
+    start = e.select("graph").distinct().withColumn("pos", F.lit(-1).cast("long"))
+    return paths.distances(e, start).where(F.col("pos") == width).select("graph")
 
 
 def repaired(edges: DataFrame, fallback: DataFrame, width: int) -> DataFrame:

@@ -1,32 +1,33 @@
 """Ancestral states: parsimony and likelihood along a tree, site by site.
 
-Sites are the unit of work: rows (site, leaf, state) are grouped by site and each group, at most one row a leaf,
-is one small dynamic program over the tree in NumPy. The tree travels with the task.
+Sites are the unit of work: rows (site, leaf, state) become one row a site, and batches of them go through dynamic programs over the tree that visit its
+nodes once for all sites of a batch (:mod:`cladeframe.operators.columns`). The tree travels with the task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cladeframe.operators import columns
 from cladeframe.plans.models import Model
 from cladeframe.plans.tree import Tree
 
 
-def _parsimony_costs(tree: Tree, kids: list[list[int]], known: dict[int, int], k: int) -> np.ndarray:
-    """cost[node, state]: changes below the node if it has the state. A leaf without a state allows all."""
-    cost = np.zeros((len(tree.labels), k))
-    for i in reversed(range(len(tree.labels))):
-        if kids[i]:
-            for c in kids[i]:
-                cost[i] += np.minimum(cost[c], cost[c].min() + 1)
-        elif i in known:
-            cost[i] = np.inf
-            cost[i, known[i]] = 0
-    return cost
+def _inner(tree: Tree) -> list[int]:
+    return [i for i, c in enumerate(tree.children) if c]
+
+
+def _named(states: np.ndarray, names: list[list[str]]) -> np.ndarray:
+    """(sites, nodes): the text of states numbered within their sites."""
+    table = np.full((len(names), max(1, max(map(len, names), default=0))), None, object)
+    for i, x in enumerate(names):
+        table[i, : len(x)] = x
+    return np.take_along_axis(table, states, axis=1)
 
 
 def parsimony(sites: DataFrame, tree: Tree, default: str | None = None) -> DataFrame:
@@ -35,93 +36,53 @@ def parsimony(sites: DataFrame, tree: Tree, default: str | None = None) -> DataF
     ``sites``: site, leaf (label), state (string; null: unknown). Leaves without a row have the state ``default``, or are unknown. Sites
     without any state have no rows.
     """
-    kids, index = tree.children, {lab: i for i, lab in enumerate(tree.labels)}
-
-    def run(site: pd.DataFrame) -> pd.DataFrame:
-        rows = [(index[a], s) for a, s in zip(site["leaf"], site["state"]) if s is not None and a in index]
-        if default is not None:
-            told = set(site["leaf"])
-            rows += [(i, default) for i in tree.leaves if tree.labels[i] not in told]
-        states = sorted({s for _, s in rows})
-        out = []
-        if states:
-            code = {s: i for i, s in enumerate(states)}
-            cost = _parsimony_costs(tree, kids, {i: code[s] for i, s in rows}, len(states))
-            best = np.zeros(cost.shape, bool)
-            best[0] = cost[0] == cost[0].min()
-            for i in range(len(tree.labels)):
-                for c in kids[i]:
-                    for s in np.flatnonzero(best[i]):
-                        step = cost[c] + (np.arange(len(states)) != s)
-                        best[c] |= step == step.min()
-            key, score = site["site"].iloc[0], int(cost[0].min())
-            out = [(key, tree.labels[i], states[s], score) for i, s in zip(*np.nonzero(best))]
-        return pd.DataFrame(out, columns=["site", "node", "state", "score"])
-
-    return sites.select("site", "leaf", "state").groupBy("site").applyInPandas(run, "site long, node string, state string, score int")
+    n, labels = len(tree.labels), np.array(tree.labels, object)
+
+    def run(batches):
+        for part in columns.slices(batches, n):
+            codes, every = columns.own_states(part, tree, default)
+            for told in columns.parts(every, n):
+                names = [every[i] for i in told]
+                best, score = columns.most_parsimonious(codes[told], tree, columns.used_states(names))
+                i, s, k = np.nonzero(best)
+                state = _named(np.tile(np.arange(best.shape[2]), (len(names), 1)), names)
+                site = np.asarray(part.column("site"))[told]
+                yield pa.RecordBatch.from_arrays([pa.array(site[s]), pa.array(labels[i], pa.string()), pa.array(state[s, k], pa.string()), pa.array(score[s].astype(np.int32))], names=["site", "node", "state", "score"])
+
+    return columns.gathered(sites).mapInArrow(run, "site long, node string, state string, score int")
 
 
 def joint(sites: DataFrame, tree: Tree, model: Model, rate: float = 1.0) -> DataFrame:
     """site, node, state, log_likelihood: the jointly most probable states of the inner nodes, by max-product; ties (to nine digits) to the earlier
     state of the alphabet. States outside the alphabet count as unknown."""
-    kids, index = tree.children, {lab: i for i, lab in enumerate(tree.labels)}
-    steps = {d: np.log(np.maximum(model.transition(d * rate), 1e-300)) for d in set(tree.dists)}
-    start, code = np.log(np.maximum(model.freqs, 1e-300)), {s: i for i, s in enumerate(model.alphabet)}
-
-    def run(site: pd.DataFrame) -> pd.DataFrame:
-        n, k = len(tree.labels), len(code)
-        up, choice = np.zeros((n, k)), np.zeros((n, k), int)
-        for a, s in zip(site["leaf"], site["state"]):
-            if a in index and s in code:
-                up[index[a]] = -np.inf
-                up[index[a], code[s]] = 0
-        for i in reversed(range(1, n)):  # parents come first, so a node's children are done
-            both = steps[tree.dists[i]] + up[i][None, :]
-            choice[i] = both.round(9).argmax(axis=1)
-            up[tree.parents[i]] += both.max(axis=1)
-        total = start + up[0]
-        state = np.zeros(n, int)
-        state[0] = total.round(9).argmax()
-        for i in range(1, n):
-            state[i] = choice[i][state[tree.parents[i]]]
-        key = site["site"].iloc[0]
-        return pd.DataFrame([(key, tree.labels[i], model.alphabet[state[i]], float(total.max())) for i in range(n) if kids[i]], columns=["site", "node", "state", "log_likelihood"])
-
-    return sites.select("site", "leaf", "state").groupBy("site").applyInPandas(run, "site long, node string, state string, log_likelihood double")
+    steps, start = _log_steps(tree, model, rate)
+    inner, letters, n, k = _inner(tree), np.array(model.alphabet, object), len(tree.labels), len(model.alphabet)
+
+    def run(batches):
+        for part in columns.slices(batches, n * k):
+            state, total = columns.most_probable(columns.coded(part, tree, model.alphabet), tree, steps, start)
+            yield columns.rows(part, tree, inner, letters[state], total, pa.float64(), "log_likelihood")
+
+    return columns.gathered(sites).mapInArrow(run, "site long, node string, state string, log_likelihood double")
+
+
+def _log_steps(tree: Tree, model: Model, rate: float) -> tuple[list[np.ndarray], np.ndarray]:
+    by_time = {d: np.log(np.maximum(model.transition(d * rate), 1e-300)) for d in set(tree.dists)}
+    return [by_time[d] for d in tree.dists], np.log(np.maximum(model.freqs, 1e-300))
 
 
 def marginal(sites: DataFrame, tree: Tree, model: Model, node: str, rate: float = 1.0) -> DataFrame:
     """site, state, p, log_likelihood: the posterior of one node's states, by sum-product from the leaves up and back down to the node."""
-    index, code = {lab: i for i, lab in enumerate(tree.labels)}, {s: i for i, s in enumerate(model.alphabet)}
-    steps = {d: model.transition(d * rate) for d in set(tree.dists)}
-    kids, path = tree.children, [index[node]]
-    while tree.parents[path[-1]] >= 0:
-        path.append(tree.parents[path[-1]])
-
-    def run(site: pd.DataFrame) -> pd.DataFrame:
-        n, k = len(tree.labels), len(code)
-        up, scale = np.ones((n, k)), 0.0
-        for a, s in zip(site["leaf"], site["state"]):
-            if a in index and s in code:
-                up[index[a]] = np.eye(k)[code[s]]
-        message = np.ones((n, k))
-        for i in reversed(range(1, n)):
-            message[i] = steps[tree.dists[i]] @ up[i]
-            up[tree.parents[i]] *= message[i]
-            top = up[tree.parents[i]].max()
-            if top < 1e-100:
-                up[tree.parents[i]] /= top
-                scale += np.log(top)
-        down = np.array(model.freqs)
-        total = np.log((down * up[0]).sum()) + scale
-        for parent, child in zip(path[::-1], path[::-1][1:]):
-            rest = down * np.prod([message[c] for c in kids[parent] if c != child] or [np.ones(k)], axis=0)
-            down = rest @ steps[tree.dists[child]]
-        p = down * up[path[0]]
-        p = p / p.sum()
-        return pd.DataFrame({"site": site["site"].iloc[0], "state": list(model.alphabet), "p": p, "log_likelihood": total})
-
-    return sites.select("site", "leaf", "state").groupBy("site").applyInPandas(run, "site long, state string, p double, log_likelihood double")
+    at, by_time, n, k = tree.labels.index(node), {d: model.transition(d * rate) for d in set(tree.dists)}, len(tree.labels), len(model.alphabet)
+    steps, letters = [by_time[d] for d in tree.dists], np.array(model.alphabet, object)
+
+    def run(batches):
+        for part in columns.slices(batches, n * k):
+            p, total = columns.posterior(columns.coded(part, tree, model.alphabet), tree, steps, np.array(model.freqs), at)
+            site = np.repeat(np.asarray(part.column("site")), k)
+            yield pa.RecordBatch.from_arrays([pa.array(site), pa.array(np.tile(letters, len(p)), pa.string()), pa.array(p.ravel()), pa.array(np.repeat(total, k))], names=["site", "state", "p", "log_likelihood"])
+
+    return columns.gathered(sites).mapInArrow(run, "site long, state string, p double, log_likelihood double")
 
 
 # --- indels
@@ -180,35 +141,17 @@ def indel_events(presence: DataFrame, tree: DataFrame) -> DataFrame:
 
 def joint_recoded(sites: DataFrame, tree: Tree, rate: float = 1.0) -> DataFrame:
     """As :func:`joint`, each site under equal rates between the states that its leaves show (in order); sites without any have no rows."""
-    kids, index = tree.children, {lab: i for i, lab in enumerate(tree.labels)}
-    times = np.array(tree.dists) * rate
-
-    def run(site: pd.DataFrame) -> pd.DataFrame:
-        rows = [(index[a], s) for a, s in zip(site["leaf"], site["state"]) if s is not None and a in index]
-        states = sorted({s for _, s in rows})
-        n, k = len(tree.labels), len(states)
-        if not k:
-            return pd.DataFrame([], columns=["site", "node", "state", "log_likelihood"])
-        change = (1 - np.exp(-times)) / k
-        same, other = np.log(1 - change * (k - 1)), np.log(np.maximum(change, 1e-300))
-        up, choice = np.zeros((n, k)), np.zeros((n, k), int)
-        for i, s in rows:
-            up[i] = -np.inf
-            up[i, states.index(s)] = 0
-        for i in reversed(range(1, n)):
-            best = up[i].argmax()  # from state s a child either keeps it or changes to the best of all
-            stay, leave = same[i] + up[i], other[i] + up[i][best]
-            keeps = (stay > leave) | (np.arange(k) == best)
-            choice[i] = np.where(keeps, np.arange(k), best)
-            up[tree.parents[i]] += np.where(keeps, stay, leave)
-        state = np.zeros(n, int)
-        state[0] = up[0].argmax()
-        for i in range(1, n):
-            state[i] = choice[i][state[tree.parents[i]]]
-        key, total = site["site"].iloc[0], float(up[0].max() - np.log(k))
-        return pd.DataFrame([(key, tree.labels[i], states[state[i]], total) for i in range(n) if kids[i]], columns=["site", "node", "state", "log_likelihood"])
-
-    return sites.select("site", "leaf", "state").groupBy("site").applyInPandas(run, "site long, node string, state string, log_likelihood double")
+    times, inner, n = np.array(tree.dists) * rate, _inner(tree), len(tree.labels)
+
+    def run(batches):
+        for part in columns.slices(batches, n):
+            codes, every = columns.own_states(part, tree)
+            for told in columns.parts(every, n):
+                names = [every[i] for i in told]
+                state, total = columns.most_probable_recoded(codes[told], tree, times, columns.used_states(names))
+                yield columns.rows(part.take(pa.array(told)), tree, inner, _named(state, names), total, pa.float64(), "log_likelihood")
+
+    return columns.gathered(sites).mapInArrow(run, "site long, node string, state string, log_likelihood double")
 
 
 def bidirectional_edge_likelihood(alignment: DataFrame, tree: Tree, width: int, rate: float = 1.0) -> DataFrame:

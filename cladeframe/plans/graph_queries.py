@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,7 +132,23 @@ _JUMPS = f"{_ALIGNMENT}, o AS (SELECT leaf, pos, lag(pos) OVER w AS prev, coales
 _SITES = "SELECT from_pos * 2 + 2 AS site, leaf AS node, to_pos::VARCHAR AS s FROM j UNION ALL SELECT to_pos * 2 + 3, leaf, from_pos::VARCHAR FROM j"
 _GAPS = f"{_ALIGNMENT}, gaps AS (SELECT leaf, min(pos) AS lo, max(pos) AS hi FROM (SELECT leaf, pos, pos - row_number() OVER (PARTITION BY leaf ORDER BY pos) AS run FROM al WHERE sym IS NULL) GROUP BY leaf, run), inside AS (SELECT i.leaf AS node, c.lo * {HOURS + 1} + c.hi AS site, c.lo = i.lo AND c.hi = i.hi AS same FROM (SELECT DISTINCT lo, hi FROM gaps) c JOIN gaps i ON i.lo <= c.lo AND c.hi <= i.hi)"
 
+_ANCESTORS = """AS (SELECT node, CASE WHEN site % 2 = 0 THEN site // 2 - 1 ELSE s::BIGINT END AS from_pos, CASE WHEN site % 2 = 0 THEN s::BIGINT ELSE (site - 3) // 2 END AS to_pos, site % 2 = 0 AS f FROM {best} WHERE node IN {inner})"""
+_GROUPED = "SELECT node, from_pos, to_pos, bool_or(f) AND bool_or(NOT f) AS recip FROM {e} GROUP BY ALL"
+_BY_PARSIMONY = f"{_JUMPS}, {tree_sql.parsimony(_SITES)}, f0 {_ANCESTORS.format(best='best', inner=tree_sql.INNER)}, e AS MATERIALIZED ({_GROUPED.format(e='f0')})"
+_BY_LIKELIHOOD = f"{tree_sql.joint_recoded(_SITES, 0.3)}, f1 {_ANCESTORS.format(best='best', inner=tree_sql.INNER)}, el AS MATERIALIZED ({_GROUPED.format(e='f1')})"
+
+
+def _apart(sql: str) -> str:
+    """The names of the parsimony's steps set apart from those of the likelihood's."""
+    return re.sub(r"\b(tr|lv|known|free|leafs|states|best|score|[bc][0-3])\b", r"pars_\1", sql)
+
+
 ORACLE_SQL = {
+    "edge_likelihood": f"WITH {_JUMPS}, {_BY_LIKELIHOOD} SELECT * FROM el",
+    "ancestor_paths": f"""WITH RECURSIVE {_BY_PARSIMONY}, wd AS (SELECT {HOURS}::BIGINT AS width), we AS MATERIALIZED (SELECT node, from_pos, to_pos, CASE WHEN recip THEN 1 ELSE 1000 END::DOUBLE AS w FROM e), {tree_sql.WAY}
+SELECT way.node AS graph, (row_number() OVER (PARTITION BY way.node ORDER BY way.pos) - 1)::INT AS step, way.pos, t.c AS cost FROM way JOIN far t ON t.node = way.node AND t.pos = {HOURS}""",
+    "graph_repair": f"""WITH RECURSIVE {_apart(_BY_PARSIMONY)}, {_BY_LIKELIHOOD}, fw(node, pos) AS (SELECT DISTINCT node, -1::BIGINT FROM el UNION SELECT el.node, el.to_pos FROM fw JOIN el ON el.node = fw.node AND el.from_pos = fw.pos),
+ok AS (SELECT node FROM fw WHERE pos = {HOURS}) SELECT node AS graph, from_pos, to_pos, recip FROM el SEMI JOIN ok ON ok.node = el.node UNION ALL SELECT e.node, e.from_pos, e.to_pos, e.recip FROM e SEMI JOIN el ON el.node = e.node ANTI JOIN ok ON ok.node = e.node""",
     "presence_parsimony": f"WITH {_ALIGNMENT}, {tree_sql.parsimony('SELECT pos AS site, leaf AS node, (sym IS NOT NULL)::INT::VARCHAR AS s FROM al')} SELECT best.site, node, s AS state, score FROM best JOIN score ON best.site = score.site",
     "edge_parsimony": f"""WITH {_JUMPS}, {tree_sql.parsimony(_SITES)},
 e AS (SELECT node, CASE WHEN site % 2 = 0 THEN site // 2 - 1 ELSE s::BIGINT END AS from_pos, CASE WHEN site % 2 = 0 THEN s::BIGINT ELSE (site - 3) // 2 END AS to_pos, site % 2 = 0 AS f FROM best WHERE node IN {tree_sql.INNER})

@@ -7,6 +7,12 @@ _EDGES = "tr(node, parent) AS (VALUES ('g0', 'll'), ('g1', 'll'), ('g2', 'lr'),
 INNER = "('root', 'l', 'r', 'll', 'lr', 'rl', 'rr')"
 _LEAVES = "lv AS (SELECT 'g' || i AS node FROM range(8) t(i))"
 
+#: From ``we`` (node, from_pos, to_pos, w) and ``wd`` (width): ``far`` (node, pos, c), the cheapest way from -1, and ``way`` (node, pos), the positions of one cheapest path to the end.
+WAY = """ah(node, pos, n, c) AS (SELECT DISTINCT node, -1::BIGINT, 0, 0::DOUBLE FROM we UNION ALL SELECT a.node, we.to_pos, a.n + 1, min(a.c + we.w) FROM ah a JOIN we ON we.node = a.node AND we.from_pos = a.pos GROUP BY ALL),
+far AS MATERIALIZED (SELECT node, pos, min(c) AS c FROM ah GROUP BY ALL),
+pred AS MATERIALIZED (SELECT we.node, we.to_pos AS pos, min(we.from_pos) AS prev FROM we JOIN far a ON a.node = we.node AND a.pos = we.from_pos JOIN far b ON b.node = we.node AND b.pos = we.to_pos WHERE a.c + w <= b.c + 1e-9 * greatest(abs(b.c), 1) GROUP BY ALL),
+way(node, pos) AS (SELECT far.node, pos FROM far, wd WHERE pos = width UNION ALL SELECT way.node, pred.prev FROM way JOIN pred ON pred.node = way.node AND pred.pos = way.pos)"""
+
 
 def parsimony(known: str, free: str = "SELECT NULL::BIGINT AS site, NULL AS node WHERE false", default: str | None = None) -> str:
     """CTEs up to ``best`` (site, node, s) and ``score`` (site, score) of most parsimonious states. ``known``: site, node, s; ``free``: leaves of
@@ -53,6 +59,46 @@ def joint(known: str, alphabet: str, time: float) -> str:
     return ",\n".join(out)
 
 
+def joint_recoded(known: str, time: float) -> str:
+    """CTEs up to ``best`` (site, node, s): the jointly most probable states under equal rates between the states that the site's leaves show."""
+    goes = f"(1 - exp(-{time}::DOUBLE)) / k"
+    out = [
+        _EDGES, _LEAVES, f"known AS MATERIALIZED ({known})", "letters AS MATERIALIZED (SELECT DISTINCT site, s FROM known)", "size AS MATERIALIZED (SELECT site, count(*)::DOUBLE AS k FROM letters GROUP BY site)",
+        f"step AS MATERIALIZED (SELECT a.site, a.s AS x, b.s AS y, CASE WHEN a.s = b.s THEN 1 - (k - 1) * (1 - exp(-{time}::DOUBLE)) / k ELSE {goes} END AS p FROM letters a JOIN letters b ON a.site = b.site JOIN size ON size.site = a.site)",
+        "w0 AS MATERIALIZED (SELECT l.site, lv.node, l.s, CASE WHEN k.s IS NULL OR k.s = l.s THEN 0::DOUBLE ELSE -1e300 END AS up FROM letters l CROSS JOIN lv LEFT JOIN known k ON k.site = l.site AND k.node = lv.node)",
+    ]
+    for k in (1, 2, 3):
+        out.append(f"m{k} AS MATERIALIZED (SELECT w.site, node, x AS above, y AS s, up + ln(p) AS v FROM w{k - 1} w JOIN step ON step.site = w.site AND s = y)")
+        out.append(f"h{k} AS MATERIALIZED (SELECT site, node, above, max(v) AS v, min(s) FILTER (round(v, 9) = top) AS s FROM (SELECT *, max(round(v, 9)) OVER (PARTITION BY site, node, above) AS top FROM m{k}) GROUP BY ALL)")
+        out.append(f"w{k} AS MATERIALIZED (SELECT site, parent AS node, above AS s, sum(v) AS up FROM h{k} JOIN tr USING (node) GROUP BY ALL)")
+    out.append("b3 AS MATERIALIZED (SELECT site, node, min(s) AS s FROM (SELECT *, max(round(up, 9)) OVER (PARTITION BY site) AS t FROM w3) WHERE round(up, 9) = t GROUP BY ALL)")
+    for k in (2, 1):
+        out.append(f"b{k} AS MATERIALIZED (SELECT h.site, h.node, h.s FROM h{k + 1} h JOIN tr ON h.node = tr.node JOIN b{k + 1} b ON b.site = h.site AND b.node = tr.parent AND h.above = b.s)")
+    out.append("best AS (SELECT * FROM b3 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b1)")
+    return ",\n".join(out)
+
+
+def masked(known: str, present: str, alphabet: str, time: float) -> str:
+    """CTEs up to ``best`` (site, node, s) and ``top`` (site, lp): jointly most probable states where only ``present`` nodes (site, node) count and each group of
+    connected ones is a tree of its own."""
+    out = _likelihood(known, alphabet, time)
+    out[0] = "lev(node, level) AS (VALUES ('root', 3), ('l', 2), ('r', 2), ('ll', 1), ('lr', 1), ('rl', 1), ('rr', 1))"
+    out.insert(0, f"pr AS MATERIALIZED ({present})")
+    out.append("w0 AS MATERIALIZED (SELECT u0.site, u0.node, s, CASE WHEN up > 0 THEN 0::DOUBLE ELSE -1e300 END AS up FROM u0 JOIN pr USING (site, node))")
+    for k in (1, 2, 3):
+        out.append(f"m{k} AS MATERIALIZED (SELECT w.site, w.node, x AS above, y AS s, up + ln(p) AS v FROM w{k - 1} w JOIN step ON s = y JOIN tr ON tr.node = w.node JOIN pr ON pr.site = w.site AND pr.node = tr.parent)")
+        out.append(f"h{k} AS MATERIALIZED (SELECT site, node, above, max(v) AS v, min(s) FILTER (round(v, 9) = top) AS s FROM (SELECT *, max(round(v, 9)) OVER (PARTITION BY site, node, above) AS top FROM m{k}) GROUP BY ALL)")
+        out.append(f"w{k} AS MATERIALIZED (SELECT pr.site, pr.node, letters.s, coalesce(z.up, 0) AS up FROM pr JOIN lev ON lev.node = pr.node AND level = {k} CROSS JOIN letters LEFT JOIN (SELECT site, parent AS node, above AS s, sum(v) AS up FROM h{k} JOIN tr USING (node) GROUP BY ALL) z ON z.site = pr.site AND z.node = pr.node AND z.s = letters.s)")
+    for k in (3, 2, 1, 0):
+        out.append(f"o{k} AS MATERIALIZED (SELECT site, node, min(s) AS s, max(up) AS up FROM (SELECT w.*, max(round(up, 9)) OVER (PARTITION BY w.site, w.node) AS t FROM w{k} w LEFT JOIN tr ON tr.node = w.node LEFT JOIN pr ON pr.site = w.site AND pr.node = tr.parent WHERE pr.node IS NULL) WHERE round(up, 9) = t GROUP BY ALL)")
+    out.append("top AS (SELECT site, sum(up - ln(k)) AS lp FROM (SELECT * FROM o3 UNION ALL SELECT * FROM o2 UNION ALL SELECT * FROM o1 UNION ALL SELECT * FROM o0), size GROUP BY site)")
+    out.append("b3 AS MATERIALIZED (SELECT site, node, s FROM o3)")
+    for k in (2, 1):
+        out.append(f"b{k} AS MATERIALIZED (SELECT h.site, h.node, h.s FROM h{k + 1} h JOIN tr ON h.node = tr.node JOIN b{k + 1} b ON b.site = h.site AND b.node = tr.parent AND h.above = b.s UNION ALL SELECT site, node, s FROM o{k})")
+    out.append("best AS (SELECT * FROM b3 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b1)")
+    return ",\n".join(out)
+
+
 def root_posterior(known: str, alphabet: str, time: float) -> str:
     """CTEs up to ``post`` (site, s, p, lp)."""
     out = _likelihood(known, alphabet, time)
