@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import ensure_checkpoint_dir
+from cladeframe.llm.common import ensure_checkpoint_dir, released
 
 #: A block has at most so many bytes of text, or one text.
 BLOCK_BYTES = 8 << 20
@@ -60,12 +60,14 @@ def positioned(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     starts = np.flatnonzero(word & (head | np.concatenate([[True], ~word[:-1]])))
     if not len(starts):
         return pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    breaks = np.cumsum((kind == 2) | head, dtype=np.int32)[starts]
+    breaks = np.cumsum((kind == 2) | head, dtype=np.int32 if len(raw) < 1 << 31 else np.int64)[starts]
+    del kind, head
     positions = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(breaks[1:] > breaks[:-1])])
-    upper = (raw >= 65) & (raw <= 90)
-    kept = (raw + (upper * np.uint8(32)))[word]
-    at = np.concatenate([[0], np.cumsum(word, dtype=np.int64)])
-    offsets = np.concatenate([at[starts], [len(kept)]])
+    kept = raw[word]
+    kept += ((kept >= 65) & (kept <= 90)) * np.uint8(32)
+    # A word's place among the words' bytes: how many of those come before it.
+    lengths = np.add.reduceat(word, starts, dtype=np.int64)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
     flat = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(kept.tobytes())])
     return flat, np.searchsorted(ends, starts, "right") - 1, positions
 
@@ -138,6 +140,7 @@ def positional_lists(df: DataFrame, text_col: str = "text", lang_col: str = "lan
 def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """``df`` as a Parquet table of the shared folder, read back."""
     df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    released(df.sparkSession)
     return df.sparkSession.read.parquet(f"{folder}/{name}")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,5 +54,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def released(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of steps whose results are written and to which nothing refers any more. It does so by itself when the driver collects garbage,
+    which on a driver with little to do may be after the disks are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
