@@ -131,10 +131,15 @@ def windows(grams: Column, known: Column, threshold: float) -> Column:
             return bound(F.slice(grams, s + 1, e - s + 1), lambda x: bound(F.size(F.array_intersect(x, t["grams"])), lambda both: bound(2.0 * both / (F.size(F.array_distinct(x)) + n), lambda dice: F.struct((-both * dice).alias("less"), s.alias("first"), e.alias("last"), t["license"].alias("license"), dice.alias("dice")))))
 
         def pairs(h: Column) -> Column:
-            starts = F.filter(h, lambda v, k: F.coalesce(F.get(h, k - 1) != v - 1, F.lit(True)))
-            ends = F.filter(h, lambda v, k: F.coalesce(F.get(h, k + 1) != v + 1, F.lit(True)))
-            runs = F.arrays_zip(starts.alias("s"), ends.alias("e"))
-            return bound(runs, lambda r: F.flatten(F.transform(r, lambda x: F.transform(F.filter(r, lambda y: (y["s"] >= x["s"]) & (y["s"] - x["e"] <= t["reach"])), lambda y: compared(x["s"], y["e"])))))
+            # Each run with its first and last place and the numbers of the hits there.
+            numbered = F.transform(h, lambda v, k: F.struct(v.alias("at"), k.alias("k")))
+            starts = F.transform(F.filter(numbered, lambda v: F.coalesce(F.get(h, v["k"] - 1) != v["at"] - 1, F.lit(True))), lambda v: F.struct(v["at"].alias("s"), v["k"].alias("from")))
+            ends = F.transform(F.filter(numbered, lambda v: F.coalesce(F.get(h, v["k"] + 1) != v["at"] + 1, F.lit(True))), lambda v: F.struct(v["at"].alias("e"), v["k"].alias("to")))
+            runs = F.zip_with(starts, ends, lambda x, y: F.struct(x["s"].alias("s"), y["e"].alias("e"), x["from"].alias("from"), y["to"].alias("to")))
+            # Runs are in order and apart, so of those that follow one no more than ``reach`` begin within its reach: the work grows with the text, not with its
+            # square. A match has ``low`` hits at least.
+            near = lambda r, x, i: F.filter(F.slice(r, i + 1, t["reach"] + 2), lambda y: (y["s"] - x["e"] <= t["reach"]) & (y["to"] - x["from"] + 1 >= t["low"]))
+            return bound(runs, lambda r: F.flatten(F.transform(r, lambda x, i: F.transform(near(r, x, i), lambda y: compared(x["s"], y["e"])))))
 
         return F.when(F.size(F.array_intersect(grams, t["grams"])) >= t["low"], F.filter(bound(hits, pairs), lambda c: c["dice"] >= threshold)).otherwise(F.array().cast("array<struct<less:double,first:int,last:int,license:string,dice:double>>"))
 
