@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from cladeframe.llm.common import ensure_checkpoint_dir, released
 
 #: A block has at most so many bytes of text, or one text.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: Phrases of a language are ranked in so many parts of so many parts first.
 PARTS = 64
 _KIND = np.zeros(256, np.uint8)  # by byte: 0 of a word, 1 between words, 2 between pieces
@@ -226,10 +226,10 @@ def frequent_phrases(df: DataFrame, least: int, longest: int, text_col: str = "t
     total = counted.groupBy("lang").agg(F.sum("n").alias("n"))
 
     def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
-        """The rows of frequent keys with f and id: the number of the key's row that has the least."""
+        """The rows of frequent keys with f and id: the least number of the key's rows. Rows are numbered where they are sorted, so that numbers aren't shuffled."""
         w = W.partitionBy(*keys)
-        x = rows.withColumn("row", F.monotonically_increasing_id())
-        return x.withColumn("f", F.sum("n").over(w)).withColumn("id", F.min("row").over(w)).where(F.col("f") >= least)
+        x = rows.withColumn("f", F.sum("n").over(w)).where(F.col("f") >= least)
+        return x.withColumn("row", F.monotonically_increasing_id()).withColumn("id", F.min("row").over(w))
 
     first = numbered(counted, ["lang", "word"])
     leads = F.col("row") == F.col("id")
