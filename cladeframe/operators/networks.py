@@ -5,6 +5,8 @@ A network is a table (its variables, lp) for each family: a child with its paren
 
 from __future__ import annotations
 
+import itertools
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -66,8 +68,12 @@ def _restricted(table: DataFrame, seen: DataFrame, known: list[str]) -> DataFram
     return table.join(seen.select(*shared).distinct(), shared, "left_semi") if shared else table
 
 
-def _expected(tables: dict[str, DataFrame], known: list[str], seen: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Expected counts (n) by family, and the log-likelihood (ll) of the rows of one pattern."""
+#: If a pattern's unknown variables have together at most so many combinations of values, they are kept with the known ones in one table, of which all families are sums.
+JOINT_VALUES = 256
+
+
+def _expected(tables: dict[str, DataFrame], known: list[str], seen: DataFrame, values: dict[str, int]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Expected counts (n) by family, and the log-likelihood (ll) of the rows of one pattern. ``values``: how many each variable has."""
     narrowed = {v: _restricted(t, seen, known) for v, t in tables.items()}
     base = seen.select(*known, F.lit(0.0).alias(VALUE))
     hidden = sorted({c for t in tables.values() for c in variables(t)} - set(known))
@@ -87,6 +93,16 @@ def _expected(tables: dict[str, DataFrame], known: list[str], seen: DataFrame) -
             done = near if done is None else product(done, near)
         return done
 
+    if hidden and math.prod(values[h] for h in hidden) <= JOINT_VALUES:
+        both = joint(hidden)
+        total = marginal(both, known).withColumnRenamed(VALUE, "__z")
+        met = both.join(total, known).join(seen, known) if known else both.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(seen))  # one row each
+        met = checkpointed(met.where(F.col("__z") > float("-inf")))
+        share = F.exp(F.col(VALUE) - F.col("__z"))
+        ll = met.agg(F.sum(F.col("__n") * share * F.col("__z")).alias("ll"))  # (the shares of a row's completions sum to 1)
+        lost = (seen.join(met.select(*known).distinct(), known, "left_anti") if known else seen.limit(0)).agg(F.when(F.count(F.lit(1)) > 0, float("-inf")).alias("none"))
+        ll = ll.crossJoin(F.broadcast(lost)).select(F.coalesce("none", "ll").alias("ll"))  # one row each
+        return {v: met.groupBy(*variables(t)).agg(F.sum(F.col("__n") * share).alias("__n")) for v, t in tables.items()}, ll
     total = joint([]) if hidden else None
     counts = {}
     for v, t in tables.items():
@@ -111,14 +127,16 @@ def learn(rows: DataFrame, tables: dict[str, DataFrame], rounds: int, pseudo: fl
 
     ``rows``: a column for each variable that is ever known, null where it isn't; variables without a column are never known. ``tables``: by child, its
     family's variables and ``lp``, for every combination of values that may occur (values that a table lacks have chance 0). Rows alike in what is known are
-    counted once; each pattern of known variables is eliminated for itself, a family at a time, and a round's new tables are one checkpoint. Parent
+    counted once; each pattern of known variables is eliminated for itself, at once where its unknown ones have few values (JOINT_VALUES), else a family at a
+    time, and each family's new table is a checkpoint. Parent
     values that nothing speaks of keep their shares; ``pseudo`` is added to every expected count. Rows without any known value add nothing but their number.
     """
     columns = [c for c in sorted({c for t in tables.values() for c in variables(t)}) if c in rows.columns]
     seen = patterns(rows, columns)
     tables, likelihoods = {v: checkpointed(t) for v, t in tables.items()}, []
+    values = {v: t.select(v).distinct().count() for v, t in tables.items()}
     for _ in range(rounds):
-        found = [_expected(tables, known, part) for known, part in seen]
+        found = [_expected(tables, known, part, values) for known, part in seen]
         likelihoods.append(sum(x for _, ll in found if (x := ll.first()[0]) is not None))
         new = {}
         for v, t in tables.items():
@@ -137,9 +155,6 @@ def learn(rows: DataFrame, tables: dict[str, DataFrame], rounds: int, pseudo: fl
 
 def noisy_or_table(spark, child: str, causes: list[str], leak: float, strengths: list[float]) -> DataFrame:
     """The family of a noisy-or: the child is on unless every cause that is on, and the leak, fail to turn it on. Booleans; 2^(causes + 1) rows."""
-    import itertools
-    import math
-
     data = []
     for on in itertools.product((False, True), repeat=len(causes)):
         fails = (1 - leak) * math.prod(1 - s for s, x in zip(strengths, on) if x)

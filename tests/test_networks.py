@@ -53,13 +53,15 @@ def test_explanation_without_any_chance_is_empty(spark):
     assert networks.explanation([tie], ["a"]).first().a == 0
 
 
-def test_em_over_a_network_is_that_of_all_completions(spark):
+@pytest.mark.parametrize("limit", [256, 1])
+def test_em_over_a_network_is_that_of_all_completions(spark, monkeypatch, limit):
+    monkeypatch.setattr(networks, "JOINT_VALUES", limit)
     arrays, tables = _tables(spark, 3)
     rng = np.random.default_rng(7)
     rows = [tuple(None if rng.random() < 0.3 else int(rng.integers(SIZES[v])) for v in "abc") for _ in range(60)] + [(None, None, None)]
-    got, seen = networks.learn(spark.createDataFrame(rows, "a int, b int, c int"), tables, 3, pseudo=0.1)
+    got, seen = networks.learn(spark.createDataFrame(rows, "a int, b int, c int"), tables, 2, pseudo=0.1)
     want, likelihood = arrays, []
-    for _ in range(3):
+    for _ in range(2):
         counts, ll = {v: np.zeros_like(x) for v, x in want.items()}, 0.0
         for row in rows:
             fits = [x for x in _all() if all(o is None or x[v] == o for v, o in zip("abc", row))]
