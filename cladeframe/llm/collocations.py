@@ -14,33 +14,56 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cladeframe.llm import tokens
 from cladeframe.llm.common import ensure_checkpoint_dir, released
 
 #: A block has at most so many bytes of text, or one text.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
+#: Words and phrases are counted in shards by hash, one for about so many bytes of text.
+SHARD_BYTES = 8 << 20
 #: Phrases of a language are ranked in so many parts of so many parts first.
 PARTS = 64
 _KIND = np.zeros(256, np.uint8)  # by byte: 0 of a word, 1 between words, 2 between pieces
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
-#: A row of a word has its count in a block; the row of word -1 has the block's lists.
-LISTS = "block long, w int, lang string, word string, n long, lists binary"
+#: A block's lists, or its words of one language and shard, with their numbers in the block and their counts.
+LISTS = "block long, shard long, lang string, words binary, counts binary, lists binary"
 
 
-def _squeezed(x: np.ndarray) -> bytes:
-    """Unsigned 32-bit integers, byte planes apart, so that small ones take little room."""
-    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers as byte planes, so that small ones take little room; what ascends goes by its steps."""
+    parts = [len(columns[0]).to_bytes(8, "little")]
+    for c in columns:
+        x = np.ascontiguousarray(c, dtype=np.int64)
+        rising = bool(len(x)) and bool((x[1:] >= x[:-1]).all())
+        x = np.diff(x, prepend=0) if rising else x
+        parts += [bytes([rising]), np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()]
+    return zstandard.compress(b"".join(parts), 1)
 
 
-def _unsqueezed(x: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(x), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1).view("<u4").astype(np.int64)
+def unpacked(data: bytes, k: int) -> list[np.ndarray]:
+    raw = zstandard.decompress(data)
+    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
+    for _ in range(k):
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at + 1).reshape(8, -1).T).reshape(-1).view(np.int64)
+        out.append(np.cumsum(x) if raw[at] else x)
+        at += 1 + 8 * n
+    return out
+
+
+def _shards(keys: list[np.ndarray], shards: int) -> np.ndarray:
+    """The shard of each row of keys."""
+    h = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        h = tokens.mixed(h * np.uint64(0x9E3779B97F4A7C15) + k.astype(np.uint64))
+    return (h % np.uint64(shards)).astype(np.int64)
 
 
 def positioned(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -72,14 +95,15 @@ def positioned(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return flat, np.searchsorted(ends, starts, "right") - 1, positions
 
 
-def _block(block: int, texts: pa.Array, langs: pa.Array) -> pa.RecordBatch | None:
+def _block(block: int, texts: pa.Array, langs: pa.Array, shards: int) -> pa.RecordBatch | None:
     """A block's rows of LISTS."""
     flat, owner, positions = positioned(texts)
     if not len(flat):
         return None
     words = flat.dictionary_encode()
     lang = pc.fill_null(langs, "und").dictionary_encode()
-    key = np.asarray(words.indices, dtype=np.int64) * len(lang.dictionary) + np.asarray(lang.indices, dtype=np.int64)[owner]
+    nl = len(lang.dictionary)
+    key = np.asarray(words.indices, dtype=np.int64) * nl + np.asarray(lang.indices, dtype=np.int64)[owner]
     order = np.argsort(key, kind="stable")  # positions within a key stay in ascending order
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -87,22 +111,24 @@ def _block(block: int, texts: pa.Array, langs: pa.Array) -> pa.RecordBatch | Non
     listed = positions[order]
     steps = np.concatenate([[0], np.diff(listed)])
     steps[first] = listed[first]
-    kinds, n = key[first], len(first)
-    packed = _squeezed(sizes)
-    lists = len(packed).to_bytes(8, "little") + packed + _squeezed(steps)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(n + 1, block)), pa.array(np.concatenate([np.arange(n), [-1]]).astype(np.int32)),
-            pa.concat_arrays([lang.dictionary.take(pa.array(kinds % len(lang.dictionary))), pa.array([None], pa.string())]),
-            pa.concat_arrays([words.dictionary.take(pa.array(kinds // len(lang.dictionary))).cast(pa.binary()).cast(pa.string()), pa.array([None], pa.string())]),
-            pa.array(np.concatenate([sizes, [0]])), pa.array([*[None] * n, lists], pa.binary()),
-        ],
-        names=["block", "w", "lang", "word", "n", "lists"],
-    )
-
-
-def positional_lists(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows of LISTS: for each block of documents and each of its words in a language the count, and for each block the packed lists."""
+    of_word, of_lang = key[first] // nl, key[first] % nl
+    said = words.dictionary.to_pylist()
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in said), np.uint64, len(said))
+    shard = _shards([hashes[of_word], np.fromiter(map(xxhash.xxh3_64_intdigest, lang.dictionary.to_pylist()), np.uint64, nl)[of_lang]], shards)
+    out: list[tuple] = [(block, -1, None, None, packed(sizes), packed(steps))]
+    group = shard * nl + of_lang
+    by = np.lexsort((np.argsort(np.argsort(np.array(said, object)))[of_word], group))
+    cuts = np.flatnonzero(np.concatenate([[True], group[by][1:] != group[by][:-1], [True]]))
+    names = lang.dictionary.to_pylist()
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        rows = by[i:j]  # a shard's words of a language, in order
+        out.append((block, int(shard[rows[0]]), names[of_lang[rows[0]]], zstandard.compress(b"\n".join([said[k] for k in of_word[rows].tolist()]), 1), packed(rows, sizes[rows]), None))
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["block", "shard", "lang", "words", "counts", "lists"])
+
+
+def positional_lists(df: DataFrame, shards: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Rows of LISTS: for each block of documents its packed lists (shard -1), and its words by shard and language."""
 
     def run(batches):
         ctx = TaskContext.get()
@@ -112,7 +138,7 @@ def positional_lists(df: DataFrame, text_col: str = "text", lang_col: str = "lan
 
         def flushed():
             nonlocal held, size, block
-            out = _block(block, pa.concat_arrays([b.column(0).cast(pa.large_string()) for b in held]), pa.concat_arrays([b.column(1) for b in held]))
+            out = _block(block, pa.concat_arrays([b.column(0).cast(pa.large_string()) for b in held]), pa.concat_arrays([b.column(1) for b in held]), shards)
             held, size, block = [], 0, block + 1
             return out
 
@@ -144,10 +170,9 @@ def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(f"{folder}/{name}")
 
 
-def _list_positions(lists: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _list_positions(counts: bytes, lists: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The word number of every listed position, and the positions."""
-    n = int.from_bytes(lists[:8], "little")
-    sizes, steps = _unsqueezed(lists[8 : 8 + n]), _unsqueezed(lists[8 + n :])
+    (sizes,), (steps,) = unpacked(counts, 1), unpacked(lists, 1)
     total = np.cumsum(steps)
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     return np.repeat(np.arange(len(sizes)), sizes), total - np.repeat(total[first] - steps[first], sizes)
@@ -158,8 +183,8 @@ def _numbered(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.searchsorted(sorted_values, x)
 
 
-def extended(lists: bytes, level: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The phrases of ``size`` words that a block's lists hold: number of the phrase without its last word, number of that word, occurrences.
+def extended(listed: tuple[np.ndarray, np.ndarray], level: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The phrases of ``size`` words that a block's lists (word numbers and positions) hold: number of the phrase without its last word, number of that word, occurrences.
 
     ``level``, ``a``, ``b``, ``ids`` are the block's frequent words (level 1: ``a`` the word in the block, ``ids`` its number) and frequent phrases of fewer words
     than ``size`` (``a`` and ``b`` as in the result, ``ids`` the phrase's number).
@@ -169,7 +194,7 @@ def extended(lists: bytes, level: np.ndarray, a: np.ndarray, b: np.ndarray, ids:
     by_id = np.argsort(word_ids)
     word_ids = word_ids[by_id]
     place[a[own][by_id]] = np.arange(len(word_ids))
-    word, positions = _list_positions(lists)
+    word, positions = listed
     here = word < len(place)
     word, positions = place[word[here]], positions[here]
     word, positions = word[word >= 0], positions[word >= 0]
@@ -198,15 +223,72 @@ def extended(lists: bytes, level: np.ndarray, a: np.ndarray, b: np.ndarray, ids:
     return phrase_ids[keys // m], word_ids[keys % m], n
 
 
-def _extending(size: int):
-    """The step that takes a block's lists and its frequent words and phrases to its phrases of ``size`` words."""
+def _counted(least: int, level: int):
+    """The step that sums a shard's counts over blocks: frequent words or phrases with new numbers (id, f and what they are made of), and for each block
+    the packed ones that it has (a, b, id)."""
+
+    def run(key, part):
+        shard = key[0].as_py()
+        names = ["block", "level", "known", "id", "f", "lang", "word", "a", "b"]
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        blocks = np.asarray(part.column("block"), dtype=np.int64)
+        if level == 1:
+            langs = part.column("lang").combine_chunks().dictionary_encode()
+            rows = [unpacked(x, 2) for x in part.column("counts").to_pylist()]
+            size = np.array([len(r[0]) for r in rows])
+            a, n = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+            words = pa.array([w for x in part.column("words").to_pylist() for w in zstandard.decompress(x).split(b"\n")], pa.large_binary()).dictionary_encode()
+            b = np.zeros(len(a), np.int64)
+            code = np.asarray(words.indices, dtype=np.int64) * len(langs.dictionary) + np.repeat(np.asarray(langs.indices, dtype=np.int64), size)
+        else:
+            rows = [unpacked(x, 3) for x in part.column("counts").to_pylist()]
+            size = np.array([len(r[0]) for r in rows])
+            a, b, n = (np.concatenate([r[k] for r in rows]) for k in (0, 1, 2))
+            heads, x = np.unique(a, return_inverse=True)
+            lasts, y = np.unique(b, return_inverse=True)
+            code = x * len(lasts) + y
+        kinds_of, own = np.unique(code, return_inverse=True)
+        total = np.zeros(len(kinds_of), np.int64)
+        np.add.at(total, own, n)
+        often = total >= least
+        number = np.where(often, np.cumsum(often) - 1, -1)
+        ids, f = (shard << 32) + np.arange(int(often.sum())), total[often]
+        kept, none = kinds_of[often], [None] * int(often.sum())
+        if level == 1:
+            said = words.dictionary.take(pa.array(kept // len(langs.dictionary))).cast(pa.binary()).cast(pa.string())
+            new = [none, none, none, ids, f, langs.dictionary.take(pa.array(kept % len(langs.dictionary))), said, none, none]
+        else:
+            new = [none, none, none, ids, f, none, none, heads[kept // len(lasts)], lasts[kept % len(lasts)]]
+        told = pa.table([pa.array(c, t) if not isinstance(c, pa.Array) else c.cast(t) for c, t in zip(new, kinds)], names=names)
+        back, stop = [], np.cumsum(size)
+        for block, j, k in zip(blocks.tolist(), stop.tolist(), size.tolist()):
+            here = number[own[j - k : j]]
+            if (here >= 0).any():
+                at = np.flatnonzero(here >= 0) + j - k
+                back.append((block, level, packed(a[at], b[at], (shard << 32) + number[own[at]]), *[None] * 6))
+        return pa.concat_tables([told, pa.table([pa.array([r[i] for r in back], t) for i, t in enumerate(kinds)], names=names)])
+
+    return run
+
+
+_COUNTED = "block long, level int, known binary, id long, f long, lang string, word string, a long, b long"
+
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        col = lambda c: np.asarray(right.column(c).combine_chunks(), dtype=np.int64)
-        out = [np.zeros(0, np.int64)] * 3
+def _extending(size: int, shards: int):
+    """The step that takes a block's lists and its frequent words and phrases to its phrases of ``size`` words, packed by shard."""
+
+    def run(key, left, right):
+        out: list[tuple[int, bytes]] = []
         if left.num_rows and right.num_rows:
-            out = extended(left.column("lists")[0].as_py(), col("level"), col("a"), col("b"), col("id"), size)
-        return pa.table({"block": np.full(len(out[0]), key[0].as_py(), np.int64), "a": out[0], "b": out[1], "n": out[2].astype(np.int64)})
+            parts = [(lv, *unpacked(x, 3)) for lv, x in zip(right.column("level").to_pylist(), right.column("known").to_pylist())]
+            level = np.concatenate([np.full(len(p[1]), p[0]) for p in parts])
+            known = [np.concatenate([p[k] for p in parts]) for k in (1, 2, 3)]
+            a, b, n = extended(_list_positions(left.column("counts")[0].as_py(), left.column("lists")[0].as_py()), level, *known, size)
+            shard = _shards([a, b], shards)
+            by = np.lexsort((b, a, shard))
+            cuts = np.flatnonzero(np.concatenate([[True], shard[by][1:] != shard[by][:-1], [True]])) if len(by) else np.zeros(1, int)
+            out = [(int(shard[by[i]]), packed(a[by[i:j]], b[by[i:j]], n[by[i:j]])) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        return pa.table({"shard": pa.array([s for s, _ in out], pa.int64()), "block": pa.array(np.full(len(out), key[0].as_py()), pa.int64()), "counts": pa.array([c for _, c in out], pa.binary())})
 
     return run
 
@@ -221,33 +303,28 @@ def frequent_phrases(df: DataFrame, least: int, longest: int, text_col: str = "t
     for words, lang and word, for longer ones a (id of the phrase without the last word) and b (id of that word)."""
     spark = df.sparkSession
     folder = _folder(spark)
-    lists = _stored(positional_lists(df, text_col, lang_col), folder, "lists")
-    counted = lists.where("w >= 0").select("block", "w", "lang", "word", "n")
-    total = counted.groupBy("lang").agg(F.sum("n").alias("n"))
-
-    def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
-        """The rows of frequent keys with f and id: the least number of the key's rows. Rows are numbered where they are sorted, so that numbers aren't shuffled."""
-        w = W.partitionBy(*keys)
-        x = rows.withColumn("f", F.sum("n").over(w)).where(F.col("f") >= least)
-        return x.withColumn("row", F.monotonically_increasing_id()).withColumn("id", F.min("row").over(w))
-
-    first = numbered(counted, ["lang", "word"])
-    leads = F.col("row") == F.col("id")
-    words = _stored(first.select("block", F.lit(1).alias("level"), F.col("w").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "id", *(F.when(leads, F.col(c)).alias(c) for c in ("lang", "word", "f"))), folder, "level1")
-    levels, known = [words.where("word IS NOT NULL").select("id", "f", "lang", "word")], words.select("block", "level", "a", "b", "id")
-    packed = lists.where("w = -1").select("block", "lists")
-    for size in range(2, longest + 1):
-        found = packed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_extending(size), "block long, a long, b long, n long")
-        if size == longest:
-            levels.append(_stored(found.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "f", "a", "b"), folder, f"level{size}"))
-        else:
-            kept = numbered(found, ["a", "b"])
-            here = _stored(kept.select("block", F.lit(size).alias("level"), "a", "b", "id", F.when(leads, F.col("f")).alias("f")), folder, f"level{size}")
-            levels.append(here.where("f IS NOT NULL").select("id", "f", "a", "b"))
-            known = known.unionByName(here.select("block", "level", "a", "b", "id"))
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
+    lists = _stored(positional_lists(df, shards, text_col, lang_col), folder, "lists")
+    total = lists.where("shard >= 0").select("lang", "counts").mapInArrow(_totals, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+    blocks = lists.where("shard = -1").select("block", "counts", "lists")
+    counts, known, levels = lists.where("shard >= 0").select("shard", "block", "lang", "words", "counts"), None, []
+    for k in range(1, longest + 1):
+        if k > 1:
+            counts = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_extending(k, shards), "shard long, block long, counts binary")
+        made = _stored(counts.groupBy("shard").applyInArrow(_counted(least, k), _COUNTED), folder, f"level{k}")
+        levels.append(made.where("id IS NOT NULL").select("id", "f", *(("lang", "word") if k == 1 else ("a", "b"))))
+        here = made.where("block IS NOT NULL").select("block", "level", "known")
+        known = here if known is None else known.unionByName(here)
     return total, levels
 
 
+def _totals(batches):
+    """How many words each row of a language stands for."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([int(unpacked(x, 2)[1].sum()) for x in batch.column("counts").to_pylist()], pa.int64())], names=["lang", "n"])
+
+
 def collocations(df: DataFrame, least: int = 10, longest: int = 3, inside_percent: int = 50, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` phrases of each language by score, then a, both descending, then phrase.
 

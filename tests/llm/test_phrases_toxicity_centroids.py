@@ -181,6 +181,7 @@ def _phrases(docs, least, longest, percent, top):
 @pytest.mark.parametrize("block,longest", [(12 << 20, 3), (300, 3), (300, 4)])
 def test_phrases_in_blocks_of_any_size(spark, monkeypatch, block, longest):
     monkeypatch.setattr(collocations, "BLOCK_BYTES", block)
+    monkeypatch.setattr(collocations, "SHARD_BYTES", block)  # as many shards as blocks
     r = random.Random(11)
     kinds = ["Alpha", "beta", "GAMMA", "d\xe9lta", "\xc9PSILON", "zeta", "a", " x"]
     docs = [(r.choice(["en", "de", None]), "".join(r.choice(kinds) + r.choice([" ", " ", "  ", "\t", ". ", "\n", "! "]) for _ in range(r.randrange(60)))) for _ in range(80)]
