@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeframe.plans import ancestor_queries, factor_queries, graph_queries, interval_queries, network_queries, numeric_queries, search_queries, statistics_queries, structure_queries, table_queries, tree_queries
+from cladeframe.plans import ancestor_queries, factor_queries, graph_queries, interval_queries, mixture_queries, model_queries, network_queries, numeric_queries, search_queries, statistics_queries, structure_queries, table_queries, tree_queries
 
-_MODULES = (factor_queries, interval_queries, statistics_queries, numeric_queries, table_queries, tree_queries, graph_queries, structure_queries, search_queries, ancestor_queries, network_queries)
+_MODULES = (factor_queries, interval_queries, statistics_queries, numeric_queries, table_queries, tree_queries, graph_queries, structure_queries, search_queries, ancestor_queries, network_queries, model_queries, mixture_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
