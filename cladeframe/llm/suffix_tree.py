@@ -7,7 +7,7 @@ ones. A context joins the tree if it is frequent enough and its smoothed next-sy
 parent's (likelihood-ratio gain); rare next symbols are left to the parent, with the mass that makes each
 distribution sum to 1. Scoring takes the longest suffix in the tree.
 
-The tree grows with the corpus. It is dealt by the last two symbols of the contexts to pieces of at most PIECE entries; a pass over the texts has one
+The tree grows with the corpus. It is dealt by the last two symbols of the contexts, or three where two have more, to pieces of at most PIECE entries; a pass over the texts has one
 piece and scores the symbols whose contexts lie in it, so a small tree is one pass and a larger one a few, without a shuffle of windows. The
 word counts of the unigram base are joined, but for the words of a share of FREQUENT and more of all tokens, of which there can be no more
 than 1 / FREQUENT.
@@ -185,32 +185,67 @@ def _collected(tree: DataFrame, depth: int) -> Tree:
     return Tree(*(np.asarray(rows[c]) for c in ("depth", "key", "p")), depth)
 
 
-def _last_two(depth: Column, key: Column) -> Column:
-    """The last two symbols of an entry's context; null for contexts that are shorter."""
-    ctx = F.when(key < 0, -1 - key).otherwise(F.shiftrightunsigned(key, 8))
-    return F.when(depth >= 2, ctx.bitwiseAND(0xFFFF)).cast("int")
-
-
-def pieces(tree: DataFrame, limit: int = PIECE) -> np.ndarray:
-    """The piece (from 0) of each pair of last symbols: as many pairs together as have at most ``limit`` entries."""
-    n = np.zeros(1 << 16, np.int64)
-    rows = tree.groupBy(_last_two(F.col("depth"), F.col("key")).alias("g")).agg(F.count(F.lit(1)).alias("n")).where("g IS NOT NULL").toArrow()  # 65536 rows at most
-    n[np.asarray(rows["g"])] = np.asarray(rows["n"])
-    out, at, load = np.zeros(1 << 16, np.int64), 0, 0
-    for g in np.flatnonzero(n).tolist():
-        if load and load + n[g] > limit:
-            at, load = at + 1, 0
-        out[g], load = at, load + n[g]
-    return out
+def _context(key: Column) -> Column:
+    return F.when(key < 0, -1 - key).otherwise(F.shiftrightunsigned(key, 8))
 
 
-def _piece(tree: DataFrame, which: np.ndarray, b: int, depth: int) -> Tree:
-    """A piece and the short contexts, which all have."""
-    if not which.any():
-        return _collected(tree, depth)
-    mine = tree.sparkSession.createDataFrame(pa.table({"g": pa.array(np.flatnonzero(which == b), pa.int32())}))
-    g = _last_two(F.col("depth"), F.col("key"))
-    return _collected(tree.withColumn("g", g).join(F.broadcast(mine), "g", "left_semi").drop("g").unionByName(tree.where(g.isNull())), depth)
+def _last_two(depth: Column, key: Column) -> Column:
+    """The last two symbols of an entry's context; null for contexts that are shorter."""
+    return F.when(depth >= 2, _context(key).bitwiseAND(0xFFFF)).cast("int")
+
+
+def _third(depth: Column, key: Column) -> Column:
+    """The symbol before those; null for contexts of two."""
+    return F.when(depth >= 3, F.shiftrightunsigned(_context(key), 16).bitwiseAND(0xFF)).cast("int")
+
+
+class Pieces:
+    """Which piece of the tree (from 0) scores a window: by the last two symbols of its context, or the last three where those two have more than ``limit`` entries."""
+
+    def __init__(self, tree: DataFrame, limit: int = PIECE):
+        g, t = _last_two(F.col("depth"), F.col("key")).alias("g"), _third(F.col("depth"), F.col("key")).alias("t")
+        rows = tree.groupBy(g).agg(F.count(F.lit(1)).alias("n")).where("g IS NOT NULL").toArrow()  # 65536 rows at most
+        n = dict(zip(rows["g"].to_pylist(), rows["n"].to_pylist()))
+        self.heavy = sorted(k for k, v in n.items() if v > limit)
+        parts: list[tuple[int, int | None, int]] = [(k, None, v) for k, v in n.items() if v <= limit]
+        for at in range(0, len(self.heavy), 256):  # at most 256 symbols each
+            some = self.heavy[at : at + 256]
+            rows = tree.groupBy(g, t).agg(F.count(F.lit(1)).alias("n")).where(F.col("g").isin(some) & F.col("t").isNotNull()).toArrow()
+            parts += list(zip(rows["g"].to_pylist(), rows["t"].to_pylist(), rows["n"].to_pylist()))
+        self.pair = np.zeros(1 << 16, np.int64)
+        self.third = np.zeros((len(self.heavy), 256), np.int64)
+        self.pair[self.heavy] = -1 - np.arange(len(self.heavy))
+        at, load = 0, 0
+        for k, third, v in sorted(parts, key=lambda p: (p[0], -1 if p[1] is None else p[1])):
+            if load and load + v > limit:
+                at, load = at + 1, 0
+            load += v
+            if third is None:
+                self.pair[k] = at
+            else:
+                self.third[-1 - self.pair[k], third] = at
+        self.count = at + 1
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The piece of each packed window."""
+        out = self.pair[(keys >> 8) & 0xFFFF]
+        many = out < 0
+        if many.any():
+            out[many] = self.third[-1 - out[many], (keys[many] >> 24) & 0xFF]
+        return out
+
+    def tree(self, tree: DataFrame, b: int, depth: int) -> Tree:
+        """A piece, collected, with the shorter contexts of all that it scores."""
+        if self.count == 1:
+            return _collected(tree, depth)
+        spark = tree.sparkSession
+        light = [(k, -1) for k in np.flatnonzero(self.pair == b).tolist()]
+        split = [(g, t) for h, g in enumerate(self.heavy) for t in np.flatnonzero(self.third[h] == b).tolist()]
+        split += [(g, -2) for g in {g for g, _ in split}]  # contexts of the two symbols alone
+        mine = spark.createDataFrame(light + split, "g int, t int")
+        g, t = _last_two(F.col("depth"), F.col("key")), _third(F.col("depth"), F.col("key"))
+        named = tree.withColumn("g", g).withColumn("t", F.when(F.col("g").isin(self.heavy), F.coalesce(t, F.lit(-2))).otherwise(-1) if self.heavy else F.lit(-1))
+        return _collected(named.join(F.broadcast(mine), ["g", "t"], "left_semi").drop("g", "t").unionByName(tree.where(g.isNull())), depth)
 
 
 # --- scoring
@@ -240,20 +275,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     often = words.where(F.col("c") >= F.lit(max(1.0, n * FREQUENT))).toArrow()
     sc = docs.sparkSession.sparkContext
     frequent = sc.broadcast(dict(zip(often["word"].to_pylist(), often["c"].to_pylist())))
-    which = pieces(tree, piece)
+    which = Pieces(tree, piece)
 
     def tree_scores(held, b: int, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Each text's sum over the symbols whose contexts lie in piece ``b``."""
-        if not which.any():
+        if which.count == 1:
             coded = pa.array(keys).dictionary_encode()
             return np.add.reduceat(held.log10(np.asarray(coded.dictionary))[np.asarray(coded.indices)], starts)
-        mine = np.flatnonzero(which[(keys >> 8) & 0xFFFF] == b)
+        mine = np.flatnonzero(which.of(keys) == b)
         known, at = np.unique(keys[mine], return_inverse=True)
         each = np.zeros(len(keys))
         each[mine] = held.log10(known)[at]
         return np.add.reduceat(each, starts)
 
-    first = sc.broadcast(_piece(tree, which, 0, depth))
+    first = sc.broadcast(which.tree(tree, 0, depth))
 
     def run(batches):
         for batch in batches:
@@ -272,11 +307,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     hashed = base.withColumn("text_hash", F.xxhash64("text"))
     rows = hashed.select("doc_id", "held_out", "text_hash", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, text_hash long, n_tokens long, n_often long, often double, score double, rare array<binary>")
     rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
+    first.destroy()
+    frequent.destroy()
     rest = rows.select("row", F.explode("rare").alias("w")).join(words.select(F.col("word").alias("w"), "c"), "w", "left")
     rest = rest.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("seldom"), F.count("c").alias("n_seldom"))
     x = rows.join(rest, "row", "left")
-    for b in range(1, int(which.max()) + 1):
-        held = sc.broadcast(_piece(tree, which, b, depth))
+    for b in range(1, which.count):
+        held = sc.broadcast(which.tree(tree, b, depth))
 
         def more(batches, b=b, held=held):
             for batch in batches:
@@ -286,6 +323,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
         # Rows alike in id and text have one score, so those two name it.
         added = checkpointed(hashed.select("doc_id", "text_hash", "text").mapInArrow(more, f"id {kind}, th long, more double").groupBy("id", "th").agg(F.max("more").alias("more")))
+        held.destroy()
         x = x.join(added, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_hash").eqNullSafe(F.col("th")), "left").withColumn("score", F.col("score") + F.col("more")).drop("id", "th", "more")
     total = F.log10(F.lit(n + 0.1 * (v + 1)))
     end = math.log10(texts + 0.1)

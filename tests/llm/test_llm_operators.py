@@ -131,7 +131,7 @@ def test_suffix_tree_base_and_probabilities(spark):
     assert suffix_tree.score(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("piece", [suffix_tree.PIECE, 40])
+@pytest.mark.parametrize("piece", [suffix_tree.PIECE, 40, 14])
 def test_suffix_tree_scores_are_brute_force(spark, monkeypatch, piece):
     """The tree in dictionaries, grown and read context by context; in one piece and in many, with early flushes."""
     monkeypatch.setattr(suffix_tree, "HELD", 50)
