@@ -23,8 +23,8 @@ DIGITS = 9
 
 
 def gathered(sites: DataFrame) -> DataFrame:
-    """site and ``seen``: its rows' leaves and states, at most a row a leaf of use. Of a leaf's repeated rows the last state in order counts."""
-    return sites.where("site IS NOT NULL").groupBy(F.col("site").cast("long").alias("site")).agg(F.sort_array(F.collect_list(F.struct(F.col("leaf").cast("string").alias("leaf"), F.col("state").cast("string").alias("state")))).alias("seen"))
+    """site and ``seen``: its rows' leaves and states, at most a row a leaf of use. Of a leaf's repeated rows the last state in order counts; a null site is a site of its own."""
+    return sites.groupBy(F.col("site").cast("long").alias("site")).agg(F.sort_array(F.collect_list(F.struct(F.col("leaf").cast("string").alias("leaf"), F.col("state").cast("string").alias("state")))).alias("seen"))
 
 
 def slices(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
@@ -218,7 +218,6 @@ def posterior(codes: np.ndarray, tree: Tree, steps: list[np.ndarray], start: np.
 
 def rows(part: pa.RecordBatch, tree: Tree, nodes: list[int], names: np.ndarray, value: np.ndarray, kind: pa.DataType, label: str, there: np.ndarray | None = None) -> pa.RecordBatch:
     """site, node, state and a value by site, for each of the nodes (that is ``there``). ``names``: (sites, nodes) states as text."""
-    site = np.asarray(part.column("site"))
-    s, j = np.nonzero(np.ones((len(site), len(nodes)), bool) if there is None else there[:, nodes])
+    s, j = np.nonzero(np.ones((part.num_rows, len(nodes)), bool) if there is None else there[:, nodes])
     node = np.array([tree.labels[i] for i in nodes], object)
-    return pa.RecordBatch.from_arrays([pa.array(site[s]), pa.array(node[j], pa.string()), pa.array(names[s, np.array(nodes)[j]], pa.string()), pa.array(value[s].astype(kind.to_pandas_dtype()), kind)], names=["site", "node", "state", label])
+    return pa.RecordBatch.from_arrays([part.column("site").take(pa.array(s)), pa.array(node[j], pa.string()), pa.array(names[s, np.array(nodes)[j]], pa.string()), pa.array(value[s].astype(kind.to_pandas_dtype()), kind)], names=["site", "node", "state", label])

@@ -83,8 +83,8 @@ def closest(queries: DataFrame, stored: DataFrame, on: list[str], query_id: str,
     """For each query interval the best stored one of its group: the largest Jaccard index if any intersects, else the smallest gap;
     ties to the lower, then shorter interval. Queries whose group has none are left out.
 
-    Those that intersect come from :func:`overlap_join`; of the others only the nearest ends on either side can be closest, which one sweep
-    finds. Neither lists the pairs of a group.
+    Those that intersect come from :func:`overlap_join`, so the work is that of all overlaps, which may be many more than the intervals; of the others
+    only the nearest ends on either side can be closest, which one sweep finds.
     """
     s = stored.select(*on, F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi")).where("s_lo <= s_hi")
     q = queries.select(F.col(query_id).alias("__qid"), *on, "lo", "hi")

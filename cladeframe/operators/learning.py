@@ -52,14 +52,15 @@ def latent_class(counts: DataFrame, columns: list[str], k: int, rounds: int = 50
 
     spark = counts.sparkSession
     rows = counts.select(*columns, "n").withColumn("row", F.xxhash64(*columns))
-    longs = reduce(DataFrame.unionByName, [rows.select("row", "n", F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")) for c in columns]).persist()
+    longs = reduce(DataFrame.unionByName, [rows.select("row", "n", F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")) for c in columns])
+    longs = checkpointed(longs)
     classes = spark.range(k).select(F.col("id").cast("int").alias("class"))
     noise = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1000)) / 1000 + 0.5
     r = rows.select("row").distinct().crossJoin(F.broadcast(classes)).withColumn("r", noise("row", "class"))
     for i in range(rounds):
         total = r.groupBy("row").agg(F.sum("r").alias("t"))
         r = r.join(total, "row").select("row", "class", (F.col("r") / F.col("t")).alias("r"))
-        expected = longs.join(r, "row").groupBy("class", "variable", "value").agg(F.sum(F.col("n") * F.col("r")).alias("e")).persist()
+        expected = checkpointed(longs.join(r, "row").groupBy("class", "variable", "value").agg(F.sum(F.col("n") * F.col("r")).alias("e")))
         sums = expected.groupBy("class", "variable").agg(F.sum("e").alias("s"))
         table = expected.join(sums, ["class", "variable"]).select("class", "variable", "value", ((F.col("e") + 1e-6) / (F.col("s") + 1e-6)).alias("p"), "s")
         if i == rounds - 1:

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.operators import columns
 from cladeframe.plans.models import Model, with_gap
 from cladeframe.plans.session import checkpointed
 from cladeframe.plans.tree import Tree
@@ -70,12 +72,16 @@ def _columns(codes: np.ndarray, tree: Tree, model: Model, mu: float, lam: float,
 
 def _coded(sites: DataFrame, tree: Tree, model: Model) -> DataFrame:
     """site and codes: the leaves' letters as numbers in an array, a gap (null, or no row) as -1. A letter outside the alphabet counts as a gap."""
-    tips = [lab for lab, kids in zip(tree.labels, tree.children) if not kids]
-    place = F.create_map(*(x for j, lab in enumerate(tips) for x in (F.lit(lab), F.lit(j))))
-    code = F.create_map(*(x for j, s in enumerate(model.alphabet) for x in (F.lit(s), F.lit(j))))
-    rows = sites.select("site", place[F.col("leaf")].alias("__l"), code[F.col("state")].alias("__c")).groupBy("site", "__l").agg(F.max("__c").alias("__c"))
-    seen = rows.groupBy("site").agg(F.map_from_entries(F.array_agg(F.when(F.col("__l").isNotNull() & F.col("__c").isNotNull(), F.struct("__l", "__c")))).alias("__m"))
-    return seen.select("site", F.transform(F.sequence(F.lit(0), F.lit(len(tips) - 1)), lambda j: F.coalesce(F.try_element_at("__m", j), F.lit(-1))).alias("codes"))
+    tips = tree.leaves
+    known = sites.withColumn("state", F.when(F.col("state").isin(*model.alphabet), F.col("state")))
+
+    def run(batches):
+        for part in columns.slices(batches, len(tree.labels)):
+            codes = columns.coded(part, tree, model.alphabet)[:, tips].astype(np.int32)
+            ends = np.arange(len(codes) + 1, dtype=np.int32) * len(tips)
+            yield pa.RecordBatch.from_arrays([part.column("site"), pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.ravel()))], names=["site", "codes"])
+
+    return columns.gathered(known).mapInArrow(run, "site long, codes array<int>")
 
 
 def column_likelihood(sites: DataFrame, tree: Tree, model: Model, mu: float, lam: float, stay: float) -> DataFrame:

@@ -46,8 +46,7 @@ def parsimony(sites: DataFrame, tree: Tree, default: str | None = None) -> DataF
                 best, score = columns.most_parsimonious(codes[told], tree, columns.used_states(names))
                 i, s, k = np.nonzero(best)
                 state = _named(np.tile(np.arange(best.shape[2]), (len(names), 1)), names)
-                site = np.asarray(part.column("site"))[told]
-                yield pa.RecordBatch.from_arrays([pa.array(site[s]), pa.array(labels[i], pa.string()), pa.array(state[s, k], pa.string()), pa.array(score[s].astype(np.int32))], names=["site", "node", "state", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("site").take(pa.array(told[s])), pa.array(labels[i], pa.string()), pa.array(state[s, k], pa.string()), pa.array(score[s].astype(np.int32))], names=["site", "node", "state", "score"])
 
     return columns.gathered(sites).mapInArrow(run, "site long, node string, state string, score int")
 
@@ -79,8 +78,8 @@ def marginal(sites: DataFrame, tree: Tree, model: Model, node: str, rate: float
     def run(batches):
         for part in columns.slices(batches, n * k):
             p, total = columns.posterior(columns.coded(part, tree, model.alphabet), tree, steps, np.array(model.freqs), at)
-            site = np.repeat(np.asarray(part.column("site")), k)
-            yield pa.RecordBatch.from_arrays([pa.array(site), pa.array(np.tile(letters, len(p)), pa.string()), pa.array(p.ravel()), pa.array(np.repeat(total, k))], names=["site", "state", "p", "log_likelihood"])
+            site = part.column("site").take(pa.array(np.repeat(np.arange(len(p)), k)))
+            yield pa.RecordBatch.from_arrays([site, pa.array(np.tile(letters, len(p)), pa.string()), pa.array(p.ravel()), pa.array(np.repeat(total, k))], names=["site", "state", "p", "log_likelihood"])
 
     return columns.gathered(sites).mapInArrow(run, "site long, state string, p double, log_likelihood double")
 

@@ -21,10 +21,9 @@ def _sites(spark, n=40, letters="ACGT", seed=1, missing=0.2):
     rows += [(None, "a", "A"), (n, None, "A"), (n + 1, "nobody", "C"), (n + 2, "a", None), (3, "a", "A"), (3, "a", "T")]
     by = {}
     for s, leaf, state in sorted(rows, key=lambda x: (x[0] is None, x[0], x[1] or "", x[2] or "")):
-        if s is not None and leaf in TREE.labels:
-            by.setdefault(s, {})[leaf] = state  # of repeated rows the last counts
-        elif s is not None:
-            by.setdefault(s, {})
+        by.setdefault(s, {})
+        if leaf in TREE.labels:
+            by[s][leaf] = state  # of repeated rows the last counts; a null site is one of its own
     return spark.createDataFrame(rows, "site long, leaf string, state string"), by
 
 
