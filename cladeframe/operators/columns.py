@@ -53,6 +53,15 @@ def coded(part: pa.RecordBatch, tree: Tree, alphabet: tuple[str, ...]) -> np.nda
     return out
 
 
+def with_default(codes: np.ndarray, part: pa.RecordBatch, tree: Tree, code: int) -> np.ndarray:
+    """``codes`` with a number for the leaves that have no row; those with a null or unknown state stay unknown."""
+    site, node, _ = _flat(part, tree)
+    silent = np.zeros(codes.shape, bool)
+    silent[:, tree.leaves] = True
+    silent[site, node] = False
+    return np.where(silent, code, codes)
+
+
 def own_states(part: pa.RecordBatch, tree: Tree, default: str | None = None) -> tuple[np.ndarray, list[list[str]]]:
     """(sites, nodes): the number of each leaf's state among those of its site, in order; -1 where unknown. And those states by site. Leaves without a row
     have the state ``default``, if given, in sites that have rows at all."""

@@ -68,7 +68,7 @@ def _solved(n: pd.Series, mean: pd.Series, inside, log_ratio, sign: int) -> pd.D
             continue
         f = log_ratio(int(size))
         s = _slope(int(size), sign * m, f)
-        out.append((s, _tilted(int(size), s, f)[0]))
+        out.append((s, _tilted(int(size), s, f)[0]) if abs(s) < STEEPEST - 1e-9 else (None, None))
     return pd.DataFrame(out, columns=["s", "log_z"], dtype=float)
 
 
@@ -88,8 +88,8 @@ def length_fits(df: DataFrame, value: str, on: list[str]) -> DataFrame:
     """Maximum-likelihood fits by group to whole numbers of 1 and more (other values and nulls are left out): n, top (the largest), and rate
     and log-likelihood of a zero-truncated Poisson, exponent and log-likelihood of a Zipf and of a Lavalette law on 1 .. top.
 
-    If all values are 1 the rate is 0 with log-likelihood 0. An exponent is null where none is best: all values equal the largest. Exponents are sought
-    up to STEEPEST. The time for a group grows with its largest value, the memory doesn't."""
+    If all values are 1 the rate is 0 with log-likelihood 0. An exponent is null where none is best (all values equal the largest) and where it would be steeper
+    than STEEPEST. The time for a group grows with its largest value, the memory doesn't."""
     x = df.where(F.col(value) >= 1).groupBy(*on, F.floor(F.col(value)).cast("long").alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
     tops = x.groupBy(*on).agg(F.max("__x").alias("top"))
     met = [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in on]

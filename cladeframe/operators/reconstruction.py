@@ -51,15 +51,18 @@ def parsimony(sites: DataFrame, tree: Tree, default: str | None = None) -> DataF
     return columns.gathered(sites).mapInArrow(run, "site long, node string, state string, score int")
 
 
-def joint(sites: DataFrame, tree: Tree, model: Model, rate: float = 1.0) -> DataFrame:
+def joint(sites: DataFrame, tree: Tree, model: Model, rate: float = 1.0, default: str | None = None) -> DataFrame:
     """site, node, state, log_likelihood: the jointly most probable states of the inner nodes, by max-product; ties (to nine digits) to the earlier
-    state of the alphabet. States outside the alphabet count as unknown."""
+    state of the alphabet. States outside the alphabet count as unknown. Leaves without a row have the state ``default``, or are unknown."""
     steps, start = _log_steps(tree, model, rate)
     inner, letters, n, k = _inner(tree), np.array(model.alphabet, object), len(tree.labels), len(model.alphabet)
 
     def run(batches):
         for part in columns.slices(batches, n * k):
-            state, total = columns.most_probable(columns.coded(part, tree, model.alphabet), tree, steps, start)
+            codes = columns.coded(part, tree, model.alphabet)
+            if default is not None:
+                codes = columns.with_default(codes, part, tree, model.alphabet.index(default))
+            state, total = columns.most_probable(codes, tree, steps, start)
             yield columns.rows(part, tree, inner, letters[state], total, pa.float64(), "log_likelihood")
 
     return columns.gathered(sites).mapInArrow(run, "site long, node string, state string, log_likelihood double")
@@ -249,3 +252,12 @@ def indel_coding_parsimony(alignment: DataFrame, tree: Tree, width: int) -> Data
     coded = simple_indel_coding(alignment).select((F.col("lo") * (width + 1) + F.col("hi")).alias("site"), "leaf", "state")
     p = parsimony(coded, tree, default="0")
     return p.select(F.floor(F.col("site") / (width + 1)).alias("lo"), (F.col("site") % (width + 1)).alias("hi"), "node", "state", "score")
+
+
+def indel_coding_likelihood(alignment: DataFrame, tree: Tree, width: int, rate: float = 1.0) -> DataFrame:
+    """lo, hi, node, state ("1": the gap is there), log_likelihood: jointly most probable states of every indel character at the inner nodes, under equal rates of gain and loss."""
+    from cladeframe.plans.models import jc
+
+    coded = simple_indel_coding(alignment).select((F.col("lo") * (width + 1) + F.col("hi")).alias("site"), "leaf", "state")
+    p = joint(coded, tree, jc(("0", "1")), rate, default="0")
+    return p.select(F.floor(F.col("site") / (width + 1)).alias("lo"), (F.col("site") % (width + 1)).alias("hi"), "node", "state", "log_likelihood")

@@ -12,7 +12,7 @@ from cladeframe.functions import special
 from cladeframe.functions import vectors as V
 from cladeframe.operators import graphs, reconstruction, trees
 from cladeframe.plans import models, tree_sql
-from cladeframe.plans.graph_queries import _ALIGNMENT, _JUMPS, HOURS, _alignment
+from cladeframe.plans.graph_queries import _ALIGNMENT, _GAPS, _JUMPS, HOURS, _alignment
 from cladeframe.plans.tree import newick, parse
 from cladeframe.plans.tree_queries import _UP, _WORLD, _user_tree, world
 
@@ -54,6 +54,11 @@ def indel_lengths(spark, sf_dir):
     return reconstruction.indel_lengths(*_presence(spark, sf_dir))
 
 
+def indel_coding_likelihood(spark, sf_dir):
+    """Gaps of the users' alignment as characters, jointly most probable at the ancestors."""
+    return reconstruction.indel_coding_likelihood(_alignment(spark, sf_dir), _user_tree(), HOURS).withColumn("log_likelihood", F.round("log_likelihood", 6))
+
+
 def long_jumps(spark, sf_dir):
     """Jumps of groups of users over at least one hour."""
     e = reconstruction.jumps(_alignment(spark, sf_dir), HOURS).select(F.col("leaf").alias("graph"), "from_pos", "to_pos")
@@ -117,7 +122,7 @@ def tree_from_paths(spark, sf_dir):
     return trees.with_leaf_paths(w, paths).select("node", F.round("dist", 6).alias("dist"))
 
 
-QUERIES = {f.__name__: f for f in (model_transitions, presence_likelihood, branch_events, indel_lengths, long_jumps, tail_probabilities, text_codes, newick_round_trip, tree_checks, tree_rescaled, tree_from_paths)}
+QUERIES = {f.__name__: f for f in (model_transitions, presence_likelihood, branch_events, indel_lengths, indel_coding_likelihood, long_jumps, tail_probabilities, text_codes, newick_round_trip, tree_checks, tree_rescaled, tree_from_paths)}
 
 
 def _rates(name: str, letters: str | tuple, freqs: list, rates: list) -> str:
@@ -151,6 +156,8 @@ ORACLE_SQL = {
     "presence_likelihood": f"WITH {_ALIGNMENT}, {_SEEN} SELECT best.site, node, CASE s WHEN 'a' THEN '1' ELSE '0' END AS state, round(lp, 6) AS log_likelihood FROM best JOIN top ON top.site = best.site",
     "branch_events": f"WITH {_PRESENCE} SELECT node, count(*) FILTER (d <> 0 AND d <> was) AS events FROM lg GROUP BY node",
     "indel_lengths": f"WITH {_PRESENCE}, rn AS (SELECT node, pos, d, sum(CASE WHEN d <> was THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY pos) AS run FROM lg), le AS (SELECT node, run, d, count(*) AS length FROM rn WHERE d <> 0 GROUP BY ALL) SELECT CASE WHEN d > 0 THEN 'insertion' ELSE 'deletion' END AS kind, length, count(*) AS n FROM le GROUP BY ALL",
+    "indel_coding_likelihood": f"""WITH {_GAPS}, {tree_sql.joint("SELECT site, node, '1' AS s FROM inside WHERE same UNION ALL SELECT x.site, 'g' || i, '0' FROM (SELECT DISTINCT site FROM inside) x CROSS JOIN range(8) t(i) ANTI JOIN inside y ON y.site = x.site AND y.node = 'g' || i", "SELECT unnest(['0', '1']) AS s", 0.3)}
+SELECT (best.site // {HOURS + 1})::BIGINT AS lo, best.site % {HOURS + 1} AS hi, node, s AS state, round(lp, 6) AS log_likelihood FROM best JOIN top ON top.site = best.site""",
     "long_jumps": f"WITH {_JUMPS} SELECT leaf AS graph, from_pos, to_pos FROM j WHERE to_pos - from_pos > 1",
     "tail_probabilities": """WITH x AS (SELECT p_partkey, p_size::DOUBLE AS k FROM part), z AS (SELECT DISTINCT k, (k / 25 - 1) / 0.8 / sqrt(2) AS z FROM x),
 b AS (SELECT z.k, sum(exp(lgamma(61) - lgamma(i + 1) - lgamma(61 - i) + i * ln(0.4) + (60 - i) * ln(0.6))) AS binomial FROM z, range(61) t(i) WHERE i >= z.k GROUP BY z.k),
