@@ -46,9 +46,17 @@ def position_trees(spark, sf_dir):
     return ancestors.position_trees(_present(spark, sf_dir)[3], _user_tree())
 
 
+def _marked(spark, sf_dir):
+    """site and node: positions where a group of users, or all groups below an ancestor, have a number of events that leaves 1 when divided by 3."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.concat(F.lit("g"), (F.col("user_id") % 8).cast("string")).alias("leaf"), F.floor(F.col("event_id") / EACH).cast("long").alias("site")).agg(F.count(F.lit(1)).alias("n"))
+    above = ancestors.leaves_below(spark, _user_tree())
+    every = e.select("site", F.col("leaf").alias("node"), "n").unionByName(e.join(above, "leaf").select("site", "node", "n"))
+    return every.groupBy("site", "node").agg(F.sum("n").alias("n")).where("n % 3 = 1").select("site", "node")
+
+
 def position_orphans(spark, sf_dir):
-    """Nodes that have a position although nothing connects them to a sequence that has it."""
-    present = _present(spark, sf_dir)[3]
+    """Marked nodes that nothing marked connects to a group of users."""
+    present = checkpointed(_marked(spark, sf_dir))
     return ancestors.position_trees(present, _user_tree(), orphans=True).join(ancestors.position_trees(present, _user_tree()), ["site", "node"], "left_anti").select("site", "node", "parent")
 
 
@@ -60,7 +68,8 @@ def position_states(spark, sf_dir):
 
 
 def regained_positions(spark, sf_dir):
-    return ancestors.regained(_present(spark, sf_dir)[3], _user_tree())
+    """Marked nodes below one that isn't."""
+    return ancestors.regained(_marked(spark, sf_dir), _user_tree())
 
 
 def ancestors_outside(spark, sf_dir):
@@ -115,10 +124,13 @@ bw(node, pos) AS (SELECT DISTINCT e.node, width FROM e, wd UNION SELECT e.node,
 ne AS MATERIALIZED (SELECT e.* FROM e JOIN fw ON fw.node = e.node AND fw.pos = from_pos JOIN bw ON bw.node = e.node AND bw.pos = to_pos),
 pr0 AS MATERIALIZED (SELECT pos AS site, leaf AS node FROM al WHERE sym IS NOT NULL UNION SELECT pos, node FROM (SELECT node, from_pos AS pos FROM ne UNION SELECT node, to_pos FROM ne), wd WHERE pos BETWEEN 0 AND width - 1)"""
 #: Up to ``pt`` (site, node, parent, top): trees of positions, orphans too, and the root of each part.
-_TREES = f"""{_PRESENT}, p1 AS MATERIALIZED (SELECT p.site, p.node, q.node AS parent FROM pr0 p LEFT JOIN tr ON tr.node = p.node LEFT JOIN pr0 q ON q.site = p.site AND q.node = tr.parent),
+_PARTS = """p1 AS MATERIALIZED (SELECT p.site, p.node, q.node AS parent FROM pr0 p LEFT JOIN tr ON tr.node = p.node LEFT JOIN pr0 q ON q.site = p.site AND q.node = tr.parent),
 up(site, node, above) AS (SELECT site, node, node FROM p1 UNION SELECT up.site, up.node, p1.parent FROM up JOIN p1 ON p1.site = up.site AND p1.node = up.above WHERE p1.parent IS NOT NULL),
 tops AS MATERIALIZED (SELECT up.site, up.node, up.above AS top FROM up JOIN p1 ON p1.site = up.site AND p1.node = up.above WHERE p1.parent IS NULL),
 fed AS MATERIALIZED (SELECT DISTINCT site, top FROM tops WHERE node[1] = 'g')"""
+_TREES = f"{_PRESENT}, {_PARTS}"
+_MARKED = f"""{tree_sql._EDGES}, ev AS (SELECT 'g' || (user_id % 8) AS node, event_id // {EACH} AS site, count(*) AS n FROM events GROUP BY ALL), ab(leaf, node) AS (SELECT node, node FROM tr WHERE node[1] = 'g' UNION SELECT ab.leaf, tr.parent FROM ab JOIN tr ON tr.node = ab.node),
+pr0 AS MATERIALIZED (SELECT site, ab.node FROM ev JOIN ab ON ab.leaf = ev.node GROUP BY ALL HAVING sum(n) % 3 = 1)"""
 _OWN = "SELECT p1.site, p1.node, p1.parent FROM p1 JOIN tops t ON t.site = p1.site AND t.node = p1.node"
 
 
@@ -153,9 +165,9 @@ b AS (SELECT graph, text, max(s) AS s FROM c WHERE pos = {LONGEST} AND j = len(t
 SELECT p.graph, p.k::VARCHAR AS seq, round(s, 6) AS score FROM p JOIN b ON b.graph = p.graph AND b.text = p.text WHERE p.k % 10 <> 0""",
     "graph_next_version": f"SELECT p_type AS graph, sum(len(p_name[1:{LONGEST}]))::BIGINT AS n FROM part WHERE p_type IN (SELECT p_type FROM part WHERE p_partkey % 10 = 0) GROUP BY p_type",
     "position_trees": f"WITH RECURSIVE {_TREES} {_OWN} SEMI JOIN fed ON fed.site = t.site AND fed.top = t.top",
-    "position_orphans": f"WITH RECURSIVE {_TREES} {_OWN} ANTI JOIN fed ON fed.site = t.site AND fed.top = t.top",
+    "position_orphans": f"WITH RECURSIVE {_MARKED}, {_PARTS} {_OWN} ANTI JOIN fed ON fed.site = t.site AND fed.top = t.top",
     "position_states": f"WITH RECURSIVE {_FIRST}, {_states()} SELECT b.site, b.node, b.s AS state, round(top.lp, 6) AS log_likelihood FROM best b JOIN top ON top.site = b.site",
-    "regained_positions": f"""WITH RECURSIVE {_PRESENT}, every AS (SELECT DISTINCT site FROM pr0),
+    "regained_positions": f"""WITH RECURSIVE {_MARKED}, every AS (SELECT DISTINCT site FROM pr0),
 lost(site, node) AS (SELECT every.site, tr.node FROM every CROSS JOIN tr LEFT JOIN pr0 p ON p.site = every.site AND p.node = tr.node WHERE p.node IS NULL UNION SELECT lost.site, tr.node FROM lost JOIN tr ON tr.parent = lost.node)
 SELECT lost.site, lost.node FROM lost JOIN pr0 p ON p.site = lost.site AND p.node = lost.node""",
     "ancestors_outside": f"WITH {_AL}, {_JUMPS}, {tree_sql.parsimony(_SITES)}, {_edges()}, n AS (SELECT DISTINCT node FROM e ANTI JOIN j ON j.from_pos = e.from_pos AND j.to_pos = e.to_pos), c AS (SELECT count(DISTINCT node) AS ancestors FROM e) SELECT ancestors, (SELECT count(*) FROM n) AS outside, (SELECT count(*) FROM n) / ancestors AS share FROM c",

@@ -43,7 +43,7 @@ def order_rate_posterior(spark, sf_dir):
 def status_posterior(spark, sf_dir):
     """The shares of orders' states by customer, after a mixture of Dirichlet priors."""
     n = _t(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-    return mixtures.dirichlet_mixture_posterior(n, ["o_custkey"], "o_orderstatus", "n", [w for w, _ in PRIOR], [a for _, a in PRIOR]).withColumn("p", F.round("p", 6))
+    return mixtures.dirichlet_mixture_posterior(n, ["o_custkey"], "o_orderstatus", "n", [w for w, _ in PRIOR], [a for _, a in PRIOR]).withColumn("p", F.round("p", 9))
 
 
 def sampled_status(spark, sf_dir):
@@ -85,7 +85,7 @@ def _dirichlet_sql() -> str:
     total = {k: sum(a.values()) for k, (_, a) in enumerate(PRIOR)}
     lp = [f"{math.log(w)} + lgamma({total[k]}) - lgamma(f + o + p + {total[k]}) + " + " + ".join(f"lgamma({c} + {a[v]}) - lgamma({a[v]})" for v, c in (("F", "f"), ("O", "o"), ("P", "p"))) for k, (w, a) in enumerate(PRIOR)]
     share = [f"exp(l{k} - greatest(l0, l1, l2))" for k in range(3)]
-    each = " UNION ALL ".join(f"SELECT o_custkey, '{v}' AS o_orderstatus, round((" + " + ".join(f"{share[k]} * ({c} + {PRIOR[k][1][v]}) / (f + o + p + {total[k]})" for k in range(3)) + f") / ({' + '.join(share)}), 6) AS p FROM s" for v, c in (("F", "f"), ("O", "o"), ("P", "p")))
+    each = " UNION ALL ".join(f"SELECT o_custkey, '{v}' AS o_orderstatus, round((" + " + ".join(f"{share[k]} * ({c} + {PRIOR[k][1][v]}) / (f + o + p + {total[k]})" for k in range(3)) + f") / ({' + '.join(share)}), 9) AS p FROM s" for v, c in (("F", "f"), ("O", "o"), ("P", "p")))
     return f"WITH g AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F')::DOUBLE AS f, count(*) FILTER (o_orderstatus = 'O')::DOUBLE AS o, count(*) FILTER (o_orderstatus = 'P')::DOUBLE AS p FROM orders GROUP BY o_custkey), s AS (SELECT *, {', '.join(f'{x} AS l{k}' for k, x in enumerate(lp))} FROM g) {each}"
 
 
