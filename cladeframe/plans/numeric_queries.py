@@ -76,6 +76,11 @@ _X = "x AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"
 _P = "e AS (SELECT vec_id, i, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id) AS p, 1.0::DOUBLE / count(*) OVER (PARTITION BY vec_id) AS q FROM (SELECT vec_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS v FROM x))"
 
 ORACLE_SQL = {
+    "special_functions": """
+WITH p AS (SELECT p_partkey, p_size / 10 AS x FROM part), z AS (SELECT DISTINCT x, (x - 2) / 1.5 / sqrt(2) AS z, x + 0.1 AS l, least(1, x / 6) AS b FROM p),
+e AS (SELECT x, 0.5 + sum((CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * pow(z, 2 * i + 1) / exp(lgamma(i + 1)) / (2 * i + 1)) / sqrt(pi()) AS normal FROM z, range(60) t(i) GROUP BY x)
+SELECT p_partkey, round(lgamma(x + 0.5), 6) AS lgamma, round(normal, 6) AS normal, round(exp(-l) * (1 + l + l * l / 2 + l * l * l / 6), 6) AS poisson, round(1 - exp(-x / 2), 6) AS exponential,
+round(6 * b * b - 8 * b * b * b + 3 * b * b * b * b, 6) AS beta23 FROM p JOIN z USING (x) JOIN e USING (x)""",
     "vector_functions": f"""
 WITH {_X} SELECT vec_id, round(list_sum(list_transform(x, lambda v: abs(v))), 6) AS norm1, round(sqrt(list_dot_product(x, x)), 6) AS norm2, round(list_max(list_transform(x, lambda v: abs(v))), 6) AS norm_inf,
 round(list_avg(x), 6) AS mean, round(list_stddev_samp(x), 6) AS sd, (list_position(x, list_min(x)) - 1)::BIGINT AS which_min, (list_position(x, list_max(x)) - 1)::BIGINT AS which_max,
