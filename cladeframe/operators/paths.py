@@ -141,6 +141,7 @@ def ways(edges: DataFrame, start: int, end: int) -> DataFrame:
     ``end``, and the fewest edges of any such ways; infinite, and null, where there is none. ``edges``: graph, from_pos, to_pos, cost."""
     # Four searches at once, as graphs of their own: either way, by cost and by number of edges.
     plain = edges.select(F.col("graph").cast("string").alias("graph"), "from_pos", "to_pos", F.col("cost").cast("double").alias("cost"))
+    plain = plain.where(F.col("cost").isNotNull() & ~F.isnan("cost") & (F.col("cost") < float("inf")))  # (as blocks leave such edges out)
     sides = [(d, k, (turned(plain) if d == "b" else plain).withColumn("cost", F.lit(1.0) if k == "s" else F.col("cost"))) for d in "fb" for k in "cs"]
     every = reduce(DataFrame.unionByName, (x.withColumn("graph", F.concat(F.lit(f"{d}{k}"), "graph")) for d, k, x in sides))
     e = blocked(every)

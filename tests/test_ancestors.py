@@ -139,10 +139,10 @@ def _dijkstra(edges, start):
 
 
 def test_cheapest_paths_in_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(paths, "BLOCK_EDGES", 25)
+    monkeypatch.setattr(paths, "BLOCK_EDGES", 20)
     r = random.Random(3)
-    every = {g: [(r.randrange(-1, 40), r.randrange(-1, 40), float(r.randrange(0, 6))) for _ in range(150)] for g in ("p", "q")}
-    every["none"] = [(-1, 2, 1.0), (3, 39, 1.0)]
+    every = {g: [(r.randrange(-1, 25), r.randrange(-1, 25), float(r.randrange(0, 6))) for _ in range(80)] for g in ("p", "q")}
+    every["none"] = [(-1, 2, 1.0), (3, 24, 1.0)]
     rows = [(g, a, b, c) for g, es in every.items() for a, b, c in es] + [("p", None, 3, 1.0), ("p", 4, 5, None), ("p", 4, 5, float("inf"))]
     edges = spark.createDataFrame(rows, "graph string, from_pos long, to_pos long, cost double")
     e = paths.blocked(edges)
@@ -153,28 +153,28 @@ def test_cheapest_paths_in_small_blocks(spark, monkeypatch):
         got.setdefault(x.graph, {})[x.pos] = (x.cost, x.steps)
     assert got == {g: _dijkstra(es, -1) for g, es in every.items()}
     found = {}
-    for x in paths.cheapest(edges, -1, 39).orderBy("step").collect():
+    for x in paths.cheapest(edges, -1, 24).orderBy("step").collect():
         found.setdefault(x.graph, []).append((x.pos, x.cost))
     least = {g: {(a, b): min(c for p, q, c in es if (p, q) == (a, b)) for a, b, _ in es} for g, es in every.items()}
     assert "none" not in found
     for g in ("p", "q"):
-        if 39 in got[g]:
+        if 24 in got[g]:
             way = [p for p, _ in found[g]]
-            assert way[0] == -1 and way[-1] == 39 and sum(least[g][s] for s in zip(way, way[1:])) == got[g][39][0] == found[g][0][1]
+            assert way[0] == -1 and way[-1] == 24 and sum(least[g][s] for s in zip(way, way[1:])) == got[g][24][0] == found[g][0][1]
         else:
             assert g not in found
-    back = {g: _dijkstra([(b, a, c) for a, b, c in es], 39) for g, es in every.items()}
+    back = {g: _dijkstra([(b, a, c) for a, b, c in es], 24) for g, es in every.items()}
     bound = spark.createDataFrame([(g, p, c * 0.9) for g, d in back.items() for p, (c, _) in d.items()], "graph string, pos long, least double")
-    again = {(x.graph, x.step, x.cost) for x in paths.cheapest(edges, -1, 39, bound).collect()}
+    again = {(x.graph, x.step, x.cost) for x in paths.cheapest(edges, -1, 24, bound).collect()}
     assert {(g, c) for g, _, c in again} == {(g, p[0][1]) for g, p in found.items()}
     inf = float("inf")
-    ahead1, back1 = ({g: _dijkstra([(b, a, 1.0) if t else (a, b, 1.0) for a, b, _ in es], 39 if t else -1) for g, es in every.items()} for t in (False, True))
-    for x in paths.ways(edges, -1, 39).collect():
+    ahead1, back1 = ({g: _dijkstra([(b, a, 1.0) if t else (a, b, 1.0) for a, b, _ in es], 24 if t else -1) for g, es in every.items()} for t in (False, True))
+    for x in paths.ways(edges, -1, 24).collect():
         assert x.before == got[x.graph].get(x.from_pos, (inf,))[0] and x.after == back[x.graph].get(x.to_pos, (inf,))[0]
         assert x.steps_before == ahead1[x.graph].get(x.from_pos, (0, None))[1] and x.steps_after == back1[x.graph].get(x.to_pos, (0, None))[1]
     with pytest.raises(ValueError):
         paths.blocked(edges.unionByName(spark.createDataFrame([("p", 1, 2, -1.0)], edges.schema)))
-    assert paths.cheapest(edges.limit(0), -1, 39).count() == 0
+    assert paths.cheapest(edges.limit(0), -1, 24).count() == 0
 
 
 def test_one_graph_of_a_hundred_thousand_edges(spark):
