@@ -94,9 +94,10 @@ def t_tests(df: DataFrame, value: str, group: str, a: object, b: object) -> Data
     s = df.where(F.col(group).isin(a, b)).agg(*(f(of(g)).alias(f"{n}{k}") for k, g in (("a", a), ("b", b)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))))
     na, nb, va, vb = (F.col(c) for c in ("na", "nb", "va", "vb"))
     div = F.try_divide
+    cube = lambda n: n.cast("double") * n * (n - 1)  # noqa: E731 (beyond 64 bits from some two million rows on)
     pooled = div((na - 1) * va + (nb - 1) * vb, na + nb - 2)
     se = div(va, na) + div(vb, nb)
-    welch = div(se * se, div(va * va, na * na * (na - 1)) + div(vb * vb, nb * nb * (nb - 1)))
+    welch = div(se * se, div(va * va, cube(na)) + div(vb * vb, cube(nb)))
     one = F.lit(1.0)
     return s.select(div(F.col("ma") - F.col("mb"), F.sqrt(pooled * (div(one, na) + div(one, nb)))).alias("t"), (na + nb - 2).alias("dof"), div(F.col("ma") - F.col("mb"), F.sqrt(se)).alias("welch_t"), welch.alias("welch_dof"), div(F.greatest(va, vb), F.least(va, vb)).alias("f"))
 

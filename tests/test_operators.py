@@ -402,3 +402,10 @@ def test_smoothed_probabilities_in_blocks(spark, monkeypatch):
     assert len(want) == 12 and sum(r.p for r in want if r.k == "p") == pytest.approx(1)
     monkeypatch.setattr(statistics, "VALUES_EACH", 2)
     assert sorted(statistics.smoothed_probabilities(d, "v", ["k"], 0.5).collect(), key=str) == want
+
+
+def test_t_tests_of_groups_beyond_the_cube_root_of_64_bits(spark):
+    n = 2_150_000  # n * n * (n - 1) is more than a long holds
+    d = spark.range(2 * n).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"), (F.col("id") % 4).cast("double").alias("v"))
+    r = statistics.t_tests(d, "v", "g", "a", "b").first()
+    assert r.dof == 2 * n - 2 and abs(r.welch_dof - r.dof) < 1e-3 and abs(r.f - 1) < 1e-9 and abs(r.t - r.welch_t) < 1e-6 * abs(r.t)
