@@ -18,7 +18,7 @@ from cladeframe.plans.session import checkpointed
 
 #: Cells of all pairs of a task, about.
 TASK_CELLS = 20_000_000
-_STEPS = "graph string, seq string, score double, step int, pos long, sym string"
+_WAYS = "graph string, text string, score double, way array<struct<pos:long,sym:string>>"
 _TIE = 1e-9
 
 
@@ -104,31 +104,37 @@ def align(nodes: DataFrame, edges: DataFrame, sequences: DataFrame, width: int,
 
     ``nodes``: graph, pos, sym, n (how often the symbol is there); ``edges``: graph, from_pos, to_pos, from -1 to ``width``, without cycles; ``sequences``: graph, seq, text. ``matrix``: scores of
     pairs of symbols, else ``match`` and ``mismatch``. Sequences with a null text, or whose graph isn't there or has no path, have no rows; an empty text
-    passes nodes by. Repeated rows are aligned once.
+    passes nodes by. Repeated rows count once, and sequences of one graph with the same text are aligned once.
     """
     pair = (lambda a, b: matrix.get((a, b), mismatch)) if matrix is not None else (lambda a, b: match if a == b else mismatch)
     g = checkpointed(gathered(nodes, edges))
     seqs = sequences.where("text IS NOT NULL").select(F.col("graph").cast("string").alias("graph"), F.col("seq").cast("string").alias("seq"), "text").distinct()
-    pairs = dealt(seqs.join(g.select("graph", "n_nodes"), "graph"))
+    texts = seqs.select("graph", F.col("text").alias("seq"), "text").distinct()
+    pairs = dealt(texts.join(g.select("graph", "n_nodes"), "graph"))
     tasks = max(1, (pairs.agg(F.max("task")).first()[0] or 0) + 1)
-    # Sequences of a task are few graphs' (they are in order of graph), so a graph travels to a task or two more than it is large.
+    # Texts of a task are few graphs' (they are in order of graph), so a graph travels to a task or two more than it is large.
     met = pairs.repartition(tasks, "task").join(g.select("graph", "nodes", "links"), "graph")
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
-            for r in batch.to_pylist():
-                share: dict[int, dict[str, float]] = {}
-                for x in r["nodes"]:
-                    share.setdefault(x["pos"], {})[x["sym"]] = x["n"]
-                found = aligned(list(share.items()), [(x["from_pos"], x["to_pos"]) for x in r["links"]], r["text"], width, pair, gap, skip)
+            read: dict[str, tuple] = {}
+            for i, (graph, text) in enumerate(zip(batch.column("graph").to_pylist(), batch.column("text").to_pylist())):
+                if graph not in read:
+                    share: dict[int, dict[str, float]] = {}
+                    for x in batch.column("nodes")[i].as_py():
+                        share.setdefault(x["pos"], {})[x["sym"]] = x["n"]
+                    read[graph] = (list(share.items()), [(x["from_pos"], x["to_pos"]) for x in batch.column("links")[i].as_py()])
+                found = aligned(*read[graph], text, width, pair, gap, skip)
                 if found is not None:
                     score, path = found
-                    out += [(r["graph"], r["seq"], score, i, p, s) for i, (p, s) in enumerate(path)] or [(r["graph"], r["seq"], score, 0, None, None)]
-            kinds = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["graph", "seq", "score", "step", "pos", "sym"])
+                    out.append((graph, text, score, [{"pos": p, "sym": s} for p, s in path] or [{"pos": None, "sym": None}]))
+            kinds = (pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("pos", pa.int64()), ("sym", pa.string())])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["graph", "text", "score", "way"])
 
-    return met.select("graph", "seq", "text", "nodes", "links").mapInArrow(run, _STEPS)
+    found = met.select("graph", "text", "nodes", "links").mapInArrow(run, _WAYS)
+    steps = seqs.join(found, ["graph", "text"]).select("graph", "seq", "score", F.posexplode("way").alias("step", "at"))
+    return steps.select("graph", "seq", "score", "step", "at.pos", "at.sym")
 
 
 def threaded(steps: DataFrame, nodes: DataFrame, edges: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:

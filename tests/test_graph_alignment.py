@@ -72,3 +72,14 @@ def test_sequences_are_threaded_into_the_next_version(spark, monkeypatch):
     assert {(r.from_node, r.to_node): r.n for r in links.where("graph = 'g'").collect()} == {("-1", "0"): 5, ("0", "1"): 3, ("1", "2"): 4, ("2", "3"): 5, ("0", "t:1"): 1, ("t:1", "t:2"): 1, ("t:2", "1"): 1, ("0", "2"): 1}
     scored = ga.align(nodes, edges, seqs.where("seq = 'u'"), 3, matrix={("A", "A"): 5.0, ("T", "T"): 1.0}, skip=-0.5).first().score
     assert scored == 5.5 and ga.align(nodes, edges, seqs.limit(0), 3).count() == 0
+
+
+def test_equal_texts_are_aligned_once(spark, monkeypatch):
+    nodes = spark.createDataFrame([("g", 0, "A", 1), ("g", 1, "C", 1)], "graph string, pos long, sym string, n long")
+    edges = spark.createDataFrame([("g", -1, 0, 1), ("g", 0, 1, 1), ("g", 1, 2, 1)], "graph string, from_pos long, to_pos long, n long")
+    texts = {str(i): "AC" if i % 2 else "AGC" for i in range(40)}
+    seen, dealt = [], ga.dealt
+    monkeypatch.setattr(ga, "dealt", lambda pairs: seen.append(pairs.count()) or dealt(pairs))
+    steps = ga.align(nodes, edges, spark.createDataFrame([("g", k, t) for k, t in texts.items()], "graph string, seq string, text string"), 2).orderBy("seq", "step").collect()
+    assert seen == [2]
+    assert {k: "".join(r.sym for r in steps if r.seq == k and r.sym) for k in texts} == texts
