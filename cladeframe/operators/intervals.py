@@ -7,10 +7,16 @@ hot group is many tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.operators.scans import scanned
+from cladeframe.plans.session import checkpointed
+
+#: Queries and stored intervals of a group that :func:`closest` compares in pairs, at most.
+SMALL_GROUP = 128
 
 
 def intersects(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
@@ -83,11 +89,36 @@ def closest(queries: DataFrame, stored: DataFrame, on: list[str], query_id: str,
     """For each query interval the best stored one of its group: the largest Jaccard index if any intersects, else the smallest gap;
     ties to the lower, then shorter interval. Queries whose group has none are left out.
 
-    Those that intersect come from :func:`overlap_join`, so the work is that of all overlaps, which may be many more than the intervals; of the others
-    only the nearest ends on either side can be closest, which one sweep finds.
+    Groups of up to SMALL_GROUP rows meet as they are, so a query costs that many pairs at most. In larger ones those that intersect come from :func:`overlap_join`, so the work
+    is that of all overlaps, which may be many more than the intervals; of the others only the nearest ends on either side can be closest, which one sweep finds.
     """
     s = stored.select(*on, F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi")).where("s_lo <= s_hi")
     q = queries.select(F.col(query_id).alias("__qid"), *on, "lo", "hi")
+    out = lambda m: m.groupBy("__qid").agg(F.min("m").alias("m")).select(F.col("__qid").alias(query_id), "m.s_lo", "m.s_hi", F.col("m.gap").alias("gap"), (-F.col("m.less")).alias("jaccard"))
+    if not on:
+        return out(_touching_or_next(q, s, on, bin_width))
+    # Groups that are large, null or asked for by ends that are null or the wrong way round.
+    plain = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in on), F.coalesce(F.col("lo") <= F.col("hi"), F.lit(False)))
+    rows = q.select(*on, (~plain).alias("__odd")).unionByName(s.select(*on, F.lit(False).alias("__odd")))
+    special = checkpointed(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"), F.bool_or("__odd").alias("__odd")).where((F.col("__n") > SMALL_GROUP) | F.col("__odd")).select(*on))
+    if special.isEmpty():
+        return out(_pairs(q, s, on))
+    met = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on))
+    named = special.select(*(F.col(c).alias(f"__on_{c}") for c in on))
+    few, rest = (lambda d: d.join(named, met, "left_anti")), (lambda d: d.join(named, met, "left_semi"))
+    return out(_pairs(few(q), few(s), on).unionByName(_touching_or_next(rest(q), rest(s), on, bin_width)))
+
+
+def _nearness(lo: Column, hi: Column, s_lo: Column, s_hi: Column) -> Column:
+    return F.struct(gap(lo, hi, s_lo, s_hi).cast("long").alias("gap"), (-jaccard(lo, hi, s_lo, s_hi)).alias("less"), s_lo.cast("long").alias("s_lo"), s_hi.cast("long").alias("s_hi")).alias("m")
+
+
+def _pairs(q: DataFrame, s: DataFrame, on: list[str]) -> DataFrame:
+    """Every pair of small groups."""
+    return q.join(s, on).select("__qid", _nearness(*(F.col(c) for c in ("lo", "hi", "s_lo", "s_hi"))))
+
+
+def _touching_or_next(q: DataFrame, s: DataFrame, on: list[str], bin_width: int) -> DataFrame:
     met = overlap_join(q, s, bin_width, b_lo="s_lo", b_hi="s_hi", on=on)
     touching = met.select("__qid", F.struct(F.lit(0).cast("long").alias("gap"), (-jaccard(F.col("lo"), F.col("hi"), F.col("b_s_lo"), F.col("b_s_hi"))).alias("less"), F.col("b_s_lo").alias("s_lo"), F.col("b_s_hi").alias("s_hi")).alias("m"))
     # Stored intervals stand at their ends: those below are met by the last upper end (and there the lowest start), those above by the next lower end.
@@ -101,8 +132,7 @@ def closest(queries: DataFrame, stored: DataFrame, on: list[str], query_id: str,
     swept = scanned(rows, on, ["__at", "__k"], before=("last", "below", False), after=("next", "above", False)).where("__k <> 1")
     near = swept.withColumn("s", F.explode(F.array_compact(F.array(F.when(F.col("__k") == 0, F.col("before")), F.when(F.col("__k") == 2, F.col("after"))))))
     apart = near.select(F.col("__id").alias("__qid"), F.struct(gap(F.col("lo"), F.col("hi"), F.col("s.s_lo"), F.col("s.s_hi")).cast("long").alias("gap"), (-jaccard(F.col("lo"), F.col("hi"), F.col("s.s_lo"), F.col("s.s_hi"))).alias("less"), F.col("s.s_lo").alias("s_lo"), F.col("s.s_hi").alias("s_hi")).alias("m"))
-    best = touching.unionByName(apart).groupBy("__qid").agg(F.min("m").alias("m"))
-    return best.select(F.col("__qid").alias(query_id), "m.s_lo", "m.s_hi", F.col("m.gap").alias("gap"), (-F.col("m.less")).alias("jaccard"))
+    return touching.unionByName(apart)
 
 
 def merged(df: DataFrame, on: list[str], touching: bool = True) -> DataFrame:

@@ -409,3 +409,17 @@ def test_t_tests_of_groups_beyond_the_cube_root_of_64_bits(spark):
     d = spark.range(2 * n).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"), (F.col("id") % 4).cast("double").alias("v"))
     r = statistics.t_tests(d, "v", "g", "a", "b").first()
     assert r.dof == 2 * n - 2 and abs(r.welch_dof - r.dof) < 1e-3 and abs(r.f - 1) < 1e-9 and abs(r.t - r.welch_t) < 1e-6 * abs(r.t)
+
+
+def test_closest_in_small_groups_takes_no_sweep(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    make = lambda n: spark.createDataFrame([(int(g), i, int(a), int(a + b)) for i, (g, a, b) in enumerate(zip(rng.integers(0, 9, n), rng.integers(0, 200, n), rng.integers(0, 12, n)))], "g long, k long, lo long, hi long")
+    q, s = make(60), make(90)
+    told = lambda: sorted(map(tuple, intervals.closest(q, s, ["g"], "k").collect()))
+    monkeypatch.setattr(intervals, "SMALL_GROUP", 0)
+    swept = told()
+    monkeypatch.setattr(intervals, "SMALL_GROUP", 15)
+    assert told() == swept  # some groups either way
+    monkeypatch.setattr(intervals, "SMALL_GROUP", 150)
+    monkeypatch.setattr(intervals, "scanned", None)
+    assert told() == swept
