@@ -138,8 +138,10 @@ def sequences(alignment: DataFrame, tree: Tree, model: Model, width: int, rate:
     read = on.join(states.select("site", "node", "state"), ["site", "node"], "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("site", F.coalesce("state", F.lit("?")).alias("state")))).alias("letters"))
     ends = path.where("step = 0").select(F.col("graph").alias("node"), "cost")
     said = F.array_join(F.transform("letters", lambda x: x["state"]), "")
-    at = F.map_from_entries(F.transform("letters", lambda x: F.struct(x["site"], x["state"])))
-    gapped = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")), lambda p: F.coalesce(F.try_element_at(at, p), F.lit("-"))), "")
+    # Each letter with the gaps before it, then those after the last: a look-up for every position would cost the square of the width.
+    gaps = lambda n: F.repeat(F.lit("-"), n.cast("int"))
+    passed = F.array_join(F.transform("letters", lambda x, i: F.concat(gaps(x["site"] - F.coalesce(F.get("letters", i - 1)["site"], F.lit(-1)) - 1), x["state"])), "")
+    gapped = F.concat(passed, gaps(F.lit(width - 1) - F.element_at("letters", -1)["site"]))
     return ends.join(read, "node", "left").select("node", F.coalesce(said, F.lit("")).alias("sequence"), F.coalesce(gapped, F.lit("-" * width)).alias("gapped"), "cost")
 
 

@@ -180,7 +180,7 @@ def cheapest(edges: DataFrame, start: int, end: int, bound: DataFrame | None = N
         more = checkpointed(more)
         if more.isEmpty():
             break
-        path = checkpointed(path.unionByName(more))
+        path = checkpointed(path.unionByName(more).repartition("graph", "pos"))  # (or it has twice as many partitions every round)
         up = pointer.select("graph", F.col("pos").alias("up"), F.col("up").alias("__up"))
         pointer = checkpointed(pointer.join(up, ["graph", "up"]).select("graph", "pos", F.col("__up").alias("up")))
         reach *= 2

@@ -201,3 +201,12 @@ def test_sequences_of_ancestors(spark):
     assert ancestors.outside_alignment(e, al.where("leaf IS NOT NULL"), 4).first().outside == 0
     more = e.unionByName(spark.createDataFrame([("r", 0, 4, True)], "node string, from_pos long, to_pos long, recip boolean"))
     assert tuple(ancestors.outside_alignment(more, al.where("leaf IS NOT NULL"), 4).first())[1:] == (1, 1 / 5)
+
+
+def test_gapped_text_needs_no_look_up_for_each_position(spark, monkeypatch):
+    from pyspark.sql import functions
+
+    monkeypatch.setattr(functions, "map_from_entries", None)  # its look-ups are linear
+    al = spark.createDataFrame([(leaf, pos, sym) for leaf in "ab" for pos, sym in enumerate([None, "A", None, None, "C", None])], "leaf string, pos long, sym string")
+    r = ancestors.sequences(al, parse("(a:0.1,b:0.2)r;"), models.jc(("A", "C")), 6).first()
+    assert (r.node, r.sequence, r.gapped) == ("r", "AC", "-A--C-")
