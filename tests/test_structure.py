@@ -128,3 +128,14 @@ def test_expressions_at_the_edges(spark):
     assert a == (0, 0, None, None, 0, 0, 0) and b[:4] == (0, 0, 0, pytest.approx(0)) and b[4:6] == pytest.approx((0.25, 0.25))
     nothing = X.c_divide(X.complex_number(F.col("x"), F.lit(1)), X.complex_number(F.lit(0), F.lit(0)))
     assert d.select(nothing["re"]).first()[0] is None
+
+
+def test_rows_of_one_key_are_dealt_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(structure, "PIECE_ROWS", 10)
+    many = spark.range(100).selectExpr("'n' AS net", "if(id < 95, 'hub', 'x') AS parent", "concat('c', id) AS child")
+    dealt, hot = structure._dealt(many, ["net", "parent"])
+    assert [tuple(r) for r in hot.collect()] == [("n", "hub", 10)]
+    assert dealt.where("parent = 'hub'").groupBy("__piece").count().agg({"count": "max"}).first()[0] < 40
+    few = spark.createDataFrame([("n", "hub")], "net string, parent string")
+    assert structure._met(many, few, ["net", "parent"]).distinct().count() == 95
+    assert structure._met(many, few, ["net", "parent"], "left_anti").count() == 5
