@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.operators.scans import scanned
-from cladeframe.plans.session import checkpointed
+from cladeframe.plans.session import checkpointed, stored
 
 #: A block has about so many edges.
 BLOCK_EDGES = 50_000
@@ -86,7 +86,7 @@ def distances(edges: DataFrame, starts: DataFrame, bound: DataFrame | None = Non
     least this), what is left. Costs of nodes that aren't on a cheapest path to the target may then be missing or too high.
     """
     blocks = checkpointed(edges.select("graph", F.col("from_pos").alias("pos"), "block").distinct())
-    news = checkpointed(starts.select(F.col("graph").cast("string").alias("graph"), F.col("pos").cast("long").alias("pos")).distinct().withColumns({"cost": F.lit(0.0), "steps": F.lit(0).cast("long"), "by": F.lit(-1).cast("long")}))
+    news = stored(starts.select(F.col("graph").cast("string").alias("graph"), F.col("pos").cast("long").alias("pos")).distinct().withColumns({"cost": F.lit(0.0), "steps": F.lit(0).cast("long"), "by": F.lit(-1).cast("long")}))
     known = news
     while True:
         small = F.broadcast if news.count() <= BROADCAST_NEWS else lambda df: df
@@ -111,8 +111,8 @@ def distances(edges: DataFrame, starts: DataFrame, bound: DataFrame | None = Non
                 left = F.coalesce("least", F.lit(0.0))
             slack = F.col("__most") * 1e-9 + 1e-12  # (sums in another order)
             both = both.where(F.col("__most").isNull() | (F.col("new.cost") + left <= F.col("__most") + slack))
-        news = checkpointed(both.select("graph", "pos", "new.cost", "new.steps", "new.by"))
-        known = checkpointed(known.join(news.select("graph", "pos"), ["graph", "pos"], "left_anti").unionByName(news))
+        news = stored(both.select("graph", "pos", "new.cost", "new.steps", "new.by"))
+        known = stored(known.join(news.select("graph", "pos"), ["graph", "pos"], "left_anti").unionByName(news))
 
 
 def turned(edges: DataFrame) -> DataFrame:
@@ -170,9 +170,9 @@ def cheapest(edges: DataFrame, start: int, end: int, bound: DataFrame | None = N
     least = F.greatest(F.abs("__c"), F.lit(1.0)) * 1e-9
     on = e.join(there, ["graph", "from_pos"]).join(here, ["graph", "to_pos"]).where(F.col("__b") + F.col("cost") <= F.col("__c") + least)
     nearer = (F.col("__b") < F.col("__c") - least) | ((F.col("__b") <= F.col("__c") + least) & (F.col("__t") < F.col("__s")))  # (no way round over edges that cost nothing)
-    pointer = checkpointed(on.where(nearer & (F.col("to_pos") != start)).groupBy("graph", "to_pos").agg(F.min("from_pos").alias("up")).withColumnRenamed("to_pos", "pos"))
+    pointer = stored(on.where(nearer & (F.col("to_pos") != start)).groupBy("graph", "to_pos").agg(F.min("from_pos").alias("up")).withColumnRenamed("to_pos", "pos"))
     path = far.join(goal, ["graph", "pos"]).select("graph", "pos", F.col("cost").alias("__total"), F.lit(0).cast("long").alias("back"))
-    path, reach, most = checkpointed(path), 1, pointer.count()
+    path, reach, most = stored(path), 1, pointer.count()
     while True:
         if reach > 2 * most + 2:
             raise ValueError("edges of next to no cost form a cycle")
@@ -180,9 +180,9 @@ def cheapest(edges: DataFrame, start: int, end: int, bound: DataFrame | None = N
         more = checkpointed(more)
         if more.isEmpty():
             break
-        path = checkpointed(path.unionByName(more).repartition("graph", "pos"))  # (or it has twice as many partitions every round)
+        path = stored(path.unionByName(more))
         up = pointer.select("graph", F.col("pos").alias("up"), F.col("up").alias("__up"))
-        pointer = checkpointed(pointer.join(up, ["graph", "up"]).select("graph", "pos", F.col("__up").alias("up")))
+        pointer = stored(pointer.join(up, ["graph", "up"]).select("graph", "pos", F.col("__up").alias("up")))
         reach *= 2
     most = path.groupBy("graph").agg(F.max("back").alias("__most"))
     return path.join(most, "graph").select("graph", (F.col("__most") - F.col("back")).cast("int").alias("step"), "pos", F.col("__total").alias("cost"))

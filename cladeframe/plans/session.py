@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut off from its lineage by a reliable checkpoint, in the folder of ``spark.checkpoint.dir``; only in local mode, where that is unset, in a temporary one."""
-    sc = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, set if it isn't yet."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
         if not named and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut off from its lineage by a reliable checkpoint, in the folder of ``spark.checkpoint.dir``; only in local mode, where that is unset, in a temporary one."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table of files among the checkpoints, for what is joined anew round after round. A checkpoint keeps the size that Spark guessed for its plan, the product of all that was
+    joined: squared each round, that number alone fills the driver after some twenty. Files have the size that they have."""
+    folder = f"{_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

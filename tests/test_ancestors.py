@@ -3,6 +3,7 @@
 import heapq
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -210,3 +211,15 @@ def test_gapped_text_needs_no_look_up_for_each_position(spark, monkeypatch):
     al = spark.createDataFrame([(leaf, pos, sym) for leaf in "ab" for pos, sym in enumerate([None, "A", None, None, "C", None])], "leaf string, pos long, sym string")
     r = ancestors.sequences(al, parse("(a:0.1,b:0.2)r;"), models.jc(("A", "C")), 6).first()
     assert (r.node, r.sequence, r.gapped) == ("r", "AC", "-A--C-")
+
+
+@pytest.mark.parametrize("blocks", [4, 50_000])
+def test_rounds_do_not_multiply_guessed_sizes(spark, monkeypatch, capsys, blocks):
+    monkeypatch.setattr(paths, "BLOCK_EDGES", blocks)
+    n = 40
+    way = paths.cheapest(spark.range(-1, n).selectExpr("'g' AS graph", "id AS from_pos", "id + 1 AS to_pos", "1D AS cost"), -1, n)
+    capsys.readouterr()
+    way.explain("cost")
+    powers = [int(x) for x in re.findall(r"sizeInBytes=[\d.]+E\+(\d+)", capsys.readouterr().out)]
+    assert max(powers, default=0) < 100  # each round squared what Spark guesses, a number of as many digits as the path has nodes
+    assert [r.pos for r in way.orderBy("step").collect()] == list(range(-1, n + 1))
