@@ -36,10 +36,10 @@ def dealt(pairs: DataFrame) -> DataFrame:
     return ran.withColumn("task", F.floor(F.col("before") / TASK_CELLS)).drop("all", "before", "cost")
 
 
-def aligned(nodes: list[tuple[int, dict[str, float]]], links: list[tuple[int, int]], text: str, width: int, pair, gap: float, skip: float) -> tuple[float, list[tuple[int | None, str | None]]] | None:
+def aligned(nodes: list[tuple[int, dict[str, float]]], links: list[tuple[int, int]], text: str, width: int, pair, gap: float, skip: float, told: dict[str, np.ndarray] | None = None) -> tuple[float, list[tuple[int | None, str | None]]] | None:
     """The best score of a text along any path from -1 to ``width``, and the path: (node, symbol), (None, symbol) for one that no node takes, (node, None) for a node
     that takes none. None if there is no path. ``pair(a, b)``: the score of a node's symbol a and the text's b; a node of several symbols scores their mean by share.
-    Ties: a symbol on a node before a skipped node before an extra symbol; smaller predecessors first.
+    ``told``: the scores of a symbol on all nodes, by symbol, which are filled in for the graph's other texts. Ties: a symbol on a node before a skipped node before an extra symbol; smaller predecessors first.
     """
     shares = dict(nodes)
     before: dict[int, list[int]] = {}
@@ -55,7 +55,10 @@ def aligned(nodes: list[tuple[int, dict[str, float]]], links: list[tuple[int, in
             left[w] -= 1
             if not left[w]:
                 ready.append(w)
-    size = len(text)
+    size, told, place = len(text), {} if told is None else told, {v: i for i, v in enumerate(shares)}
+    for b in set(text) - told.keys():
+        told[b] = np.array([sum(n * pair(a, b) for a, n in share.items()) / (sum(share.values()) or 1.0) for share in shares.values()])
+    scores = np.array([told[b] for b in text]).reshape(size, len(shares))
     rank = gap * np.arange(size + 1)
     cell: dict[int, np.ndarray] = {-1: rank.copy()}
     gain: dict[int, np.ndarray] = {}
@@ -67,9 +70,7 @@ def aligned(nodes: list[tuple[int, dict[str, float]]], links: list[tuple[int, in
         if v == width:
             cell[v] = come
             continue
-        share = shares.get(v, {})
-        total = sum(share.values()) or 1.0
-        gain[v] = np.array([sum(n * pair(a, b) for a, n in share.items()) / total for b in text])
+        gain[v] = scores[:, place[v]] if v in place else np.zeros(size)
         t = come + skip
         t[1:] = np.maximum(t[1:], come[:-1] + gain[v])
         cell[v] = np.maximum.accumulate(t - rank) + rank
@@ -124,8 +125,9 @@ def align(nodes: DataFrame, edges: DataFrame, sequences: DataFrame, width: int,
                     share: dict[int, dict[str, float]] = {}
                     for x in batch.column("nodes")[i].as_py():
                         share.setdefault(x["pos"], {})[x["sym"]] = x["n"]
-                    read[graph] = (list(share.items()), [(x["from_pos"], x["to_pos"]) for x in batch.column("links")[i].as_py()])
-                found = aligned(*read[graph], text, width, pair, gap, skip)
+                    read[graph] = (list(share.items()), [(x["from_pos"], x["to_pos"]) for x in batch.column("links")[i].as_py()], {})
+                *sides, told = read[graph]
+                found = aligned(*sides, text, width, pair, gap, skip, told)
                 if found is not None:
                     score, path = found
                     out.append((graph, text, score, [{"pos": p, "sym": s} for p, s in path] or [{"pos": None, "sym": None}]))

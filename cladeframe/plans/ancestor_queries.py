@@ -82,25 +82,26 @@ LONGEST = 40
 
 
 def _name_graphs(spark, sf_dir):
-    """Nodes and edges of a graph for each type of part: every tenth part's name, letter by letter; and all other parts' names as sequences."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("graph"), F.substring("p_name", 1, LONGEST).alias("text"))
+    """Nodes and edges of a graph for each type of part: every tenth part's name, letter by letter; all other parts' names as sequences; and where the graphs end, the length of the longest name."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("graph"), F.col("p_name").alias("text"))
+    width = p.agg(F.max(F.length("text"))).first()[0] or 0
     letters = p.where("p_partkey % 10 = 0").select("graph", "p_partkey", F.posexplode(F.split("text", ""))).where("col <> ''").select("graph", "p_partkey", F.col("pos").cast("long").alias("pos"), F.col("col").alias("sym"))
     nodes = letters.groupBy("graph", "pos", "sym").agg(F.count(F.lit(1)).alias("n"))
-    last = letters.groupBy("graph", "p_partkey").agg(F.max("pos").alias("from_pos")).select("graph", "from_pos", F.lit(LONGEST).cast("long").alias("to_pos"))
+    last = letters.groupBy("graph", "p_partkey").agg(F.max("pos").alias("from_pos")).select("graph", "from_pos", F.lit(width).cast("long").alias("to_pos"))
     edges = letters.select("graph", (F.col("pos") - 1).alias("from_pos"), F.col("pos").alias("to_pos")).unionByName(last).groupBy("graph", "from_pos", "to_pos").agg(F.count(F.lit(1)).alias("n"))
-    return nodes, edges, p.where("p_partkey % 10 <> 0").select("graph", F.col("p_partkey").cast("string").alias("seq"), "text")
+    return nodes, edges, p.where("p_partkey % 10 <> 0").select("graph", F.col("p_partkey").cast("string").alias("seq"), "text"), width
 
 
 def graph_alignment(spark, sf_dir):
     """Scores of parts' names along the graph of their type's names."""
-    nodes, edges, names = _name_graphs(spark, sf_dir)
-    return alignment.align(nodes, edges, names, LONGEST).groupBy("graph", "seq").agg(F.round(F.max("score"), 6).alias("score"))
+    nodes, edges, names, width = _name_graphs(spark, sf_dir)
+    return alignment.align(nodes, edges, names, width).groupBy("graph", "seq").agg(F.round(F.max("score"), 6).alias("score"))
 
 
 def graph_next_version(spark, sf_dir):
     """How many symbols the graphs have once all names are threaded in: as many as the names have letters."""
-    nodes, edges, names = _name_graphs(spark, sf_dir)
-    new, _ = alignment.threaded(alignment.align(nodes, edges, names, LONGEST), nodes, edges, LONGEST)
+    nodes, edges, names, width = _name_graphs(spark, sf_dir)
+    new, _ = alignment.threaded(alignment.align(nodes, edges, names, width), nodes, edges, width)
     return new.groupBy("graph").agg(F.sum("n").alias("n"))
 
 
@@ -154,14 +155,14 @@ we AS MATERIALIZED (SELECT ne.node, ne.from_pos, ne.to_pos, CASE WHEN recip THEN
 """ + tree_sql.WAY
 
 ORACLE_SQL = {
-    "graph_alignment": f"""WITH RECURSIVE p AS (SELECT p_partkey AS k, p_type AS graph, p_name[1:{LONGEST}] AS text FROM part), l AS (SELECT graph, k, i - 1 AS pos, text[i] AS sym FROM p, range(1, {LONGEST + 1}) t(i) WHERE k % 10 = 0 AND i <= len(text)),
-nd AS (SELECT graph, pos, sym, count(*) / sum(count(*)) OVER (PARTITION BY graph, pos) AS p FROM l GROUP BY graph, pos, sym), ed AS (SELECT DISTINCT graph, pos - 1 AS f, pos AS t FROM l UNION SELECT graph, max(pos), {LONGEST} FROM l GROUP BY graph, k),
-mv AS (SELECT graph, f, t, 'match' AS m FROM ed WHERE t < {LONGEST} UNION ALL SELECT graph, f, t, 'skip' FROM ed UNION ALL SELECT DISTINCT graph, f, f, 'gap' FROM ed),
+    "graph_alignment": """WITH RECURSIVE p AS (SELECT p_partkey AS k, p_type AS graph, p_name AS text FROM part), wd AS (SELECT max(len(text)) AS width FROM p), l AS (SELECT graph, k, i - 1 AS pos, text[i] AS sym FROM (SELECT *, unnest(range(1, len(text) + 1)) AS i FROM p WHERE k % 10 = 0)),
+nd AS (SELECT graph, pos, sym, count(*) / sum(count(*)) OVER (PARTITION BY graph, pos) AS p FROM l GROUP BY graph, pos, sym), ed AS (SELECT DISTINCT graph, pos - 1 AS f, pos AS t FROM l UNION SELECT graph, max(pos), width FROM l, wd GROUP BY graph, k, width),
+mv AS (SELECT graph, f, t, 'match' AS m FROM ed, wd WHERE t < width UNION ALL SELECT graph, f, t, CASE WHEN t = width THEN 'end' ELSE 'skip' END FROM ed, wd UNION ALL SELECT DISTINCT graph, f, f, 'gap' FROM ed),
 sq AS (SELECT DISTINCT graph, text FROM p WHERE k % 10 <> 0),
 c(k, graph, text, pos, j, s) AS (SELECT 0, graph, text, -1::BIGINT, 0::BIGINT, 0::DOUBLE FROM sq
-  UNION ALL SELECT k + 1, c.graph, c.text, mv.t, CASE WHEN m = 'skip' THEN j ELSE j + 1 END, max(s + CASE WHEN m = 'gap' THEN -2 WHEN m = 'skip' THEN CASE WHEN mv.t = {LONGEST} THEN 0 ELSE -2 END ELSE 3 * coalesce(nd.p, 0) - 1 END)
-  FROM c JOIN mv ON mv.graph = c.graph AND mv.f = c.pos LEFT JOIN nd ON nd.graph = mv.graph AND nd.pos = mv.t AND m = 'match' AND nd.sym = c.text[j + 1] WHERE m = 'skip' OR j < len(c.text) GROUP BY ALL),
-b AS (SELECT graph, text, max(s) AS s FROM c WHERE pos = {LONGEST} AND j = len(text) GROUP BY ALL)
+  UNION ALL SELECT k + 1, c.graph, c.text, mv.t, CASE WHEN m IN ('skip', 'end') THEN j ELSE j + 1 END, max(s + CASE WHEN m IN ('gap', 'skip') THEN -2 WHEN m = 'end' THEN 0 ELSE 3 * coalesce(nd.p, 0) - 1 END)
+  FROM c JOIN mv ON mv.graph = c.graph AND mv.f = c.pos LEFT JOIN nd ON nd.graph = mv.graph AND nd.pos = mv.t AND m = 'match' AND nd.sym = c.text[j + 1] WHERE m IN ('skip', 'end') OR j < len(c.text) GROUP BY ALL),
+b AS (SELECT graph, text, max(s) AS s FROM c, wd WHERE pos = width AND j = len(text) GROUP BY ALL)
 SELECT p.graph, p.k::VARCHAR AS seq, round(s, 6) AS score FROM p JOIN b ON b.graph = p.graph AND b.text = p.text WHERE p.k % 10 <> 0""",
     "graph_next_version": f"SELECT p_type AS graph, sum(len(p_name[1:{LONGEST}]))::BIGINT AS n FROM part WHERE p_type IN (SELECT p_type FROM part WHERE p_partkey % 10 = 0) GROUP BY p_type",
     "position_trees": f"WITH RECURSIVE {_TREES} {_OWN} SEMI JOIN fed ON fed.site = t.site AND fed.top = t.top",

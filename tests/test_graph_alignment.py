@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import pytest
 
 from cladeframe.operators import graph_alignment as ga
+from cladeframe.plans import ancestor_queries
 
 
 def _ways(links, width, at=-1):
@@ -83,3 +85,21 @@ def test_equal_texts_are_aligned_once(spark, monkeypatch):
     steps = ga.align(nodes, edges, spark.createDataFrame([("g", k, t) for k, t in texts.items()], "graph string, seq string, text string"), 2).orderBy("seq", "step").collect()
     assert seen == [2]
     assert {k: "".join(r.sym for r in steps if r.seq == k and r.sym) for k in texts} == texts
+
+
+def _parts(spark, tmp_path):
+    """Parts whose names are alike in their first 45 letters, and others of other lengths."""
+    same = "".join("abcde"[i * i % 5] for i in range(45))
+    names = {0: same + "xxyyy", 10: same + "xz", 1: same + "xxyyy", 2: same + "zzzzzzz", 3: same, 11: "short", 12: "", 13: None, 20: "é€𝄞" * 20, 21: "é€𝄞" * 19 + "é"}
+    rows = [(k, "t" if k < 20 else "u", name) for k, name in names.items()] + [(31, "alone", "no graph")]
+    spark.createDataFrame(rows, "p_partkey long, p_type string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    return c
+
+
+def test_whole_names_are_aligned(spark, tmp_path):
+    c = _parts(spark, tmp_path)
+    got = {r.seq: (r.graph, r.score) for r in ancestor_queries.graph_alignment(spark, str(tmp_path)).collect()}
+    assert got["1"][1] > got["2"][1] and got["1"][1] > got["3"][1]
+    assert got == {k: (g, s) for g, k, s in c.execute(ancestor_queries.ORACLE_SQL["graph_alignment"]).fetchall()}
