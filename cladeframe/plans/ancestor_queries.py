@@ -78,9 +78,6 @@ def ancestors_outside(spark, sf_dir):
     return ancestors.outside_alignment(edges, al, width)
 
 
-LONGEST = 40
-
-
 def _name_graphs(spark, sf_dir):
     """Nodes and edges of a graph for each type of part: every tenth part's name, letter by letter; all other parts' names as sequences; and where the graphs end, the length of the longest name."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("graph"), F.col("p_name").alias("text"))
@@ -164,7 +161,7 @@ c(k, graph, text, pos, j, s) AS (SELECT 0, graph, text, -1::BIGINT, 0::BIGINT, 0
   FROM c JOIN mv ON mv.graph = c.graph AND mv.f = c.pos LEFT JOIN nd ON nd.graph = mv.graph AND nd.pos = mv.t AND m = 'match' AND nd.sym = c.text[j + 1] WHERE m IN ('skip', 'end') OR j < len(c.text) GROUP BY ALL),
 b AS (SELECT graph, text, max(s) AS s FROM c, wd WHERE pos = width AND j = len(text) GROUP BY ALL)
 SELECT p.graph, p.k::VARCHAR AS seq, round(s, 6) AS score FROM p JOIN b ON b.graph = p.graph AND b.text = p.text WHERE p.k % 10 <> 0""",
-    "graph_next_version": f"SELECT p_type AS graph, sum(len(p_name[1:{LONGEST}]))::BIGINT AS n FROM part WHERE p_type IN (SELECT p_type FROM part WHERE p_partkey % 10 = 0) GROUP BY p_type",
+    "graph_next_version": "SELECT p_type AS graph, sum(len(p_name))::BIGINT AS n FROM part WHERE p_type IN (SELECT p_type FROM part WHERE p_partkey % 10 = 0) GROUP BY p_type",
     "position_trees": f"WITH RECURSIVE {_TREES} {_OWN} SEMI JOIN fed ON fed.site = t.site AND fed.top = t.top",
     "position_orphans": f"WITH RECURSIVE {_MARKED}, {_PARTS} {_OWN} ANTI JOIN fed ON fed.site = t.site AND fed.top = t.top",
     "position_states": f"WITH RECURSIVE {_FIRST}, {_states()} SELECT b.site, b.node, b.s AS state, round(top.lp, 6) AS log_likelihood FROM best b JOIN top ON top.site = b.site",

@@ -103,3 +103,9 @@ def test_whole_names_are_aligned(spark, tmp_path):
     got = {r.seq: (r.graph, r.score) for r in ancestor_queries.graph_alignment(spark, str(tmp_path)).collect()}
     assert got["1"][1] > got["2"][1] and got["1"][1] > got["3"][1]
     assert got == {k: (g, s) for g, k, s in c.execute(ancestor_queries.ORACLE_SQL["graph_alignment"]).fetchall()}
+
+
+def test_whole_names_are_threaded(spark, tmp_path):
+    c = _parts(spark, tmp_path)
+    got = {r.graph: r.n for r in ancestor_queries.graph_next_version(spark, str(tmp_path)).collect()}
+    assert got == {"t": 50 + 47 + 50 + 52 + 45 + 5, "u": 60 + 58} == dict(c.execute(ancestor_queries.ORACLE_SQL["graph_next_version"]).fetchall())
